@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.display import fixed
+from ..functions.money import cents, dollars
 from ..functions.ratios import safe_ratio
-from ..functions.times import at, lookback, minutes as span_of
+from ..functions.times import at, from_micros, lookback, micros, minutes as span_of
 from ..schemas import ALERT_COLUMNS, MONEY
 
 TEXT_COLUMNS = ["title", "description"]
@@ -25,27 +26,44 @@ _AT = "detected_at"
 
 @dataclass(frozen=True)
 class Rule:
-    """Aggregates over the rows of one evaluation time, and the alert they give, null when none is due."""
+    """Aggregates over the rows of one evaluation time, and the finding they give, null when none is due.
+
+    `minutes` is the period the rule speaks of, `reads` how many minutes back its rows reach.
+    """
+    alert_type: str
     minutes: int
+    reads: int
     measures: tuple[Column, ...]
-    alert: Column
+    finding: Column
+
 
+_MINUTE = 60_000_000
 
-def _evaluations(rows: DataFrame, minutes: int, as_of, step: str, until) -> DataFrame:
-    """Rows paired with the evaluation times `detected_at` with ``time_bucket`` in ``[detected_at - minutes, detected_at)``.
 
-    `until` ends a history; without it, times up to a span after the last row are judged.
+def _evaluations(rows: DataFrame, minutes: int, as_of, step_minutes: int, until) -> DataFrame:
+    """Rows paired with the evaluation times whose last `minutes` hold their bucket.
+
+    Times are numbers here: `bucket` and `at`. `until` ends a history; without it, times up to a span after
+    the last row are judged.
     """
+    span, step = minutes * _MINUTE, step_minutes * _MINUTE
+    bucket = F.col("bucket")
     if as_of is not None:
-        return lookback(rows, "time_bucket", as_of, minutes=minutes).withColumn(_AT, at(as_of))
-    first = F.window("time_bucket", step).getField("end")
-    times = F.sequence(first, F.col("time_bucket") + span_of(minutes), F.expr(f"INTERVAL {step}"))
-    paired = rows.withColumn(_AT, F.explode(times))
-    return paired if until is None else paired.filter(F.col(_AT) <= at(until))
+        recent = lookback(rows, "time_bucket", as_of, minutes=minutes)
+        return recent.withColumns({"bucket": micros(F.col("time_bucket")), "at": micros(at(as_of))})
+    numbered = rows.withColumn("bucket", micros(F.col("time_bucket")))
+    first = bucket - F.pmod(bucket, F.lit(step)) + step
+    last = bucket + span if until is None else F.least(bucket + span, micros(at(until)))
+    times = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("bigint")))
+    return numbered.withColumn("at", F.explode(times))
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn(_AT, from_micros(F.col("at")))
 
 
 def _in_last(minutes: int) -> Column:
-    return F.col("time_bucket") >= F.col(_AT) - span_of(minutes)
+    return F.col("bucket") >= F.col("at") - minutes * _MINUTE
 
 
 def _in_previous(minutes: int) -> Column:
@@ -67,10 +85,9 @@ def _relative(change: Column, base: Column) -> Column:
     return safe_ratio(change.cast("double"), base, 0.0) * 100
 
 
-def _alert(alert_type: str, severity: Column, metric: str, current: Column, threshold: Column, change: Column,
-           title: Column, description: Column, product_id: Column | None = None,
-           product_name: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
+def _finding(alert_type: str, severity: Column, metric: str, current: Column, threshold: Column, change: Column,
+             first: Column, second: Column) -> Column:
+    """The numbers of an alert, with the two counts that its text mentions besides."""
     return F.struct(
         F.lit(alert_type).alias("alert_type"),
         severity.alias("severity"),
@@ -78,29 +95,18 @@ def _alert(alert_type: str, severity: Column, metric: str, current: Column, thre
         current.cast("double").alias("current_value"),
         threshold.cast("double").alias("threshold_value"),
         change.cast("double").alias("percentage_change"),
-        (none if product_id is None else product_id).alias("product_id"),
-        (none if product_name is None else product_name).alias("product_name"),
-        F.col(_AT).alias(_AT),
-        title.alias("title"),
-        description.alias("description"),
+        first.cast("bigint").alias("first_count"),
+        second.cast("bigint").alias("second_count"),
     )
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-# The message texts below are fixed values.
-
 def traffic_spike(minutes: int = 5, threshold: float = 0.50, missing: str = "zero") -> Rule:
     """Views of the period against the period before: growth above the threshold."""
     current, previous = F.col("spike_current"), F.col("spike_previous")
     change = _relative(current - previous, previous)
-    return Rule(2 * minutes, _pair("spike", F.col("total_views"), minutes, missing), F.when(
+    return Rule("traffic_spike", minutes, 2 * minutes, _pair("spike", F.col("total_views"), minutes, missing), F.when(
         change > threshold * 100,
-        _alert("traffic_spike", F.lit("warning"), "total_views", current, previous, change,
-               _text("Traffic Spike Detected (+", fixed(change, 0), "%)"),
-               _text("Traffic increased from ", previous, " to ", current, f" views in the last {minutes} minutes."))))
+        _finding("traffic_spike", F.lit("warning"), "total_views", current, previous, change, previous, current)))
 
 
 def traffic_drop(minutes: int = 5, threshold: float = 0.30, missing: str = "zero") -> Rule:
@@ -110,11 +116,9 @@ def traffic_drop(minutes: int = 5, threshold: float = 0.30, missing: str = "zero
     """
     current, previous = F.col("drop_current"), F.col("drop_previous")
     drop = _relative(previous - current, previous)
-    return Rule(2 * minutes, _pair("drop", F.col("total_views"), minutes, missing), F.when(
+    return Rule("traffic_drop", minutes, 2 * minutes, _pair("drop", F.col("total_views"), minutes, missing), F.when(
         drop > threshold * 100,
-        _alert("traffic_drop", F.lit("critical"), "total_views", current, previous, -drop,
-               _text("Traffic Drop Detected (-", fixed(drop, 0), "%)"),
-               _text("Traffic decreased from ", previous, " to ", current, f" views in the last {minutes} minutes."))))
+        _finding("traffic_drop", F.lit("critical"), "total_views", current, previous, -drop, previous, current)))
 
 
 def low_conversion(minutes: int = 10, threshold: float = 0.03, min_views: int = 100) -> Rule:
@@ -122,16 +126,14 @@ def low_conversion(minutes: int = 10, threshold: float = 0.03, min_views: int =
     last = _in_last(minutes)
     rate = F.coalesce("conversion_mean", F.lit(0.0))
     views, purchases = F.col("conversion_views"), F.col("conversion_purchases")
-    shown = fixed(rate, 1)
-    return Rule(minutes, (
+    return Rule("low_conversion", minutes, minutes, (
         F.avg(F.when(last, F.col("conversion_rate"))).alias("conversion_mean"),
         F.sum(F.when(last, F.col("total_views"))).alias("conversion_views"),
         F.sum(F.when(last, F.col("purchase_count"))).alias("conversion_purchases"),
     ), F.when(
         (rate < threshold * 100) & (views > min_views),
-        _alert("low_conversion", F.lit("warning"), "conversion_rate", rate, F.lit(threshold * 100), F.lit(0.0),
-               _text("Low Conversion Rate (", shown, "%)"),
-               _text("Conversion rate dropped to ", shown, "% (", purchases, " purchases / ", views, " views)."))))
+        _finding("low_conversion", F.lit("warning"), "conversion_rate", rate, F.lit(threshold * 100), F.lit(0.0),
+                 purchases, views)))
 
 
 def high_cart_abandonment(minutes: int = 10, threshold: float = 0.80, min_adds: int = 10) -> Rule:
@@ -139,17 +141,14 @@ def high_cart_abandonment(minutes: int = 10, threshold: float = 0.80, min_adds:
     last = _in_last(minutes) & (F.col("add_to_cart_count") > 0)
     rate = F.coalesce("abandonment_mean", F.lit(0.0))
     adds, purchases = F.col("abandonment_adds"), F.col("abandonment_purchases")
-    shown = fixed(rate, 0)
-    return Rule(minutes, (
+    return Rule("high_cart_abandonment", minutes, minutes, (
         F.avg(F.when(last, F.col("cart_abandonment_rate"))).alias("abandonment_mean"),
         F.sum(F.when(last, F.col("add_to_cart_count"))).alias("abandonment_adds"),
         F.sum(F.when(last, F.col("purchase_count"))).alias("abandonment_purchases"),
     ), F.when(
         (rate > threshold * 100) & (adds > min_adds),
-        _alert("high_cart_abandonment", F.lit("warning"), "cart_abandonment_rate", rate, F.lit(threshold * 100),
-               F.lit(0.0),
-               _text("High Cart Abandonment (", shown, "%)"),
-               _text("Cart abandonment rate is ", shown, "% (", adds, " adds, ", purchases, " purchases)."))))
+        _finding("high_cart_abandonment", F.lit("warning"), "cart_abandonment_rate", rate, F.lit(threshold * 100),
+                 F.lit(0.0), adds, purchases)))
 
 
 def revenue_anomaly(minutes: int = 10, up_pct: float = 100.0, down_pct: float = 50.0, missing: str = "zero") -> Rule:
@@ -158,15 +157,47 @@ def revenue_anomaly(minutes: int = 10, up_pct: float = 100.0, down_pct: float =
     ``down_pct=100`` is the literal limit of the original detector, which no loss can exceed.
     """
     current, previous = F.col("revenue_current"), F.col("revenue_previous")
-    change = _relative(current.cast("double") - previous.cast("double"), previous)
+    change = _relative(current - previous, previous)
     due = ((change > up_pct) | (change < -down_pct)) & (previous > 0)
-    return Rule(2 * minutes, _pair("revenue", F.col("total_revenue").cast(MONEY), minutes, missing), F.when(
+    return Rule("revenue_anomaly", minutes, 2 * minutes,
+                _pair("revenue", cents(F.col("total_revenue")), minutes, missing), F.when(
         due,
-        _alert("revenue_anomaly", F.when(change > 0, "warning").otherwise("critical"), "total_revenue",
-               current, previous, change,
-               _text("Revenue Anomaly Detected (", fixed(change, 0, signed=True), "%)"),
-               _text("Revenue ", F.when(change > 0, "increased").otherwise("decreased"),
-                     " from $", previous.cast(MONEY), " to $", F.coalesce(current, F.lit(0)).cast(MONEY), "."))))
+        _finding("revenue_anomaly", F.when(change > 0, "warning").otherwise("critical"), "total_revenue",
+                 dollars(current), dollars(previous), change, previous, current)))
+
+
+def _texts(rules: Sequence[Rule]) -> tuple[Column, Column]:
+    """Title and description by alert type. The wording."""
+    minutes = {rule.alert_type: rule.minutes for rule in rules}
+    kind, change, current = F.col("alert_type"), F.col("percentage_change"), F.col("current_value")
+    first, second = F.col("first_count"), F.col("second_count")
+    texts = {
+        "traffic_spike": lambda m: (
+            _text("Traffic Spike Detected (+", fixed(change, 0), "%)"),
+            _text("Traffic increased from ", first, " to ", second, f" views in the last {m} minutes.")),
+        "traffic_drop": lambda m: (
+            _text("Traffic Drop Detected (-", fixed(-change, 0), "%)"),
+            _text("Traffic decreased from ", first, " to ", second, f" views in the last {m} minutes.")),
+        "low_conversion": lambda m: (
+            _text("Low Conversion Rate (", fixed(current, 1), "%)"),
+            _text("Conversion rate dropped to ", fixed(current, 1), "% (", first, " purchases / ", second, " views).")),
+        "high_cart_abandonment": lambda m: (
+            _text("High Cart Abandonment (", fixed(current, 0), "%)"),
+            _text("Cart abandonment rate is ", fixed(current, 0), "% (", first, " adds, ", second, " purchases).")),
+        "revenue_anomaly": lambda m: (
+            _text("Revenue Anomaly Detected (", fixed(change, 0, signed=True), "%)"),
+            _text("Revenue ", F.when(change > 0, "increased").otherwise("decreased"),
+                  " from $", F.col("threshold_value").cast(MONEY), " to $", current.cast(MONEY), ".")),
+    }
+    title = description = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, m in minutes.items():
+        title = title.when(kind == name, texts[name](m)[0])
+        description = description.when(kind == name, texts[name](m)[1])
+    return title, description
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def minute_rules() -> list[Rule]:
@@ -174,42 +205,51 @@ def minute_rules() -> list[Rule]:
     return [traffic_spike(), traffic_drop(), low_conversion(), high_cart_abandonment(), revenue_anomaly()]
 
 
-def evaluate(metrics: DataFrame, rules: Sequence[Rule], as_of=None, step: str = "1 minute", until=None) -> DataFrame:
+def evaluate(metrics: DataFrame, rules: Sequence[Rule], as_of=None, step_minutes: int = 1, until=None) -> DataFrame:
     """Alerts of all rules from one pass over the minute metrics."""
-    rows = _evaluations(metrics, max(rule.minutes for rule in rules), as_of, step, until)
-    totals = rows.groupBy(_AT).agg(*[measure for rule in rules for measure in rule.measures])
-    return (
-        totals.select(F.explode(F.array(*[rule.alert for rule in rules])).alias("alert"))
-        .filter(F.col("alert").isNotNull())
-        .select("alert.*")
+    rows = _evaluations(metrics, max(rule.reads for rule in rules), as_of, step_minutes, until)
+    totals = rows.groupBy("at").agg(*[measure for rule in rules for measure in rule.measures])
+    findings = (
+        totals.select("at", F.explode(F.array(*[rule.finding for rule in rules])).alias("finding"))
+        .filter(F.col("finding").isNotNull())
+        .select("at", "finding.*")
     )
+    title, description = _texts(rules)
+    nothing = F.lit(None).cast("string")
+    return _dated(findings).withColumns({
+        "product_id": nothing, "product_name": nothing, "title": title, "description": description,
+    }).select(*ALERT_COLUMNS, *TEXT_COLUMNS)
 
 
 def trending_products(products: DataFrame, as_of=None, minutes: int = 5, multiplier: float = 3.0,
-                      fallback: float = 10.0, limit: int = 5, step: str = "1 minute",
+                      fallback: float = 10.0, limit: int = 5, step_minutes: int = 1,
                       until=None, all_buckets: bool = False) -> DataFrame:
     """Products viewed more than `multiplier` times as often as the mean of all rows in the lookback.
 
     `products` holds product metrics or rankings. A product's buckets count once, by the best of them;
     `all_buckets` lets each bucket raise an alert of its own.
     """
-    rows = _evaluations(products, minutes, as_of, step, until)
-    means = rows.groupBy(_AT).agg(F.avg("views_per_minute").alias("mean"))
+    rows = _evaluations(products, minutes, as_of, step_minutes, until)
+    means = rows.groupBy("at").agg(F.avg("views_per_minute").alias("mean"))
     means = means.withColumn("mean", F.when(F.col("mean") != 0, F.col("mean")).otherwise(F.lit(float(fallback))))
-    best = [F.desc_nulls_last("views_per_minute"), F.desc_nulls_last("time_bucket"), F.asc_nulls_last("product_id")]
+    # The limit is positive, so rows without views never pass it and need not meet the means.
+    viewed = _evaluations(products.filter(F.col("views_per_minute") > 0), minutes, as_of, step_minutes, until)
+    hot = viewed.join(means, "at").filter(F.col("views_per_minute") > F.col("mean") * multiplier)
     if not all_buckets:
         top = F.max(F.struct("views_per_minute", "time_bucket", "product_name", "view_count"))
-        rows = rows.groupBy(_AT, "product_id").agg(top.alias("top")).select(_AT, "product_id", "top.*")
-    hot = rows.join(means, _AT).filter(F.col("views_per_minute") > F.col("mean") * multiplier)
-    listed = hot.withColumn("place", F.row_number().over(Window.partitionBy(_AT).orderBy(*best)))
-    views, name = F.col("views_per_minute"), F.col("product_name")
-    alert = _alert(
-        "trending_product", F.lit("info"), "views_per_minute", views, F.col("mean") * multiplier,
-        _relative(views - F.col("mean"), F.col("mean")),
-        _text("Trending: ", name),
-        _text(name, " is trending with ", fixed(views, 0), " views/min (", F.col("view_count"), " total views)."),
-        F.col("product_id"), name)
-    return listed.filter(F.col("place") <= limit).select(alert.alias("alert")).select("alert.*")
+        hot = hot.groupBy("at", "mean", "product_id").agg(top.alias("top")).select("at", "mean", "product_id", "top.*")
+    best = [F.desc_nulls_last("views_per_minute"), F.desc_nulls_last("time_bucket"), F.asc_nulls_last("product_id")]
+    listed = hot.withColumn("place", F.row_number().over(Window.partitionBy("at").orderBy(*best)))
+    views, mean, name = F.col("views_per_minute"), F.col("mean"), F.col("product_name")
+    return _dated(listed.filter(F.col("place") <= limit)).select(
+        F.lit("trending_product").alias("alert_type"), F.lit("info").alias("severity"),
+        F.lit("views_per_minute").alias("metric_name"), views.cast("double").alias("current_value"),
+        (mean * multiplier).alias("threshold_value"), _relative(views - mean, mean).alias("percentage_change"),
+        "product_id", "product_name", _AT,
+        _text("Trending: ", name).alias("title"),
+        _text(name, " is trending with ", fixed(views, 0), " views/min (", F.col("view_count"), " total views).")
+        .alias("description"),
+    )
 
 
 def run_all_checks(metrics: DataFrame, products: DataFrame, as_of=None, until=None) -> DataFrame:

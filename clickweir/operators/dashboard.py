@@ -7,15 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.money import amount_sum
 from ..functions.ratios import percent, percent_change, round_exact
 from ..functions.times import at, between, instant, lookback
-from ..schemas import MONEY
-
-
-def exact_sum(column: str, where: Column | None = None) -> Column:
-    """Sum of stored amounts, independent of the order of addition; 0 for no rows."""
-    value = F.col(column).cast(MONEY)
-    return F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0)).cast("double")
 
 
 def total(column: str, where: Column | None = None) -> Column:
@@ -29,7 +23,7 @@ def live_metrics(metrics: DataFrame, as_of, minutes: int = 5) -> DataFrame:
         return F.coalesce(F.avg(column), F.lit(0.0))
 
     return lookback(metrics, "time_bucket", as_of, minutes=minutes).agg(
-        exact_sum("total_revenue").alias("revenue"),
+        amount_sum("total_revenue").alias("revenue"),
         total("total_orders").alias("orders"),
         mean("unique_users").cast("bigint").alias("active_users"),
         mean("conversion_rate").alias("conversion_rate"),
@@ -108,8 +102,8 @@ def hourly_comparison(metrics: DataFrame, as_of) -> DataFrame:
     previous = ~current
     rows = between(metrics, "time_bucket", start - timedelta(hours=1), now)
     sums = rows.agg(
-        exact_sum("total_revenue", current).alias("current_revenue"),
-        exact_sum("total_revenue", previous).alias("previous_revenue"),
+        amount_sum("total_revenue", current).alias("current_revenue"),
+        amount_sum("total_revenue", previous).alias("previous_revenue"),
         total("total_orders", current).alias("current_orders"),
         total("total_orders", previous).alias("previous_orders"),
         F.coalesce(F.avg(F.when(current, F.col("conversion_rate"))), F.lit(0.0)).alias("current_conversion"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.display import place_label
+from ..functions.money import cents, dollars
 from ..functions.times import lookback
-from ..schemas import GEO_COLUMNS, MONEY, PURCHASE, VIEW
+from ..schemas import GEO_COLUMNS, PURCHASE, VIEW
 from .metrics import is_type
 
 
@@ -15,7 +16,7 @@ def _by_user(events: DataFrame, keys: list[Column]) -> DataFrame:
     return events.groupBy(*keys, "country", "city", "user_id").agg(
         F.count(F.when(is_type(VIEW), 1)).alias("views"),
         F.count(F.when(is_type(PURCHASE), 1)).alias("orders"),
-        F.sum(F.when(is_type(PURCHASE), F.col("total_amount").cast(MONEY))).alias("revenue"),
+        F.sum(F.when(is_type(PURCHASE), cents(F.col("total_amount")))).alias("cents"),
     )
 
 
@@ -23,7 +24,7 @@ def _by_place(users: DataFrame, keys: list[str]) -> DataFrame:
     return users.groupBy(*keys, "country", "city").agg(
         F.sum("views").alias("views"),
         F.sum("orders").alias("orders"),
-        F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("revenue"),
+        dollars(F.sum("cents")).alias("revenue"),
         F.count("user_id").alias("users"),
     )
 

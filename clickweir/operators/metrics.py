@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.money import amount_sum, cents, dollars
 from ..functions.ratios import percent, safe_ratio, shortfall_percent
-from ..schemas import (
-    ADD, HOUR_COLUMNS, METRIC_COLUMNS, MONEY, PURCHASE, REMOVE, SEARCH, VIEW,
-)
+from ..schemas import ADD, HOUR_COLUMNS, METRIC_COLUMNS, PURCHASE, REMOVE, SEARCH, VIEW
 
 _MINUTE, _SESSION, _USER = 0, 1, 2
 
@@ -33,8 +32,7 @@ def is_type(event_type: str) -> Column:
 
 
 def revenue() -> Column:
-    """Exact sum of purchase amounts, 0 when there are none."""
-    return F.coalesce(F.sum(F.when(is_type(PURCHASE), F.col("total_amount").cast(MONEY))), F.lit(0).cast(MONEY))
+    return amount_sum("total_amount", is_type(PURCHASE))
 
 
 def count_type(event_type: str) -> Column:
@@ -97,7 +95,7 @@ def _tally(events: DataFrame, length: str, users: str, minutes: bool) -> DataFra
         return carrier & is_type(event_type)
 
     things_seen = spread.groupBy("w", "thing.kind", "thing.id", "thing.minute").agg(
-        F.sum(F.when(once(PURCHASE), F.col("total_amount").cast(MONEY))).alias("total_revenue"),
+        F.sum(F.when(once(PURCHASE), cents(F.col("total_amount")))).alias("revenue_cents"),
         *[F.count(F.when(once(t), 1)).alias(name) for name, t in _COUNTS.items()],
     )
 
@@ -105,11 +103,11 @@ def _tally(events: DataFrame, length: str, users: str, minutes: bool) -> DataFra
         return F.count(F.when((F.col("kind") == kind) & F.col("id").isNotNull(), 1))
 
     peaks = [
-        F.coalesce(F.max("total_revenue"), F.lit(0)).cast("double").alias("peak_revenue_per_minute"),
+        dollars(F.max("revenue_cents")).alias("peak_revenue_per_minute"),
         F.max("purchase_count").alias("peak_orders_per_minute"),
     ]
     return things_seen.groupBy("w").agg(
-        F.coalesce(F.sum("total_revenue"), F.lit(0)).alias("total_revenue"),
+        dollars(F.sum("revenue_cents")).alias("total_revenue"),
         *[F.sum(name).alias(name) for name in _COUNTS],
         known(_USER).alias("unique_users"),
         known(_SESSION).alias("unique_sessions"),
@@ -121,7 +119,6 @@ def _finish(window: DataFrame, empty: str) -> DataFrame:
     orders, views, adds = F.col("purchase_count"), F.col("total_views"), F.col("add_to_cart_count")
     return window.withColumns({
         "time_bucket": F.col("w.start"),
-        "total_revenue": F.col("total_revenue").cast("double"),
         "total_orders": orders,
         "average_order_value": safe_ratio(F.col("total_revenue"), orders, {"null": None, "zero": 0.0}[empty]),
         "conversion_rate": percent(orders, views),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.money import amount_sum
 from ..functions.ratios import percent
 from ..functions.times import lookback
 from ..schemas import PRODUCT, PRODUCT_METRIC_COLUMNS, PURCHASE, VIEW
@@ -30,7 +31,6 @@ def _measures() -> list[Column]:
 
 def _bucket_columns(df: DataFrame, minutes: float) -> DataFrame:
     return df.withColumns({
-        "revenue": F.col("revenue").cast("double"),
         "views_per_minute": F.col("view_count") / F.lit(float(minutes)),
         "trending_score": activity_score(F.col("view_count"), F.col("purchase_count")),
     }).select(*PRODUCT_METRIC_COLUMNS)
@@ -60,7 +60,8 @@ def product_metrics_by_id(events: DataFrame, minutes: int = 1) -> DataFrame:
     )
     grouped = variants.groupBy("w", "product_id").agg(
         *[F.max(name).alias(name) for name in PRODUCT[1:]],
-        *[F.sum(name).alias(name) for name in ("view_count", "purchase_count", "revenue")],
+        *[F.sum(name).alias(name) for name in ("view_count", "purchase_count")],
+        amount_sum("revenue").alias("revenue"),
     ).withColumn("time_bucket", F.col("w.start"))
     return _bucket_columns(grouped, minutes)
 
@@ -69,7 +70,6 @@ def _scored(df: DataFrame, minutes: float) -> DataFrame:
     return (
         df.filter(F.col("view_count") > 0)
         .withColumns({
-            "revenue": F.col("revenue").cast("double"),
             "views_per_minute": F.col("view_count") / F.lit(float(minutes)),
             "trending_score": lookback_score(F.col("view_count"), F.col("purchase_count"), minutes),
         })

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schemas import MONEY, PURCHASE
+from ..functions.money import cents
+from ..schemas import PURCHASE
 from .metrics import count_type, is_type
 
 
 def stats_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """Five labelled totals as text; the four on events come from one scan."""
-    amounts = F.sum(F.when(is_type(PURCHASE), F.col("total_amount").cast(MONEY)))
+    amounts = F.sum(F.when(is_type(PURCHASE), cents(F.col("total_amount"))))
     totals = events.agg(
         F.count(F.lit(1)).alias("events"), amounts.alias("revenue"),
         count_type(PURCHASE).alias("purchases"), F.countDistinct("user_id").alias("users"),
@@ -21,7 +22,7 @@ def stats_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
 
     event_lines = totals.select(F.inline(F.array(
         line("Total Events", F.col("events").cast("string")),
-        line("Total Revenue", F.concat(F.lit("$"), F.bround("revenue", 0).cast("bigint").cast("string"))),
+        line("Total Revenue", F.concat(F.lit("$"), F.rint(F.col("revenue") / 100).cast("bigint").cast("string"))),
         line("Total Purchases", F.col("purchases").cast("string")),
         line("Unique Users", F.col("users").cast("string")),
     )))

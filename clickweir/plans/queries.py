@@ -10,6 +10,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import display, ratios, times
+from ..functions.money import amount_sum
 from ..operators import alerts, dashboard, geo, metrics, products, reports, sessions
 from ..schemas import ADD, ALERT_COLUMNS, EVENT_COLUMNS, PURCHASE, REMOVE, SEARCH, VIEW
 from ..session import scratch, use_utc
@@ -164,7 +165,7 @@ def alert_history(spark, sf_dir, *names: str) -> DataFrame:
 
 def trending_history(spark, sf_dir) -> DataFrame:
     hourly = products.product_metrics(shop.shop_events(spark, sf_dir, products=True), minutes=60)
-    found = alerts.trending_products(hourly, minutes=DAY, step="1 hour", until=AS_OF)
+    found = alerts.trending_products(hourly, minutes=DAY, step_minutes=60, until=AS_OF)
     return rounded(found, "current_value", "threshold_value", "percentage_change")
 
 
@@ -377,8 +378,8 @@ def percent_change(spark, sf_dir):
     """Second against first half of every hour."""
     late = F.minute("time_bucket") >= 30
     halves = minute(spark, sf_dir).groupBy(times.truncate(F.col("time_bucket"), "hour").alias("time_bucket")).agg(
-        dashboard.exact_sum("total_revenue", late).alias("current"),
-        dashboard.exact_sum("total_revenue", ~late).alias("previous"))
+        amount_sum("total_revenue", late).alias("current"),
+        amount_sum("total_revenue", ~late).alias("previous"))
     return halves.withColumn("change", ratios.percent_change(F.col("current"), F.col("previous")))
 
 
