@@ -31,11 +31,13 @@ def stats_report(events: DataFrame, alerts: DataFrame) -> DataFrame:
     return event_lines.unionByName(alert_line)
 
 
+def newest(events: DataFrame, limit: int = 10) -> DataFrame:
+    """The last events with all columns; each task keeps its best rows only."""
+    return events.orderBy(F.desc_nulls_last("timestamp"), F.desc_nulls_last("event_id")).limit(limit)
+
+
 def recent_events(events: DataFrame, limit: int = 10) -> DataFrame:
-    return (
-        events.select("event_id", "event_type", "timestamp", "user_id", "product_name", "total_amount")
-        .orderBy(F.desc_nulls_last("timestamp"), F.desc_nulls_last("event_id")).limit(limit).drop("event_id")
-    )
+    return newest(events, limit).select("event_type", "timestamp", "user_id", "product_name", "total_amount")
 
 
 def recent_purchases(events: DataFrame, limit: int = 10) -> DataFrame:

@@ -35,6 +35,7 @@ OWN = """event_id, event_type, "timestamp", user_id, session_id, product_id, qua
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 COMPARED_AT = "TIMESTAMP '2024-01-30 23:59:00'"
+CHECKED_AT = "TIMESTAMP '2024-01-27 16:36:00'"
 LAST_DAY = f"""\"timestamp" >= {AS_OF} - INTERVAL 24 HOUR AND "timestamp" < {AS_OF}"""
 
 REVENUE = "COALESCE(CAST(SUM(total_amount) FILTER (event_type = 'purchase') AS DOUBLE), 0.0)"
@@ -292,8 +293,10 @@ SESSIONS = """
 SEEN = """(SELECT MAX("timestamp") - INTERVAL 2 MINUTE FROM ev)"""
 
 
-def _closed(body: str, length: str) -> str:
-    return f"SELECT * FROM ({body}) WHERE time_bucket + INTERVAL {length} <= {SEEN}"
+def _closed(body: str, length: str, kept: str = "TRUE") -> str:
+    """Windows that ended before the watermark, which follows the events the operator keeps."""
+    return f"""SELECT * FROM ({body})
+        WHERE time_bucket + INTERVAL {length} <= (SELECT MAX("timestamp") - INTERVAL 2 MINUTE FROM ev WHERE {kept})"""
 
 
 LATE = f"""
@@ -399,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
                    ROUND(percentage_change, 4) AS change_percent, product_name AS product, detected_at
             FROM log WHERE NOT ({OLD}) ORDER BY detected_at DESC, id LIMIT 10""", LOG),
         "alerts_now": _with(f"""
-            SELECT {ALERT} FROM ({' UNION ALL '.join(ALERTS.values())}) WHERE detected_at = {COMPARED_AT}""", TOTALS),
+            SELECT {ALERT} FROM ({' UNION ALL '.join(ALERTS.values())}) WHERE detected_at = {CHECKED_AT}""", TOTALS),
         "stats_report": _with(STATS, LOG),
         "recent_events": _with("""
             SELECT event_type, "timestamp", user_id, product_name, CAST(total_amount AS DOUBLE) AS total_amount
@@ -499,8 +502,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_raw_events": _with(f"SELECT {FLAT} FROM ev"),
         "stream_metrics_1min": _with(_closed(metrics("minute"), "1 MINUTE")),
         "stream_metrics_1hour": _with(_closed(HOURS, "1 HOUR")),
-        "stream_product_metrics": _with(_closed(product_metrics(), "1 MINUTE")),
-        "stream_geo_metrics": _with(_closed(GEO, "1 MINUTE")),
+        "stream_product_metrics": _with(_closed(
+            product_metrics(), "1 MINUTE", "event_type IN ('product_view', 'purchase')")),
+        "stream_geo_metrics": _with(_closed(GEO, "1 MINUTE", "country IS NOT NULL")),
         "stream_sessionize": _with(f"SELECT * FROM ({SESSIONS}) WHERE session_end + INTERVAL 12 HOUR <= {SEEN}"),
         "stream_dedup": _with("""SELECT event_id, event_type, "timestamp", user_id, product_id FROM ev"""),
         "stream_late_data": _with(f"""

@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The reference time: the end of the last day with events.
 AS_OF = "2024-01-31 00:00:00"
 COMPARED_AT = "2024-01-30 23:59:00"
+CHECKED_AT = "2024-01-27 16:36:00"
 DAY = 24 * 60
 GAP = 12 * 60
 
@@ -226,8 +227,8 @@ def active_alerts(spark, sf_dir):
 @query
 def alerts_now(spark, sf_dir):
     """Point in time: all checks at the last minute with the same limits, from the last two hours of events."""
-    two_hours = times.lookback(shop.shop_events(spark, sf_dir), "timestamp", COMPARED_AT, hours=2)
-    found = alerts.evaluate(metrics.minute_metrics(two_hours), list(rules().values()), as_of=COMPARED_AT)
+    two_hours = times.lookback(shop.shop_events(spark, sf_dir), "timestamp", CHECKED_AT, hours=2)
+    found = alerts.evaluate(metrics.minute_metrics(two_hours), list(rules().values()), as_of=CHECKED_AT)
     return alerts.alert_columns(rounded(found, "current_value", "percentage_change"))
 
 
@@ -241,12 +242,14 @@ def stats_report(spark, sf_dir):
 
 @query
 def recent_events(spark, sf_dir):
-    return reports.recent_events(shop.shop_events(spark, sf_dir, products=True))
+    newest = reports.newest(shop.shop_events(spark, sf_dir))     # names are looked up for these only
+    return reports.recent_events(shop.with_products(spark, newest, sf_dir))
 
 
 @query
 def recent_purchases(spark, sf_dir):
-    return reports.recent_purchases(shop.shop_events(spark, sf_dir, products=True))
+    newest = reports.newest(shop.shop_events(spark, sf_dir).filter(F.col("event_type") == PURCHASE))
+    return reports.recent_purchases(shop.with_products(spark, newest, sf_dir))
 
 
 @query
@@ -514,8 +517,8 @@ def session_funnel(spark, sf_dir):
 
 def _streamed(spark, name: str, df: DataFrame, column: str, start=jobs.start_append) -> DataFrame:
     root = scratch(spark, name)
-    jobs.wait(spark, [start(df, name, root, column)])
-    return jobs.stored(spark, root, name).select(*df.columns)
+    jobs.wait([start(df, name, root, column)])
+    return jobs.stored(spark, root, name, df.schema)
 
 
 @query
@@ -558,7 +561,7 @@ def stream_dedup(spark, sf_dir):
     raw = jobs.file_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
     events = shop.as_shop_events(raw).select("event_id", "event_type", "timestamp", "user_id", "product_id")
     again = events.filter(F.col("product_id").cast("int") < 10)
-    both = events.unionByName(again).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    both = jobs.watermarked(events.unionByName(again))
     return _streamed(spark, "dedup", messages.deduplicate_stream(both), "timestamp")
 
 
@@ -570,14 +573,15 @@ def stream_late_data(spark, sf_dir):
     source = f"{root}/source"
     events = shop.shop_events(spark, sf_dir).select("timestamp", "event_type", "user_id", "session_id", "total_amount")
 
-    def arrive(part: DataFrame) -> None:
+    def arrive(part: DataFrame) -> DataFrame:
         part.write.mode("append").parquet(source)
-        stream = jobs.watermarked(jobs.file_stream(spark, source, part.schema))
-        jobs.wait(spark, [jobs.start_append(metrics.minute_metrics(stream), "metrics", root, "time_bucket")])
+        counted = metrics.minute_metrics(jobs.watermarked(jobs.file_stream(spark, source, part.schema)))
+        jobs.wait([jobs.start_append(counted, "metrics", root, "time_bucket")])
+        return counted
 
     arrive(events.filter(F.col("event_type") != SEARCH))
-    arrive(events.filter(F.col("event_type") == SEARCH))
-    return jobs.stored(spark, root, "metrics").drop("event_date")
+    counted = arrive(events.filter(F.col("event_type") == SEARCH))
+    return jobs.stored(spark, root, "metrics", counted.schema)
 
 
 def queries() -> dict[str, Query]:

@@ -26,20 +26,24 @@ def with_week(df: DataFrame, column: str, name: str = "event_week") -> DataFrame
     return df.withColumn(name, F.to_date(F.date_trunc("week", column)))
 
 
-def write_table(df: DataFrame, path: str, column: str, spread: int = 1) -> None:
+def write_table(df: DataFrame, path: str, column: str, gather: bool = True) -> None:
     """Write a table partitioned by the date of `column`, replacing it.
 
-    Rows meet by date before the write, so a date gets few files instead of one per task. `spread` splits
-    each date over that many tasks; raise it when one date is too much for a task.
+    Rows are gathered by date first, so that a date gets files of a good size instead of one per task.
+    Spark splits a large date over many tasks and joins small ones. Rows that already lie in time order
+    need no gathering; ``gather=False`` saves the shuffle.
     """
     dated = with_date(df, column)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread)) if spread > 1 else F.lit(0)
-    dated.repartition(DATE, salt).write.mode("overwrite").partitionBy(DATE).parquet(path)
+    (_gathered(dated) if gather else dated).write.mode("overwrite").partitionBy(DATE).parquet(path)
+
+
+def _gathered(dated: DataFrame) -> DataFrame:
+    return dated.hint("rebalance", F.col(DATE))
 
 
 def overwrite_dates(dated: DataFrame, path: str, by: Sequence[str] = (DATE,)) -> None:
     """Replace the partitions that occur in `dated` and leave the others."""
-    (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_gathered(dated).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*by).parquet(path))
 
 

@@ -91,5 +91,7 @@ def deduplicate(events: DataFrame, key: str = "event_id", order: str = "timestam
     return events.groupBy(key).agg(best).select(key, "row.*").select(*events.columns)
 
 
-def deduplicate_stream(events: DataFrame, key: str = "event_id", delay: str = "2 minutes") -> DataFrame:
-    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([key])
+def deduplicate_stream(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """The first copy of each event of a watermarked stream. Keys are forgotten when the watermark passes them,
+    and later copies are dropped as late."""
+    return events.dropDuplicatesWithinWatermark([key])

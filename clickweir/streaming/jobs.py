@@ -23,7 +23,11 @@ LATENESS = "2 minutes"
 
 
 def watermarked(events: DataFrame, delay: str = LATENESS) -> DataFrame:
-    """Streams need instants: a naive timestamp column is read as UTC."""
+    """Streams need instants: a naive timestamp column is read as UTC.
+
+    Spark moves later filters on other columns below the watermark, so the watermark of a pipeline follows
+    the events that pipeline keeps.
+    """
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
 
 
@@ -89,19 +93,18 @@ def start_all(events: DataFrame, root: str, every: str | None = "1 minute") -> l
             for name, (operator, column) in PIPELINES.items()]
 
 
-def wait(spark: SparkSession, queries: list[StreamingQuery]) -> None:
+def wait(queries: list[StreamingQuery]) -> None:
     """Return when all queries have ended; the first failure stops the others and is raised."""
+    running = list(queries)
     try:
-        while any(query.isActive for query in queries):
-            spark.streams.awaitAnyTermination()
-            spark.streams.resetTerminated()
-        for query in queries:
-            query.awaitTermination()
+        while running:
+            running = [query for query in running if not query.awaitTermination(0.1)]
     except Exception:
         for query in queries:
             query.stop()
         raise
 
 
-def stored(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+def stored(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
+    """The rows of a query's table. The schema is that of the stream, as the table may hold no file yet."""
+    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
