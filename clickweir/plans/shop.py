@@ -18,6 +18,12 @@ def shop_type(column: Column) -> Column:
     return mapped
 
 
+def product_of(props: Column) -> Column:
+    """The number in ``{"k": n}``. The text has this one form, and a pattern reads it several times faster than
+    a JSON parser."""
+    return F.regexp_extract(props, r'"k":\s*(\d+)', 1)
+
+
 def as_shop_events(raw: DataFrame) -> DataFrame:
     """Event columns known from the `events` row itself; `product_id` is null for searches."""
     kind = shop_type(F.col("event_type"))
@@ -26,8 +32,8 @@ def as_shop_events(raw: DataFrame) -> DataFrame:
         kind.alias("event_type"),
         F.col("ts").alias("timestamp"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
-        F.when(kind != SEARCH, F.get_json_object("props", "$.k")).alias("product_id"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"),
+        F.when(kind != SEARCH, product_of(F.col("props"))).alias("product_id"),
         F.when(kind.isin(ADD, REMOVE, PURCHASE), F.lit(1)).alias("quantity"),
         F.when(kind == PURCHASE, F.col("value").cast(MONEY)).alias("total_amount"),
         F.lit(None).cast("string").alias("payment_method"),
