@@ -16,6 +16,9 @@ from ..functions.times import at, instant
 
 DATE = "event_date"
 
+# How many days each table is kept.
+RETENTION_DAYS = {"events_raw": 30, "metrics_1min": 7, "metrics_1hour": 365}
+
 
 def with_date(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(DATE, F.to_date(column))

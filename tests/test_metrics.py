@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from clickweir.functions import times
 from clickweir.operators import geo, metrics, products
 from clickweir.schemas import GEO_COLUMNS, HOUR_COLUMNS, METRIC_COLUMNS, PRODUCT_METRIC_COLUMNS
 from conftest import AS_OF, event, minute, rows
@@ -50,6 +51,12 @@ def test_purchases_above_adds_give_negative_abandonment(frame):
     assert rows(metrics.minute_metrics(df), "cart_abandonment_rate") == [(-100.0,)]
 
 
+def test_processing_time(golden):
+    stamped = metrics.stamped(metrics.minute_metrics(golden), as_of=times.at(AS_OF))
+    assert {r["created_at"] for r in stamped.collect()} == {minute("10:33")}
+    assert "created_at" in metrics.stamped(golden).columns
+
+
 def test_empty_input(frame):
     assert metrics.minute_metrics(frame([])).count() == 0
     assert metrics.hour_metrics(frame([])).count() == 0

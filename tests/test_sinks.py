@@ -7,7 +7,6 @@ from clickweir.session import scratch, shared_root
 from clickweir.sinks import jdbc, tables
 from clickweir.sources import kafka
 from clickweir.sources.tables import scan
-from conftest import rows
 
 
 def table(spark, *values):
