@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,22 +56,46 @@ def bits_get(data: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(expand(data), np.uint8), count=count).view(bool)
 
 
-def text_columns(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, memoryview, np.ndarray]:
-    """Offsets, bytes and null flags of a string column, without making Python strings."""
+def text_column(batch: pa.RecordBatch, at: int) -> pa.Array:
+    """A string column with 64-bit offsets, nulls as empty texts."""
     column = batch.column(at)
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    nulls = np.asarray(column.is_null())
+    return column.cast(pa.large_string()).fill_null("")
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    return ends, memoryview(data) if data is not None else memoryview(b""), nulls
+    return ends, memoryview(data) if data is not None else memoryview(b"")
+
 
+def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
+    """Each text as UTF-8 bytes, null as empty, without Python strings."""
+    ends, data = _bytes_of(text_column(batch, at))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield bytes(data[a:b])
 
-def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes | None]:
-    """Each text as UTF-8 bytes, None for null."""
-    ends, data, nulls = text_columns(batch, at)
-    for i in range(len(nulls)):
-        yield None if nulls[i] else bytes(data[ends[i]:ends[i + 1]])
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut after the row with which column `at` exceeds `most` bytes."""
+    for batch in batches:
+        ends, lo = _bytes_of(text_column(batch, at))[0], 0
+        while lo < batch.num_rows:
+            hi = min(max(int(np.searchsorted(ends, ends[lo] + most)), lo + 1), batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of non-null texts: the distinct words, the place of each word among them, and
+    where each text's words start (one more entry than texts)."""
+    split = pc.ascii_split_whitespace(texts)
+    starts, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
+    distinct, places = coded.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(coded.indices)
+    if b"" in distinct:  # around leading and trailing white space
+        words = places != distinct.index(b"")
+        starts = np.concatenate([[0], np.cumsum(words)])[starts]
+        places = places[words]
+    return distinct, places, starts.astype(np.int64)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +105,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def row() -> pa.RecordBatch:
-        lens = [-1 if p is None else len(p) for p in parts]
+        lens = [len(p) for p in parts]
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())),
-            pa.array([squeeze(b"".join(p for p in parts if p))], pa.binary())], ["pack", "doc_ids", "lens", "body"])
+            pa.array([squeeze(b"".join(parts))], pa.binary())], ["pack", "doc_ids", "lens", "body"])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1)):
             ids.append(key)
             parts.append(text)
-            size += len(text or b"") + 16
+            size += len(text) + 16
             if size >= PACK_BYTES:
                 yield row()
                 number, ids, parts, size = number + 1, [], [], 0
@@ -115,14 +140,13 @@ def write_packs(spark: SparkSession, docs: DataFrame, ordered: bool) -> DataFram
 
 
 class Pack:
-    """One pack row: the texts, their ids and replies."""
+    """One pack row: its number, the ids and texts of its documents, null texts as empty."""
 
     def __init__(self, row: dict):
-        self.number, self.ids, self.lens = row["pack"], row["doc_ids"], row["lens"]
+        self.number, self.ids = row["pack"], row["doc_ids"]
         body = expand(row["body"])
-        ends = np.cumsum([0, *(max(0, n) for n in self.lens)])
-        self.texts = [body[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        self.null = [n < 0 for n in self.lens]
+        ends = np.concatenate([[0], np.cumsum(row["lens"], dtype=np.int64)])
+        self.texts = pa.LargeStringArray.from_buffers(len(self.ids), pa.py_buffer(ends), pa.py_buffer(body))
 
 
 def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

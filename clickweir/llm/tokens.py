@@ -9,8 +9,12 @@ Every level carries a bitmap of which entries continue and a directory with the
 from __future__ import annotations
 
 import os
+import string
 import struct
+import sys
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +22,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clickweir.llm.packs import texts_of
+from clickweir.llm.packs import slices, text_column, words_of
 from clickweir.session import scratch
 
 SEGMENT_TOKENS = 1 << 18  # a segment ends with the document that reaches this
-CACHED_WORDS = 600_000  # words a worker remembers before it starts anew
+CACHED_WORDS = 400_000  # words a worker remembers
+TOGETHER = 8 << 20  # bytes of text encoded in one go
 BLOCK = 64  # bytes of bitmap per entry of the rank directory
 MAGIC = b"DAC1"
+PUNCTUATION = string.punctuation.encode()
+assert sys.byteorder == "little" and array("I").itemsize == 4
 SEGMENTS = "part int, seq int, doc_ids array<bigint>, starts array<bigint>, n_tokens bigint, codes binary"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -88,65 +95,80 @@ class Dac:
 
 
 class WordCoder:
-    """Ids of texts by words: the tokenizer is asked once for each word it has not seen.
+    """Ids of texts by words: the tokenizer is asked once for each word that a worker does not remember.
 
-    Right for tokenizers that never merge across white space and drop it; `whole` skips the cache for others.
+    Right for tokenizers that never merge across white space and drop it; `whole` skips the words for others. Words of
+    Latin letters, perhaps with ASCII punctuation behind, go straight to the tokenizer's byte-level model in lower
+    case if that gives what the whole tokenizer gives for PROBES. Two generations of words are remembered; the older is
+    forgotten when the younger is full.
     """
 
+    PROBES = ("The", "thing,", "OF.", "antidisestablishment", "x", "q,!", "Zz...", "ciónñoÑ", "Übergrößen.", "e\u0301té", "ĐŐŠŸ")
+
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.whole = Tokenizer.from_file(path), whole
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters only are one piece each, so many are encoded as one text; the rest one by one."""
-        plain, other, tails = [], [], []
-        for word in words:
-            text = word.decode()
-            if text.isalpha():
-                plain.append((word, text))
-            elif word[-1:] in (b".", b",") and text[:-1].isalpha():
-                tails.append(word)
-                if word[:-1] not in self.known:
-                    plain.append((word[:-1], text[:-1]))
-            else:
-                other.append((word, text))
-        for lo in range(0, len(plain), 1000):
-            some = plain[lo:lo + 1000]
-            got = self.model.encode(" ".join(t for _, t in some), add_special_tokens=False)
-            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            if len(cuts) + 1 == len(some):
-                for (word, _), piece in zip(some, np.split(ids, cuts)):
-                    self.known[word] = piece.tobytes()
+        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.model = self.tokenizer.model
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]  # byte-level models write these from U+0100 on
+        self.byte_letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.direct = True
+        self.direct = all(self._direct([w.encode()]).get(w.encode()) == self._whole([w])[0] for w in self.PROBES)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _direct(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of those words that are of the plain form."""
+        found, ask = {}, self.model.tokenize
+        for word in words if self.direct else ():
+            core = word.rstrip(PUNCTUATION)
+            tail = word[len(core):]
+            if tail not in self.tails:
+                if len(self.tails) > 1000:
+                    self.tails = {b"": b""}
+                self.tails[tail] = self._whole([tail.decode()])[0]
+            if not core.isalpha():  # not ASCII letters only
+                text = unicodedata.normalize("NFC", core.decode())
+                if not text.isalpha() or max(text) > "\u024f" or "İ" in text:
+                    continue
+                core = text.lower().encode().decode("latin-1").translate(self.byte_letters)
             else:
-                other += some
-        if other:
-            for (word, _), got in zip(other, self.model.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        for word in tails:
-            if word[-1:] not in self.known:
-                self.known[word[-1:]] = np.array(self.model.encode(word[-1:].decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1:]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+                core = core.lower().decode()
+            found[word] = array("I", [t.id for t in ask(core)]).tobytes() + self.tails[tail]
+        return found
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.young) > CACHED_WORDS // 2:
+            self.old, self.young = self.young, {}
+        codes = list(map(self.young.get, words))
+        gaps = [i for i, code in enumerate(codes) if code is None]
+        here = {words[i]: self.old.get(words[i]) for i in gaps}
+        here.update(self._direct([w for w, code in here.items() if code is None]))
+        rest = [w for w, code in here.items() if code is None]
+        here.update(zip(rest, self._whole([w.decode() for w in rest])))
+        self.young.update(here)
+        for i in gaps:
+            codes[i] = here[words[i]]
+        return codes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls), one after the other, and how many each has."""
         if self.whole:
-            return [np.array(e.ids, "<u4").tobytes() for e in
-                    self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = text.split()
-            try:
-                out.append(b"".join([self.known[w] for w in words]))
-            except KeyError:
-                if len(self.known) > CACHED_WORDS:
-                    self.known.clear()
-                self._learn(list({w for w in words if w not in self.known}))
-                out.append(b"".join([self.known[w] for w in words]))
-        return out
+            codes = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes], np.int64)
+        words, places, starts = words_of(texts)
+        codes = self._ids(words)
+        lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)])), pa.array(np.frombuffer(b"".join(codes), "<u4")))
+        ends = np.concatenate([[0], np.cumsum(lens[places])])[starts]
+        return np.asarray(lists.take(pa.array(places)).flatten()), np.diff(ends)
 
 
 _coders: dict[tuple, WordCoder] = {}
@@ -159,6 +181,13 @@ def coder(path: str, whole: bool) -> WordCoder:
     return _coders[path, whole]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], words: WordCoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of each row (doc_id, text); texts are encoded some at a time."""
+    for some in slices(batches, 1, TOGETHER):
+        ids, counts = words.encode(text_column(some, 1))
+        yield from zip(some.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1]))
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, whole: bool = False) -> str:
     """Encode `docs` (doc_id, text; null texts are empty) and write the segments to `path`.
 
@@ -166,28 +195,26 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str
     the text and the text; repeated rows are kept. `tokenizer` must be readable at that path on the executors.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = coder(tokenizer, whole), np.array([end_id], "<u4").tobytes()
+        words, end = coder(tokenizer, whole), np.array([end_id], "<u4")
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         ids, starts, codes, size = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(codes), "<u4")
+            tokens = np.concatenate(codes)
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
                 pa.array([starts], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([dac_encode(tokens)], pa.binary())],
                 ["part", "seq", "doc_ids", "starts", "n_tokens", "codes"])
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch, 1)):
-                code = words.encode([text or b""])[0] + end
-                ids.append(key)
-                starts.append(base + size)
-                codes.append(code)
-                size += len(code) // 4
-                if size >= SEGMENT_TOKENS:
-                    yield row()
-                    seq, base = seq + 1, base + size
-                    ids, starts, codes, size = [], [], [], 0
+        for key, code in encoded(batches, words):
+            ids.append(key)
+            starts.append(base + size)
+            codes += [code, end]
+            size += len(code) + 1
+            if size >= SEGMENT_TOKENS:
+                yield row()
+                seq, base = seq + 1, base + size
+                ids, starts, codes, size = [], [], [], 0
         if ids:
             yield row()
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -32,8 +33,9 @@ def test_word_cache_equals_whole_texts(text):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = tokens.coder(path, False).encode([text.encode()])[0]
-    assert np.frombuffer(got, "<u4").tolist() == tokens.coder(path, True).model.encode(text, add_special_tokens=False).ids
+    assert tokens.coder(path, False).direct
+    got, counts = tokens.coder(path, False).encode(pa.array([text, "", text + " a"], pa.large_string()))
+    assert got[:counts[0]].tolist() == tokens.coder(path, True).tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_files_hold_every_document(spark, docs, tokenizer):
