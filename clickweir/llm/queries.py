@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweir.llm import mixing, tokens, urls
+from clickweir.llm import language, mixing, simhash, tokens, urls
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -21,10 +21,21 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents_tokens(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = language.learn(docs.where(~language.held_out()))
+    found = language.identify(spark, docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, _table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 

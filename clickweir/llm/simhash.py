@@ -116,10 +116,10 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
             for start in range(SEGMENTS) for k, (a, b) in enumerate(OFFSETS)]
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
+    blocks = F.ceil(F.col("n") / CELL).cast("long")
+    own = F.pmod(F.xxhash64("fp"), blocks)
     cells = (keyed.join(crowded, "key").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)).cast("long"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
              .withColumn("cell", F.least("own", "other") * 2**31 + F.greatest("own", "other"))
              .select("key", "cell", F.floor(F.shiftright("key", 24) / len(OFFSETS)).cast("long").alias("start"), "fp"))
     return (cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "u long, v long"))
