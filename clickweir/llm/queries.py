@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweir.llm import language, mixing, simhash, tokens, urls
+from clickweir.llm import html, language, mixing, simhash, substrings, tokens, urls
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -21,6 +21,16 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents_tokens(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(spark, _table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda total, span: total + span["to"] - span["from"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = language.learn(docs.where(~language.held_out()))
