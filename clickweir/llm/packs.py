@@ -98,16 +98,15 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return distinct, places, starts.astype(np.int64)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     ids: list = []
     parts: list = []
     size = 0
 
     def row() -> pa.RecordBatch:
-        lens = [len(p) for p in parts]
         return pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())),
+            pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
             pa.array([squeeze(b"".join(parts))], pa.binary())], ["pack", "doc_ids", "lens", "body"])
 
     for batch in batches:
@@ -115,14 +114,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(key)
             parts.append(text)
             size += len(text) + 16
-            if size >= PACK_BYTES:
+            if size >= most:
                 yield row()
                 number, ids, parts, size = number + 1, [], [], 0
     if ids:
         yield row()
 
 
-def write_packs(spark: SparkSession, docs: DataFrame, ordered: bool) -> DataFrame:
+def write_packs(spark: SparkSession, docs: DataFrame, ordered: bool, most: int | None = None) -> DataFrame:
     """`docs` (doc_id, text) as packs, stored below the shared folder and bucketed by pack.
 
     `ordered` gives packs ascending ranges of doc_id (rows of one id: by a hash of the text, nulls first), so that the
@@ -134,7 +133,8 @@ def write_packs(spark: SparkSession, docs: DataFrame, ordered: bool) -> DataFram
         docs = docs.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     name = f"packs_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (docs.mapInArrow(_packed, PACK_SCHEMA).write.format("parquet").option("path", scratch(spark, name))
+    most = most or PACK_BYTES
+    (docs.mapInArrow(lambda batches: _packed(batches, most), PACK_SCHEMA).write.format("parquet").option("path", scratch(spark, name))
      .option("compression", "none").bucketBy(buckets, "pack").sortBy("pack").saveAsTable(name))
     return spark.table(name)
 
