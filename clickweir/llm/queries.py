@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweir.llm import html, language, mixing, ppm, simhash, substrings, tokens, urls
+from clickweir.llm import html, language, mixing, neighbours, ppm, simhash, substrings, tokens, urls
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -33,6 +33,10 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 
 
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
