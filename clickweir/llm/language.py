@@ -77,12 +77,8 @@ class Classifier:
         return sizes[0][1], 1 / sum(256.0 ** max(best - n, -100) for n, _ in sizes), margin
 
 
-def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """`docs` with lang_pred, score and accepted (columns of these names are replaced), from the whole text alone.
-
-    `und`, score 0 and not accepted: null texts and those without a letter. A text whose margin is below `margin` keeps
-    its best guess but is not accepted. Without any dictionary all are `und`.
-    """
+def guess(spark: SparkSession, dictionaries: dict[str, bytes], text: Column) -> Column:
+    """Struct of lang_pred, score and margin for a column of texts."""
     shared = spark.sparkContext.broadcast(dictionaries)  # bounded by LANGUAGES * DICTIONARY_BYTES
 
     def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -97,7 +93,21 @@ def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
                                              ["lang_pred", "score", "margin"])
 
-    guess = F.arrow_udf(predicted, "struct<lang_pred: string, score: double, margin: double>")
-    return (docs.withColumn("_guess", guess(F.col("text").cast("string"))).withColumn("lang_pred", F.col("_guess.lang_pred"))
+    return F.arrow_udf(predicted, "struct<lang_pred: string, score: double, margin: double>")(text.cast("string"))
+
+
+def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """`docs` with lang_pred, score and accepted (columns of these names are replaced), from the whole text alone.
+
+    `und`, score 0 and not accepted: null texts and those without a letter. A text whose margin is below `margin` keeps
+    its best guess but is not accepted. Without any dictionary all are `und`.
+    """
+    return (docs.withColumn("_guess", guess(spark, dictionaries, F.col("text"))).withColumn("lang_pred", F.col("_guess.lang_pred"))
             .withColumn("score", F.col("_guess.score"))
             .withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("_guess.margin") >= margin)).drop("_guess"))
+
+
+def accepted(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of `docs` that identify() accepts."""
+    found = docs.withColumn("_guess", guess(spark, dictionaries, F.col("text")))
+    return found.where((F.col("_guess.lang_pred") != "und") & (F.col("_guess.margin") >= margin)).drop("_guess")

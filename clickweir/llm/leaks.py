@@ -207,9 +207,9 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
     return np.linalg.svd(root, full_matrices=False)[0][:, :rank]
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, matched, answered) for every row of `docs` (doc_id, text) and item of `benchmark`
-    (item_id, text) that it holds word for word or as a paraphrase.
+def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
+    """`docs` with an array column `name` of (item_id, cosine, matched, answered), one for each item of `benchmark`
+    (item_id, text) that the row's text holds word for word or as a paraphrase.
 
     An item is held if VERBATIM of its words are found in their order near a passage that is close in latent space, or
     PARAPHRASE of them and ANSWER of its answer. Items and texts that are null or without words match nothing; repeated
@@ -219,12 +219,12 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     if len(rows) > ITEMS:
         raise ValueError(f"more than {ITEMS} benchmark items")
     items = [i for i in (Item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))) if i.words]
-    schema = "doc_id long, item_id long, cosine double, matched double, answered double"
+    kind = "array<struct<item_id: long, cosine: double, matched: double, answered: double>>"
     if not items:
-        return spark.createDataFrame([], schema)
+        return docs.withColumn(name, F.array().cast(kind))
     vocabulary = Vocabulary(items)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    frequency, passages = passage_frequencies(docs.select("text"), vocabulary)
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    frequency, passages = passage_frequencies(texts, vocabulary)
     weights = np.log((1 + passages) / (1 + frequency))
     weights[frequency > max(COMMON * passages, 2 * len(items))] = 0.0
     pieces, owner = [], []
@@ -240,45 +240,60 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     spaces = []
     for lo in range(0, len(pieces), PIECES):
         some = pieces[lo:lo + PIECES]
-        space = latent_space(docs.select("text"), vocabulary, weights, some) * weights[:, None]
+        space = latent_space(texts, vocabulary, weights, some) * weights[:, None]
         latent = np.stack([space[p].sum(0) for p in some])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         spaces.append((space.astype(np.float32), latent.T.astype(np.float32), np.array(owner[lo:lo + PIECES])))
     shared = spark.sparkContext.broadcast((items, weights, spaces))  # bounded by ITEMS, TERMS and PIECES
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def searched(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = [own for _, texts in _texts(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0) for own in near(texts)]
+            yield pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), *[(n, pa.float64()) for n in ("cosine", "matched", "answered")]])))
+
+    def near(texts: pa.Array) -> list[list[dict]]:
         items, weights, spaces = shared.value
-        for some, texts in _texts(batches, 1):
-            keys = some.column(0).to_pylist()
-            distinct, places, terms, starts = vocabulary.read(texts)
-            at = np.flatnonzero(terms >= 0)
-            at = at[weights[terms[at]] > 0]
-            lens = np.diff(starts)
-            counts = np.maximum(1, -(-(lens - SPAN) // STEP) + 1) * (lens > 0)
-            doc = np.repeat(np.arange(len(lens)), counts)
-            begin = starts[doc] + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
-            lo, hi = np.searchsorted(at, begin), np.searchsorted(at, np.minimum(begin + SPAN, starts[doc + 1]))
-            full = np.flatnonzero(hi - lo >= fewest)
-            best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(full), 2048):
-                own = full[a:a + 2048]
-                size = hi[own] - lo[own]
-                ends = np.cumsum(size)
-                term = terms[at[np.repeat(lo[own], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
-                for space, latent, owners in spaces:
-                    made = np.add.reduceat(space[term], ends - size)
-                    cosines = made @ latent / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
-                    for i, j in zip(*np.nonzero(cosines >= NEAR)):
-                        window, number = own[i], int(owners[j])
-                        item, d = items[number], int(doc[window])
-                        around = max(STEP, len(item.words))
-                        words = distinct.take(pa.array(places[max(starts[d], begin[window] - around):min(starts[d + 1], begin[window] + SPAN + around)])).to_pylist()
-                        matched, answered = item.found(words)
-                        if matched >= VERBATIM or matched >= PARAPHRASE and answered >= ANSWER:
-                            got = (matched, answered, float(cosines[i, j]))
-                            best[d, number] = max(best.get((d, number), got), got)
-            found = [(keys[d], items[number].item_id, cosine, matched, answered) for (d, number), (matched, answered, cosine) in sorted(best.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])],
-                                             ["doc_id", "item_id", "cosine", "matched", "answered"])
-
-    return docs.mapInArrow(searched, schema)
+        distinct, places, terms, starts = vocabulary.read(texts)
+        at = np.flatnonzero(terms >= 0)
+        at = at[weights[terms[at]] > 0]
+        lens = np.diff(starts)
+        counts = np.maximum(1, -(-(lens - SPAN) // STEP) + 1) * (lens > 0)
+        doc = np.repeat(np.arange(len(lens)), counts)
+        begin = starts[doc] + STEP * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
+        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, np.minimum(begin + SPAN, starts[doc + 1]))
+        full = np.flatnonzero(hi - lo >= fewest)
+        best: dict[tuple[int, int], tuple] = {}
+        for a in range(0, len(full), 2048):
+            own = full[a:a + 2048]
+            size = hi[own] - lo[own]
+            ends = np.cumsum(size)
+            term = terms[at[np.repeat(lo[own], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
+            for space, latent, owners in spaces:
+                made = np.add.reduceat(space[term], ends - size)
+                cosines = made @ latent / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+                for i, j in zip(*np.nonzero(cosines >= NEAR)):
+                    window, number = own[i], int(owners[j])
+                    item, d = items[number], int(doc[window])
+                    around = max(STEP, len(item.words))
+                    words = distinct.take(pa.array(places[max(starts[d], begin[window] - around):min(starts[d + 1], begin[window] + SPAN + around)])).to_pylist()
+                    matched, answered = item.found(words)
+                    if matched >= VERBATIM or matched >= PARAPHRASE and answered >= ANSWER:
+                        got = (matched, answered, float(cosines[i, j]))
+                        best[d, number] = max(best.get((d, number), got), got)
+        found: list[list[dict]] = [[] for _ in range(len(texts))]
+        for (d, number), (matched, answered, cosine) in sorted(best.items()):
+            found[d].append({"item_id": items[number].item_id, "cosine": cosine, "matched": matched, "answered": answered})
+        return found
+
+    return docs.withColumn(name, F.arrow_udf(searched, kind)(F.col("text").cast("string")))
+
+
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, cosine, matched, answered): a row for each leak of with_leaks()."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_leaks(spark, rows, benchmark).select("doc_id", F.inline("leaks"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` that hold no item of the benchmark."""
+    return with_leaks(spark, docs, benchmark, "_leaks").where(F.size("_leaks") == 0).select(*[f"`{c}`" for c in docs.columns])

@@ -7,8 +7,9 @@ merged by one global range sort on that time and cut at the total budget, so eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clickweir.llm.rows import content_key, repeated
 from clickweir.llm.running import running_total
 from clickweir.session import scratch
 
@@ -47,9 +48,11 @@ def source_targets(spark: SparkSession, sized: DataFrame, weights: tuple[float,
             .select("source", "_rank", "source_size", F.when(F.col("_is_full"), F.col("_cap")).otherwise(share).alias("target")))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of `docs` (doc_id, text, source).
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: str = "mix",
+        row: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, row) for every row of `docs` (doc_id, text, source).
 
+    `row` is a column that tells rows apart, a running number if none is given; rows that share it share their copies.
     Size is the number of words of the text, 0 for null. The shuffle orders a source by the MD5 of `seed` and doc_id
     (rows of one id by size), so reruns agree; each epoch repeats it. A copy is taken if the words up to and including
     it, over all sources, stay within the budget, the total of all sizes. Documents of size 0 are never taken: copies 0.
@@ -57,7 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = stored(spark, docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        key.alias("_key"), F.monotonically_increasing_id().alias("_row")), "sizes")
+        key.alias("_key"), (F.monotonically_increasing_id() if row is None else row).alias("_row")), "sizes")
     targets = stored(spark, source_targets(spark, sized, weights, epochs), "targets")
     queued = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     # One running sum over all queues, one after the other; a queue's own sum starts where the queues before it end.
@@ -72,4 +75,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     budget = targets.agg(F.sum("source_size").alias("_budget"))
     copies = served.join(F.broadcast(budget)).where("_served <= _budget").groupBy("_row").agg(F.count("*").alias("copies"))
     return (queued.join(copies, "_row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_row"))
+            .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_row").alias("row")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
+    """The rows of `docs` that mix() takes, each as often as it is taken."""
+    taken = mix(spark, docs, weights, epochs, row=content_key(docs))
+    return repeated(docs, taken.groupBy(F.col("row").alias("_key")).agg(F.max("copies").alias("_copies"), F.count("*").alias("_rows")))

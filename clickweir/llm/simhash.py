@@ -14,11 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickweir.llm.components import components
 from clickweir.llm.mixing import stored
 from clickweir.llm.packs import texts_of
+from clickweir.llm.rows import content_key, repeated
 
 SEGMENTS, LIMIT = 8, 4
 OFFSETS = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
@@ -45,15 +46,11 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > shingles, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for `docs` (doc_id, text); fp holds the 64 bits as a signed long."""
-    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in texts_of(batch, 1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
-
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(computed, "doc_id long, fp long"))
+def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Arrow function: fingerprints of texts, the 64 bits as a signed long."""
+    for column in texts:
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        yield pa.array(np.array([fingerprint(t) for t in texts_of(batch, 0)], np.uint64).view(np.int64))
 
 
 def _chained(differing: np.ndarray, start: int) -> np.ndarray:
@@ -125,18 +122,35 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
     return (cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_links, "u long, v long"))
 
 
+def marked(spark: SparkSession, docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, *more) of every row of `docs`, stored, and (fp, component) of every fingerprint."""
+    compute = F.arrow_udf(fingerprints, "long")
+    rows = stored(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), compute(F.col("text").cast("string")).alias("fp"), *more), "fingerprints")
+    fps = rows.select("fp").distinct()
+    joined = components(spark, links(spark, fps))
+    return rows, fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text).
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space; null and wordless texts have the fingerprint
-    zero, which links like any other. component_id is the smallest doc_id that links reach, itself included (null ids
+    zero, which links like any other. component_id is the smallest doc_id that links reach, its own included (null ids
     only if there is no other). Rows with one fingerprint are one node, however many there are.
     """
-    marked = stored(spark, fingerprints(docs), "fingerprints")
-    classes = stored(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(spark, links(spark, classes.select("fp")))
-    grouped = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = grouped.join(lowest, "component").select("fp", "component_id")
-    return (marked.join(of_class, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    rows, of_class = marked(spark, docs)
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(of_class, "fp")
+    lowest = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = of_class.join(lowest, "component").select("fp", "component_id")
+    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay if one of each group of near-duplicates does: the one with the smallest doc_id (rows
+    without one last; of one id, that with the lowest hash of its content)."""
+    rows, of_class = marked(spark, docs, content_key(docs).alias("_key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    firsts = rows.groupBy("fp").agg(F.min(order).alias("first")).join(of_class, "fp")
+    kept = firsts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._key").alias("_key"))
+    often = rows.groupBy("_key").agg(F.count("*").alias("_rows"))
+    return repeated(docs, kept.join(often, "_key").select("_key", F.lit(1).alias("_copies"), "_rows"))

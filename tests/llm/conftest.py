@@ -9,7 +9,8 @@ def docs(spark):
     """Documents from (doc_id, text) or (doc_id, text, lang, source), with columns whose names clash with results."""
     def make(rows, **extra):
         full = [(r[0], r[1], *(r[2:4] if len(r) > 2 else ("en", "s")), len(r[1] or "")) for r in rows]
-        return spark.createDataFrame(full, DOC).selectExpr("*", "'x' AS start", "'x' AS size", "'x' AS pack", "'x' AS path", "'x' AS score", "1.5 AS component")
+        return spark.createDataFrame(full, DOC).selectExpr("*", "'x' AS start", "'x' AS size", "'x' AS pack", "'x' AS path", "'x' AS score", "1.5 AS component", "2 AS copies",
+                                                            "3 AS rows", "'x' AS fp", "'x' AS key", "'x' AS leaks", "1 AS node", "true AS accepted")
     return make
 
 
