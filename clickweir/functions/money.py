@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..schemas import MONEY
+
 
 def cents(amount: Column) -> Column:
-    """Whole cents of an amount with two decimals, exact below 2**51 cents."""
-    return F.rint(amount.cast("double") * 100).cast("bigint")
+    """Whole cents of an amount, which is rounded to two decimals: exact for all sixteen whole digits of the declared
+    type, and an error beyond them."""
+    return (amount.cast(MONEY) * 100).cast("bigint")
 
 
 def dollars(cents: Column) -> Column:

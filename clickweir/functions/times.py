@@ -21,7 +21,8 @@ def minutes(count: int) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Naive time as a number, for arithmetic on many rows; whole numbers compare and add faster than intervals."""
+    """Naive time as a number, for arithmetic on many rows; whole numbers compare and add faster than intervals.
+    Goes through the session's zone, which must be UTC."""
     return F.timestamp_diff("MICROSECOND", at("1970-01-01"), ts)
 
 
@@ -57,9 +58,15 @@ def lookback(df: DataFrame, column: str, as_of, **span: float) -> DataFrame:
     return between(df, column, end - timedelta(**span), end)
 
 
+_UNITS = ["day", "hour", "minute", "second"]
+
+
 def truncate(column: Column, unit: str) -> Column:
-    """Naive bucket start; ``date_trunc`` alone would return a zoned timestamp."""
-    return F.date_trunc(unit, column).cast("timestamp_ntz")
+    """Start of the naive time's day, hour, minute or second, made of its own fields: ``date_trunc`` would go through the
+    session's zone, which lacks an hour each spring."""
+    kept = _UNITS.index(unit)
+    clock = [field(column) if kept > i else F.lit(0) for i, field in enumerate((F.hour, F.minute, F.second))]
+    return F.make_timestamp_ntz(F.year(column), F.month(column), F.day(column), *clock)
 
 
 def bucket_start(column: Column, length: str) -> Column:

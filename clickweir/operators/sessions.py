@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.times import at, minutes as span_of
@@ -10,14 +12,14 @@ from .metrics import is_type
 
 
 def sessionize(events: DataFrame, gap_minutes: int = 5, key: str = "user_id") -> DataFrame:
-    """Runs of events of one user without a silence of `gap_minutes` or more.
+    """Runs of events of one user without a silence of `gap_minutes` or more. Events without a user have no session.
 
     Events less than a gap apart always share a session, so all events in a cell one gap long do. Cells are
     built first, by an aggregate that spreads a busy user over many keys; only cells are put in order per
     user. A user then has at most as many rows as gaps fit into the time covered, however many events.
     """
     cell = F.window("timestamp", f"{gap_minutes} minutes").getField("start")
-    cells = events.groupBy(key, cell.alias("cell")).agg(
+    cells = events.filter(F.col(key).isNotNull()).groupBy(key, cell.alias("cell")).agg(
         F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("n"))
     in_order = Window.partitionBy(key).orderBy("cell")
     starts = F.coalesce(F.lag("last").over(in_order) + span_of(gap_minutes) <= F.col("first"), F.lit(True))
@@ -36,7 +38,7 @@ def stream_sessions(events: DataFrame, gap_minutes: int = 5, key: str = "user_id
 
     The window ends a gap after the last event, so the last event's time needs no buffer of its own.
     """
-    return events.groupBy(F.session_window("timestamp", f"{gap_minutes} minutes").alias("w"), key).agg(
+    return events.filter(F.col(key).isNotNull()).groupBy(F.session_window("timestamp", f"{gap_minutes} minutes").alias("w"), key).agg(
         F.count(F.lit(1)).alias("event_count")
     ).select(key, F.col("w.start").alias("session_start"),
              (F.col("w.end") - span_of(gap_minutes)).alias("session_end"), "event_count")
@@ -55,17 +57,20 @@ def cart_state(events: DataFrame, as_of=None) -> DataFrame:
 
 
 def session_funnel(events: DataFrame, key: str = "session_id") -> DataFrame:
-    """One row: sessions, those with a view, with the first cart add after the first view, and with the first
-    purchase after that add. Equal times do not count as after."""
-    def first(event_type: str):
-        return F.min(F.when(is_type(event_type), F.col("timestamp")))
-
-    sessions = events.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        first(VIEW).alias("view"), first(ADD).alias("cart"), first(PURCHASE).alias("purchase"))
-    carted = F.col("cart") > F.col("view")
-    return sessions.agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.count("view").alias("viewed"),
-        F.count(F.when(carted, 1)).alias("carted_after_view"),
-        F.count(F.when(carted & (F.col("purchase") > F.col("cart")), 1)).alias("purchased_after_cart"),
-    )
+    """One row: sessions, those with a view, with a cart add after the first view, and with a purchase after the first
+    such add. Equal times do not count as after.
+
+    Each step is an equi-join of one type's events with a row per session, so a long session is split like any frequent
+    key and is reduced before it is shuffled again.
+    """
+    known = events.filter(F.col(key).isNotNull()).select(key, "event_type", "timestamp")
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min("timestamp").alias(name))
+
+    views = first(known.filter(is_type(VIEW)), "view")
+    adds = first(known.filter(is_type(ADD)).join(views, key).filter(F.col("timestamp") > F.col("view")), "cart")
+    bought = first(known.filter(is_type(PURCHASE)).join(adds, key).filter(F.col("timestamp") > F.col("cart")), "purchase")
+    steps = {"sessions": known.select(key).distinct(), "viewed": views, "carted_after_view": adds, "purchased_after_cart": bought}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n") for name, df in steps.items()]
+    return reduce(DataFrame.unionByName, counts).agg(*[F.max(F.when(F.col("step") == name, F.col("n"))).alias(name) for name in steps])

@@ -493,12 +493,17 @@ def oracle_sql() -> dict[str, str]:
             FROM ev WHERE event_type IN ('add_to_cart', 'remove_from_cart', 'purchase')
             GROUP BY 1, 2 HAVING open_quantity > 0"""),
         "session_funnel": _with("""
-            SELECT COUNT(*) AS sessions, COUNT(v) AS viewed, COUNT(*) FILTER (c > v) AS carted_after_view,
-                   COUNT(*) FILTER (c > v AND p > c) AS purchased_after_cart
-            FROM (SELECT session_id, MIN("timestamp") FILTER (event_type = 'product_view') AS v,
-                         MIN("timestamp") FILTER (event_type = 'add_to_cart') AS c,
-                         MIN("timestamp") FILTER (event_type = 'purchase') AS p
-                  FROM ev GROUP BY 1)"""),
+            SELECT COUNT(DISTINCT session_id) AS sessions,
+                COUNT(DISTINCT session_id) FILTER (event_type = 'product_view') AS viewed,
+                (SELECT COUNT(DISTINCT a.session_id) FROM ev a WHERE a.event_type = 'add_to_cart' AND EXISTS (
+                    SELECT 1 FROM ev v WHERE v.session_id = a.session_id AND v.event_type = 'product_view'
+                        AND v."timestamp" < a."timestamp")) AS carted_after_view,
+                (SELECT COUNT(DISTINCT p.session_id) FROM ev p WHERE p.event_type = 'purchase' AND EXISTS (
+                    SELECT 1 FROM ev a JOIN ev v ON v.session_id = a.session_id AND v.event_type = 'product_view'
+                        AND v."timestamp" < a."timestamp"
+                    WHERE a.session_id = p.session_id AND a.event_type = 'add_to_cart'
+                        AND a."timestamp" < p."timestamp")) AS purchased_after_cart
+            FROM ev"""),
         "stream_raw_events": _with(f"SELECT {FLAT} FROM ev"),
         "stream_metrics_1min": _with(_closed(metrics("minute"), "1 MINUTE")),
         "stream_metrics_1hour": _with(_closed(HOURS, "1 HOUR")),

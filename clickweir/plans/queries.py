@@ -13,7 +13,7 @@ from ..functions import display, ratios, times
 from ..functions.money import amount_sum
 from ..operators import alerts, dashboard, geo, metrics, products, reports, sessions
 from ..schemas import ADD, ALERT_COLUMNS, EVENT_COLUMNS, PURCHASE, REMOVE, SEARCH, VIEW
-from ..session import scratch, use_utc
+from ..session import require_utc, scratch
 from ..sinks import tables as sinks
 from ..sources import messages, tables
 from ..streaming import jobs
@@ -35,7 +35,7 @@ def query(fn: Query) -> Query:
     """Register under the function's name; results get plain types (naive UTC times, double amounts)."""
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain(fn(use_utc(spark), sf_dir))
+        return plain(fn(require_utc(spark), sf_dir))
     _QUERIES[fn.__name__] = run
     return run
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+ROOT = "clickweir.root"
+
 # Settings that results or skew handling rely on. Partition counts and memory
 # belong to the cluster and are left alone.
 DEFAULTS = {
@@ -19,9 +19,6 @@ DEFAULTS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
-_local_root: str | None = None
-
-
 def build_session(app_name: str = "clickweir", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -31,25 +28,33 @@ def build_session(app_name: str = "clickweir", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Stream times are instants, batch times are naive UTC; both agree only in a UTC session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def require_utc(spark: SparkSession) -> SparkSession:
+    """Stream times are instants, table times are naive UTC; both agree only in a session whose zone is UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "+00:00", "Z"):
+        raise RuntimeError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
     return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one is made only for local masters without it."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None or not os.path.isdir(_local_root):
-        _local_root = tempfile.mkdtemp(prefix="clickweir-")
-    return _local_root
+    """The storage root, a Hadoop path that every executor reaches: the cluster's ``spark.checkpoint.dir`` or, where
+    that is unset, the caller's ``clickweir.root`` of the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(ROOT, None)
+    if not root:
+        raise RuntimeError(f"set spark.checkpoint.dir, or {ROOT}, to a folder that every executor reaches")
+    return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/clickweir/{name}-{uuid.uuid4().hex}"
+    """A new path for an intermediate, below a folder of this application's own."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediates. Results that are still to be read from them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/clickweir/{spark.sparkContext.applicationId}"

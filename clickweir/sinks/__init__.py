@@ -1 +1 @@
-"""Writing tables. Every write may be repeated with the same result."""
+"""Writing tables. Table writes may be repeated with the same result; a JDBC append may not."""

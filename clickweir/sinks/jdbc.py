@@ -32,4 +32,5 @@ def jdbc_options(database_url: str, table: str, writers: int = 8, batch_size: in
 
 
 def write_jdbc(df: DataFrame, database_url: str, table: str, mode: str = "append") -> None:
+    """Not repeatable: a second append adds the rows a second time. Append to a staging table and merge there."""
     df.write.format("jdbc").options(**jdbc_options(database_url, table)).mode(mode).save()

@@ -5,31 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schemas import MESSAGE, MONEY, REQUIRED
+from ..schemas import EVENT_TYPES, MESSAGE, MONEY, REQUIRED
 
 _BROKEN = "_broken"
 
+# The full date and time; anything shorter would be filled up from the day the job runs.
+_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?( ?(Z|z|[+-]\d{2}(:?\d{2})?))?$"
+
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO-8601 text, with or without ``Z``, to a time; null when it is not one."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 text of a full date and time to the second or finer, with or without a zone, to a time; null when it is
+    not one."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(_TIME), F.try_to_timestamp(trimmed))
+
 
+def decode(messages: DataFrame, value: str = "value", types: str = "any", received: str | None = None,
+           ahead_minutes: float | None = None) -> DataFrame:
+    """JSON messages to typed nested events with the text they came in and a `reject_reason`, null for good ones.
 
-def decode(messages: DataFrame, value: str = "value") -> DataFrame:
-    """JSON messages to typed nested events with a `reject_reason`, null for good ones."""
+    Reasons: ``malformed json``, ``wrong type`` (JSON, but a field does not have its type), ``missing <field>`` for
+    required fields that are absent, null or blank, ``bad timestamp``; with ``types="known"`` also ``unknown event
+    type`` (by default any type is kept, as the original does; metrics pass over unknown ones); and ``ahead of time``
+    for events more than `ahead_minutes` after the message's time in the column `received`, which would move the
+    watermark of a stream past everything else.
+    """
+    if types not in ("any", "known"):
+        raise ValueError(f"unknown types: {types}")
     schema = StructType([*MESSAGE.fields, StructField(_BROKEN, StringType())])
-    body = F.from_json(F.col(value).cast("string"), schema,
-                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
-    events = messages.select(body.alias("data")).select("data.*")
-    reason = F.when(F.col(_BROKEN).isNotNull(), F.lit("malformed json"))
+    text = F.col(value).cast("string")
+    body = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    kept = [F.col(received).alias("_received")] if received else []
+    events = messages.select(body.alias("data"), text.alias("message_text"), *kept).select("data.*", "message_text", *(["_received"] if received else []))
+    time = parse_timestamp(F.col("timestamp"))
+    is_object = F.ltrim(F.col(_BROKEN)).startswith("{") & F.get_json_object(F.col(_BROKEN), "$").isNotNull()
+    reason = F.when(F.col(_BROKEN).isNotNull(), F.when(is_object, F.lit("wrong type")).otherwise(F.lit("malformed json")))
     for name in REQUIRED:
-        reason = reason.when(F.col(name).isNull(), F.lit(f"missing {name}"))
-    reason = reason.when(parse_timestamp(F.col("timestamp")).isNull(), F.lit("bad timestamp"))
+        reason = reason.when(F.col(name).isNull() | (F.trim(F.col(name)) == ""), F.lit(f"missing {name}"))
+    reason = reason.when(time.isNull(), F.lit("bad timestamp"))
+    if types == "known":
+        reason = reason.when(~F.col("event_type").isin(EVENT_TYPES), F.lit("unknown event type"))
+    if received and ahead_minutes is not None:
+        latest = F.col("_received").cast("timestamp") + F.make_dt_interval(mins=F.lit(ahead_minutes))
+        reason = reason.when(time > latest, F.lit("ahead of time"))
     return (
         events
         .withColumn("reject_reason", reason)
-        .withColumn("timestamp", parse_timestamp(F.col("timestamp")))
+        .withColumn("timestamp", time)
         .withColumnRenamed(_BROKEN, "broken_text")
+        .drop("_received")
     )
 
 
@@ -48,7 +72,7 @@ def row_to_json(df: DataFrame) -> Column:
 
 
 def flatten(events: DataFrame) -> DataFrame:
-    """Nested events to the 16 columns of the raw event table."""
+    """Nested events to the 16 columns of the raw event table; `raw_data` is the message as it came."""
     return events.select(
         "event_id", "event_type", "timestamp", "user_id", "session_id",
         F.col("product.id").alias("product_id"),
@@ -59,7 +83,7 @@ def flatten(events: DataFrame) -> DataFrame:
         F.col("location.city").alias("city"),
         F.col("location.country").alias("country"),
         F.col("location.ip").alias("ip_address"),
-        row_to_json(events).alias("raw_data"),
+        F.col("message_text").alias("raw_data"),
     )
 
 

@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from clickweir.functions import display, ratios, times
+from clickweir.functions import display, money, ratios, times
 from clickweir.functions.money import amount_sum
 
 
@@ -82,3 +82,18 @@ def test_range_is_half_open_and_prunes_dates(spark):
     got = times.between(df, "ts", "2025-01-02", "2025-01-03")
     assert got.count() == 4
     assert "event_date" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_truncation_does_not_depend_on_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:15.5' AS t UNION ALL SELECT timestamp_ntz'1969-12-31 23:59:59.5'")
+        got = df.select(times.truncate(F.col("t"), "hour").cast("string"), times.truncate(F.col("t"), "minute").cast("string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [tuple(r) for r in got] == [("2024-03-10 02:00:00", "2024-03-10 02:30:00"), ("1969-12-31 23:00:00", "1969-12-31 23:59:00")]
+
+
+def test_cents_are_exact(spark):
+    df = spark.sql("SELECT CAST('9999999999999999.99' AS DECIMAL(18, 2)) AS a UNION ALL SELECT CAST('45035996273704.97' AS DECIMAL(18, 2))")
+    assert [r[0] for r in df.select(money.cents(F.col("a"))).collect()] == [999999999999999999, 4503599627370497]

@@ -4,6 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from clickweir.plans import shop
 from clickweir.schemas import EVENT_COLUMNS
 from clickweir.sources import messages
 from conftest import event, rows
@@ -44,10 +45,39 @@ def test_bad_messages_are_kept_apart(spark):
 
 
 def test_timestamps(spark):
-    df = spark.createDataFrame([("2025-01-03T10:30:00Z",), ("2025-01-03T10:30:00",), ("2025-01-03T10:30:00+02:00",),
-                                ("soon",), (None,)], "t string")
+    bad = ["soon", None, "10:00", "T12:30", "2024", "2024-01", "2024-01-05", "2024-01-05T10:30", "2024-13-05T10:30:00", "2024-01-05T25:30:00", ""]
+    df = spark.createDataFrame([("2025-01-03T10:30:00Z",), ("2025-01-03T10:30:00",), ("2025-01-03 10:30:00.000000",), ("2025-01-03T10:30:00+02:00",),
+                                *[(t,) for t in bad]], "t string")
     got = [r[0] for r in df.select(messages.parse_timestamp(F.col("t")).cast("timestamp_ntz")).collect()]
-    assert got == [datetime(2025, 1, 3, 10, 30)] * 2 + [datetime(2025, 1, 3, 8, 30), None, None]
+    assert got == [datetime(2025, 1, 3, 10, 30)] * 3 + [datetime(2025, 1, 3, 8, 30)] + [None] * len(bad)
+
+
+def test_raw_data_is_the_message(spark):
+    text = json.dumps({**GOOD, "timestamp": "2025-01-03T10:30:00.123456", "unknown": [1, {"a": None}]})
+    row = messages.flatten(messages.accepted(decode(spark, text))).first()
+    assert row["raw_data"] == text and row["timestamp"].microsecond == 123456
+
+
+def test_reasons(spark):
+    cases = {"wrong type": {**GOOD, "quantity": "2"}, "missing user_id": {**GOOD, "user_id": " "}, "missing event_type": {**GOOD, "event_type": None},
+             "bad timestamp": {**GOOD, "timestamp": "10:00"}, None: {**GOOD, "event_type": "wave"}}
+    for reason, body in cases.items():
+        assert decode(spark, json.dumps(body)).first()["reject_reason"] == reason
+    df = spark.createDataFrame([(json.dumps({**GOOD, "event_type": "wave"}),), ("[1]",), (json.dumps(GOOD),)], "value string")
+    assert [r["reject_reason"] for r in messages.decode(df, types="known").collect()] == ["unknown event type", "malformed json", None]
+
+
+def test_times_ahead_of_the_message(spark):
+    df = spark.createDataFrame([(json.dumps({**GOOD, "timestamp": t}), datetime(2025, 1, 3, 10, 30)) for t in ("2025-01-03T10:39:59", "2025-01-03T10:40:01")],
+                               "value string, arrived timestamp")
+    got = messages.decode(df, received="arrived", ahead_minutes=10)
+    assert [r["reject_reason"] for r in got.collect()] == [None, "ahead of time"] and "_received" not in got.columns
+
+
+def test_products_of_odd_events(spark):
+    rows_ = spark.createDataFrame([(1, "view", 5, p) for p in ('{"k": 7}', "{}", None, '{"k": "x"}')], "event_id long, event_type string, user_id long, props string")
+    events = shop.as_shop_events(rows_.withColumn("ts", F.lit("2025-01-03").cast("timestamp_ntz")).withColumn("value", F.lit(1.0)))
+    assert [r["product_id"] for r in shop.with_products(spark, events, "/root/testdata/sf0.001").orderBy("product_id").collect()] == [None, None, None, "7"]
 
 
 def test_defaults(frame):

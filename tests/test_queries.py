@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from clickweir.plans import oracle, queries as registered
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,18 +18,23 @@ def db():
     return check.connect(SF)
 
 
-def test_every_sql_has_a_query():
+def test_every_query_has_sql():
+    assert set(registered.queries()) == set(oracle.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"dashboard_snapshot"}
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", registered.queries())
 def test_query(spark, db, name):
-    query, sql = entry.queries()[name], entry.oracle_sql().get(name)
-    if sql is None:
-        assert query(spark, SF).count() == 1
-    else:
-        assert check.compare(spark, db, SF, query, sql) == ""
+    assert check.compare(spark, db, SF, entry.queries()[name], oracle.oracle_sql()[name]) == ""
+
+
+def test_session_must_be_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(RuntimeError, match="timeZone"):
+            registered.queries()["metrics_1min"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_entry(spark):

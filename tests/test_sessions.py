@@ -43,3 +43,12 @@ def test_session_funnel(golden, frame):
                        event("b", "10:00:01", "add_to_cart", "u1", "s1", "p1", 1),
                        event("c", "10:00:02", "product_view", "u1", "s1", "p1")])
     assert rows(sessions.session_funnel(backwards)) == [(1, 1, 0, 0)]
+    early = frame([event("a", "00:00:00", "add_to_cart", "u1", "s1", "p1", 1), event("b", "00:01:00", "product_view", "u1", "s1", "p1"),
+                   event("c", "00:02:00", "add_to_cart", "u1", "s1", "p1", 1), event("d", "00:03:00", "purchase", "u1", "s1", "p1", 1, "1.00"),
+                   event("e", "00:03:00", "product_view", "u1", None, "p1"), event("f", "00:03:00", "purchase", "u1", "s2", "p1", 1, "1.00")])
+    assert rows(sessions.session_funnel(early)) == [(2, 1, 1, 1)]
+
+
+def test_no_session_without_a_user(frame):
+    df = frame([event("a", "00:00:00", "search", None, "s1"), event("b", "00:00:01", "search", "u1", "s1")])
+    assert rows(sessions.sessionize(df), "user_id", "event_count") == [("u1", 1)]
