@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.display import fixed
 from ..functions.money import cents, dollars
 from ..functions.ratios import safe_ratio
-from ..functions.times import at, from_micros, lookback, micros, minutes as span_of
+from ..functions.times import at, between, from_micros, instant, lookback, micros, minutes as span_of
 from ..schemas import ALERT_COLUMNS, MONEY
 
 TEXT_COLUMNS = ["title", "description"]
 
+# The bucket of an alert that one bucket raised by itself, else null.
+SOURCE = "source_bucket"
+
 _AT = "detected_at"
 
 
@@ -40,19 +44,23 @@ class Rule:
 _MINUTE = 60_000_000
 
 
-def _evaluations(rows: DataFrame, minutes: int, as_of, step_minutes: int, until) -> DataFrame:
+def _evaluations(rows: DataFrame, minutes: int, as_of, step_minutes: int, until, since=None) -> DataFrame:
     """Rows paired with the evaluation times whose last `minutes` hold their bucket.
 
-    Times are numbers here: `bucket` and `at`. `until` ends a history; without it, times up to a span after
-    the last row are judged.
+    Times are numbers here: `bucket` and `at`. `since` begins a history, and rows before the span of its first time are
+    not read; `until` ends it; without them all times from the first row to a span after the last are judged.
     """
     span, step = minutes * _MINUTE, step_minutes * _MINUTE
     bucket = F.col("bucket")
     if as_of is not None:
         recent = lookback(rows, "time_bucket", as_of, minutes=minutes)
         return recent.withColumns({"bucket": micros(F.col("time_bucket")), "at": micros(at(as_of))})
-    numbered = rows.withColumn("bucket", micros(F.col("time_bucket")))
+    start = None if since is None else instant(since) - timedelta(minutes=minutes)
+    numbered = between(rows, "time_bucket", start, until).withColumn("bucket", micros(F.col("time_bucket")))
     first = bucket - F.pmod(bucket, F.lit(step)) + step
+    if since is not None:
+        begin = micros(at(since))
+        first = F.greatest(first, begin + F.pmod(-begin, F.lit(step)))
     last = bucket + span if until is None else F.least(bucket + span, micros(at(until)))
     times = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("bigint")))
     return numbered.withColumn("at", F.explode(times))
@@ -157,7 +165,9 @@ def revenue_anomaly(minutes: int = 10, up_pct: float = 100.0, down_pct: float =
     ``down_pct=100`` is the literal limit of the original detector, which no loss can exceed.
     """
     current, previous = F.col("revenue_current"), F.col("revenue_previous")
-    change = _relative(current - previous, previous)
+    # From amounts, not from cents: the text shows the change rounded, and a tie may fall on either side.
+    now, before = current.cast("double") / 100, previous.cast("double") / 100
+    change = _relative(now - before, before)
     due = ((change > up_pct) | (change < -down_pct)) & (previous > 0)
     return Rule("revenue_anomaly", minutes, 2 * minutes,
                 _pair("revenue", cents(F.col("total_revenue")), minutes, missing), F.when(
@@ -205,9 +215,9 @@ def minute_rules() -> list[Rule]:
     return [traffic_spike(), traffic_drop(), low_conversion(), high_cart_abandonment(), revenue_anomaly()]
 
 
-def evaluate(metrics: DataFrame, rules: Sequence[Rule], as_of=None, step_minutes: int = 1, until=None) -> DataFrame:
-    """Alerts of all rules from one pass over the minute metrics."""
-    rows = _evaluations(metrics, max(rule.reads for rule in rules), as_of, step_minutes, until)
+def evaluate(metrics: DataFrame, rules: Sequence[Rule], as_of=None, step_minutes: int = 1, until=None, since=None) -> DataFrame:
+    """Alerts of all rules from one pass over the minute metrics: at `as_of`, or at every step from `since` to `until`."""
+    rows = _evaluations(metrics, max(rule.reads for rule in rules), as_of, step_minutes, until, since)
     totals = rows.groupBy("at").agg(*[measure for rule in rules for measure in rule.measures])
     findings = (
         totals.select("at", F.explode(F.array(*[rule.finding for rule in rules])).alias("finding"))
@@ -218,29 +228,42 @@ def evaluate(metrics: DataFrame, rules: Sequence[Rule], as_of=None, step_minutes
     nothing = F.lit(None).cast("string")
     return _dated(findings).withColumns({
         "product_id": nothing, "product_name": nothing, "title": title, "description": description,
-    }).select(*ALERT_COLUMNS, *TEXT_COLUMNS)
+        SOURCE: F.lit(None).cast("timestamp_ntz"),
+    }).select(*ALERT_COLUMNS, *TEXT_COLUMNS, SOURCE)
 
 
 def trending_products(products: DataFrame, as_of=None, minutes: int = 5, multiplier: float = 3.0,
                       fallback: float = 10.0, limit: int = 5, step_minutes: int = 1,
-                      until=None, all_buckets: bool = False) -> DataFrame:
+                      until=None, all_buckets: bool = False, since=None) -> DataFrame:
     """Products viewed more than `multiplier` times as often as the mean of all rows in the lookback.
 
     `products` holds product metrics or rankings. A product's buckets count once, by the best of them;
     `all_buckets` lets each bucket raise an alert of its own.
+
+    Means come from one row per bucket, not from all product rows, and only rows that pass the lowest of the means are
+    paired with evaluation times. At one time the mean is a scalar; in a history it is joined by time.
     """
-    rows = _evaluations(products, minutes, as_of, step_minutes, until)
-    means = rows.groupBy("at").agg(F.avg("views_per_minute").alias("mean"))
-    means = means.withColumn("mean", F.when(F.col("mean") != 0, F.col("mean")).otherwise(F.lit(float(fallback))))
-    # The limit is positive, so rows without views never pass it and need not meet the means.
-    viewed = _evaluations(products.filter(F.col("views_per_minute") > 0), minutes, as_of, step_minutes, until)
-    hot = viewed.join(means, "at").filter(F.col("views_per_minute") > F.col("mean") * multiplier)
+    def usual(total: Column, rows: Column) -> Column:
+        mean = safe_ratio(total, rows, None)
+        return F.when(mean != 0, mean).otherwise(F.lit(float(fallback)))
+
+    views, mean, name = F.col("views_per_minute"), F.col("mean"), F.col("product_name")
+    buckets = products.groupBy("time_bucket").agg(F.sum("views_per_minute").alias("total"), F.count("views_per_minute").alias("rows"))
+    spread = _evaluations(buckets, minutes, as_of, step_minutes, until, since)
+    if as_of is not None:
+        seen = _evaluations(products, minutes, as_of, step_minutes, until)
+        hot = seen.withColumn("mean", spread.agg(usual(F.sum("total"), F.sum("rows"))).scalar())
+    else:
+        means = spread.groupBy("at").agg(usual(F.sum("total"), F.sum("rows")).alias("mean"))
+        above = products.filter(views > means.agg(F.min("mean")).scalar() * multiplier)
+        hot = _evaluations(above, minutes, as_of, step_minutes, until, since).join(means, "at")
+    hot = hot.filter(views > mean * multiplier)
     if not all_buckets:
         top = F.max(F.struct("views_per_minute", "time_bucket", "product_name", "view_count"))
         hot = hot.groupBy("at", "mean", "product_id").agg(top.alias("top")).select("at", "mean", "product_id", "top.*")
     best = [F.desc_nulls_last("views_per_minute"), F.desc_nulls_last("time_bucket"), F.asc_nulls_last("product_id")]
     listed = hot.withColumn("place", F.row_number().over(Window.partitionBy("at").orderBy(*best)))
-    views, mean, name = F.col("views_per_minute"), F.col("mean"), F.col("product_name")
+    source = F.col("time_bucket") if all_buckets else F.lit(None).cast("timestamp_ntz")
     return _dated(listed.filter(F.col("place") <= limit)).select(
         F.lit("trending_product").alias("alert_type"), F.lit("info").alias("severity"),
         F.lit("views_per_minute").alias("metric_name"), views.cast("double").alias("current_value"),
@@ -248,21 +271,26 @@ def trending_products(products: DataFrame, as_of=None, minutes: int = 5, multipl
         "product_id", "product_name", _AT,
         _text("Trending: ", name).alias("title"),
         _text(name, " is trending with ", fixed(views, 0), " views/min (", F.col("view_count"), " total views).")
-        .alias("description"),
+        .alias("description"), source.alias(SOURCE),
     )
 
 
-def run_all_checks(metrics: DataFrame, products: DataFrame, as_of=None, until=None) -> DataFrame:
-    """Alerts of all six detectors with their default limits, as log rows."""
+def run_all_checks(metrics: DataFrame, products: DataFrame, as_of=None, until=None, since=None,
+                   rules: Sequence[Rule] | None = None, **trending) -> DataFrame:
+    """Alerts of all six detectors as log rows, with their default limits unless `rules` and keywords of
+    `trending_products` say otherwise."""
     return recorded(
-        evaluate(metrics, minute_rules(), as_of, until=until)
-        .unionByName(trending_products(products, as_of, until=until)))
+        evaluate(metrics, rules or minute_rules(), as_of, until=until, since=since)
+        .unionByName(trending_products(products, as_of, until=until, since=since, **trending)))
 
 
 def alert_id() -> Column:
-    """The same alert always gets the same id, so a repeated run adds nothing new."""
-    return F.sha2(F.concat_ws("-", "alert_type", F.coalesce("product_id", F.lit("")),
-                              F.date_format(_AT, "yyyy-MM-dd HH:mm:ss")), 256)
+    """The same alert always gets the same id, so a repeated run adds nothing new. Alerts that name the bucket they come
+    from have it in their id."""
+    def text(column: str) -> Column:
+        return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+    return F.sha2(F.concat_ws("-", "alert_type", F.coalesce("product_id", F.lit("")), text(_AT), text(SOURCE)), 256)
 
 
 def recorded(alerts: DataFrame) -> DataFrame:

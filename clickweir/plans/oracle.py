@@ -135,7 +135,7 @@ grid AS (
 ),
 totals AS (
     SELECT t AS detected_at,
-        COALESCE(SUM(total_views) FILTER (recent), 0)::BIGINT AS views,
+        COALESCE(SUM(total_views) FILTER (recent), 0)::BIGINT AS views, COUNT(*) FILTER (recent) AS views_rows,
         COALESCE(SUM(total_views) FILTER (NOT recent), 0)::BIGINT AS views_before,
         COALESCE(SUM(purchase_count) FILTER (recent), 0)::BIGINT AS bought,
         COALESCE(AVG(conversion_rate) FILTER (recent), 0) AS conversion,
@@ -207,6 +207,11 @@ best AS (
     SELECT * FROM listed
     QUALIFY ROW_NUMBER() OVER (PARTITION BY t, product_id ORDER BY views_per_minute DESC, time_bucket DESC) = 1
 ),
+buckets AS (
+    SELECT t, product_id, product_name, time_bucket, views_per_minute, mean FROM listed JOIN means USING (t)
+    WHERE views_per_minute > mean * 3
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
+),
 hot AS (
     SELECT 'trending_product' AS alert_type, 'info' AS severity, 'views_per_minute' AS metric_name,
         views_per_minute AS current_value, ROUND(mean * 3, 4) AS threshold_value,
@@ -218,6 +223,21 @@ hot AS (
     QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
 )"""
 
+# The same at one minute: the day before it, in hourly rows of the events of that day.
+HOT_NOW = f"""
+hourly_now AS ({product_metrics('hour', 60).replace("FROM ev WHERE", f"FROM ev WHERE \"timestamp\" >= {CHECKED_AT} - INTERVAL 24 HOUR AND \"timestamp\" < {CHECKED_AT} AND")}),
+listed_now AS (SELECT * FROM hourly_now WHERE time_bucket >= {CHECKED_AT} - INTERVAL 24 HOUR AND time_bucket < {CHECKED_AT}),
+hot_now AS (
+    SELECT 'trending_product' AS alert_type, 'info' AS severity, 'views_per_minute' AS metric_name,
+        views_per_minute AS current_value, ROUND(mean * 3, 4) AS threshold_value,
+        (views_per_minute - mean) / mean * 100 AS percentage_change, product_id, product_name, {CHECKED_AT} AS detected_at
+    FROM (SELECT * FROM listed_now
+          QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY views_per_minute DESC, time_bucket DESC) = 1),
+         (SELECT COALESCE(NULLIF(AVG(views_per_minute), 0), 10.0) AS mean FROM listed_now)
+    WHERE views_per_minute > mean * 3
+    QUALIFY ROW_NUMBER() OVER (ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
+)"""
+
 LOG = f"""
 {TOTALS}, {HOT},
 found AS ({' UNION ALL '.join(ALERTS.values())} UNION ALL SELECT * FROM hot),
@@ -331,7 +351,9 @@ t AS (
         WHEN 'product_view' THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
         WHEN 'add_to_cart' THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f')
         WHEN 'purchase' THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '+02:00'
-        WHEN 'remove_from_cart' THEN 'soon' ELSE '' END AS text,
+        WHEN 'remove_from_cart' THEN 'soon'
+        ELSE CASE CAST(event_id AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN strftime("timestamp", '%H:%M')
+             WHEN 2 THEN strftime("timestamp", '%Y') ELSE strftime("timestamp", '%Y-%m-%dT%H:%M') END END AS text,
         CASE event_type WHEN 'product_view' THEN "timestamp" WHEN 'add_to_cart' THEN "timestamp"
              WHEN 'purchase' THEN "timestamp" - INTERVAL 2 HOUR END AS parsed
     FROM ev
@@ -352,6 +374,10 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "metrics_1min": _with(metrics("minute")),
+        "metrics_1min_options": _with(f"""
+            SELECT m.* REPLACE (COALESCE(average_order_value, 0.0) AS average_order_value, all_users AS unique_users)
+            FROM m JOIN (SELECT date_trunc('minute', "timestamp") AS time_bucket, COUNT(DISTINCT user_id) AS all_users FROM ev GROUP BY 1)
+            USING (time_bucket)""", MINUTES),
         "metrics_1hour": _with(HOURS),
         "product_metrics_1min": _with(product_metrics()),
         "product_metrics_by_id": _with(PRODUCT_BY_ID),
@@ -363,6 +389,10 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT * FROM ({ranked("date_trunc('hour', \"timestamp\")", 60, 20)})
                   QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY time_bucket DESC) = 1)
             ORDER BY rank, time_bucket DESC, product_id LIMIT 10"""),
+        "trending_now_buckets": _with(f"""
+            SELECT product_id, product_name, product_category AS category, product_price AS price, view_count AS views,
+                   purchase_count AS purchases, revenue, views_per_minute, trending_score, rank
+            FROM ({ranked("date_trunc('hour', \"timestamp\")", 60, 20)}) ORDER BY rank, time_bucket DESC, product_id LIMIT 10"""),
         "live_metrics": _with("""
             SELECT COALESCE(CAST(SUM(CAST(total_revenue AS DECIMAL(18, 2))) AS DOUBLE), 0) AS revenue,
                    COALESCE(SUM(total_orders), 0)::BIGINT AS orders,
@@ -391,7 +421,19 @@ def oracle_sql() -> dict[str, str]:
         "alert_cart_abandonment": _alert("cart_abandonment"),
         "alert_revenue_anomaly": _alert("revenue_anomaly"),
         "alert_trending_product": _with(f"SELECT {ALERT} FROM hot", HOT),
-        "alert_messages": _alert("traffic_spike", f"{ALERT}, title, description"),
+        "alert_trending_buckets": _with("""
+            SELECT 'trending_product' AS alert_type, 'info' AS severity, 'views_per_minute' AS metric_name,
+                ROUND(views_per_minute, 4) AS current_value, ROUND(mean * 3, 4) AS threshold_value,
+                ROUND((views_per_minute - mean) / mean * 100, 4) AS percentage_change, product_id, product_name, t AS detected_at,
+                time_bucket AS source_bucket,
+                sha256('trending_product-' || product_id || '-' || strftime(t, '%Y-%m-%d %H:%M:%S') || '-'
+                    || strftime(time_bucket, '%Y-%m-%d %H:%M:%S')) AS id
+            FROM buckets""", HOT),
+        "alert_trending_now": _with(f"SELECT {ALERT} FROM hot WHERE detected_at = {AS_OF}", HOT),
+        "alert_messages": _with(f"SELECT {ALERT}, title, description FROM found", LOG),
+        "alert_options": _with(f"""
+            SELECT {ALERT} FROM ({ALERTS['traffic_drop']} AND views_rows > 0) UNION ALL
+            SELECT {ALERT} FROM ({ALERTS['revenue_anomaly'].replace('< -50', '< -100')})""", TOTALS),
         "alerts_all": _with(f"""
             SELECT {ALERT}, id, TRUE AS is_active, CAST(NULL AS TIMESTAMP) AS resolved_at FROM log""", LOG),
         "alerts_resolved": _with(f"""
@@ -402,7 +444,8 @@ def oracle_sql() -> dict[str, str]:
                    ROUND(percentage_change, 4) AS change_percent, product_name AS product, detected_at
             FROM log WHERE NOT ({OLD}) ORDER BY detected_at DESC, id LIMIT 10""", LOG),
         "alerts_now": _with(f"""
-            SELECT {ALERT} FROM ({' UNION ALL '.join(ALERTS.values())}) WHERE detected_at = {CHECKED_AT}""", TOTALS),
+            SELECT {ALERT} FROM found WHERE alert_type <> 'trending_product' AND detected_at = {CHECKED_AT}
+            UNION ALL SELECT {ALERT} FROM hot_now""", LOG, HOT_NOW),
         "stats_report": _with(STATS, LOG),
         "recent_events": _with("""
             SELECT event_type, "timestamp", user_id, product_name, CAST(total_amount AS DOUBLE) AS total_amount
@@ -417,17 +460,20 @@ def oracle_sql() -> dict[str, str]:
         "decode_events": _with("""
             SELECT event_id, event_type, "timestamp", user_id, session_id, product_id, product_price, quantity,
                    CAST(total_amount AS DOUBLE) AS total_amount, city
-            FROM ev WHERE product_id IS NULL OR product_id NOT IN ('97', '98', '99')"""),
+            FROM ev WHERE product_id IS NULL OR product_id NOT IN ('94', '95', '96', '97', '98', '99')"""),
         "reject_malformed": _with("""
-            SELECT CASE product_id WHEN '97' THEN 'malformed json' WHEN '98' THEN 'bad timestamp'
-                        ELSE 'missing user_id' END AS reject_reason,
-                   COUNT(*) AS messages, COUNT(*) FILTER (product_id = '97') AS with_text
-            FROM ev WHERE product_id IN ('97', '98', '99') GROUP BY 1"""),
+            SELECT CASE product_id WHEN '95' THEN 'wrong type' WHEN '97' THEN 'malformed json' WHEN '96' THEN 'bad timestamp'
+                        WHEN '98' THEN 'bad timestamp' ELSE 'missing user_id' END AS reject_reason,
+                   COUNT(*) AS messages, COUNT(*) FILTER (product_id IN ('95', '97')) AS with_text
+            FROM ev WHERE product_id IN ('94', '95', '96', '97', '98', '99') GROUP BY 1"""),
         "flatten_events": _with(f"SELECT {FLAT} FROM ev"),
         "default_fill": _with("""
             SELECT event_id, event_type, COALESCE(quantity, 1) AS quantity,
                    CAST(COALESCE(total_amount, 0) AS DOUBLE) AS total_amount, COALESCE(product_price, 0) AS product_price
             FROM ev"""),
+        "default_quantity": _with("""
+            SELECT event_id, event_type, COALESCE(quantity, 1) AS quantity, CAST(total_amount AS DOUBLE) AS total_amount, product_price
+            FROM ev"""),
         "row_to_json": _with(JSON_TEXT),
         "parse_timestamp": _with("SELECT * FROM t", TEXT),
         "dedup_events": _with("""

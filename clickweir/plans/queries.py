@@ -73,6 +73,12 @@ def metrics_1min(spark, sf_dir):
     return minute(spark, sf_dir)
 
 
+@query
+def metrics_1min_options(spark, sf_dir):
+    """All users counted, and zero as the average order value of minutes without orders."""
+    return metrics.minute_metrics(shop.shop_events(spark, sf_dir), users="all", empty="zero")
+
+
 @query
 def metrics_1hour(spark, sf_dir):
     return metrics.hour_metrics(shop.shop_events(spark, sf_dir))
@@ -106,6 +112,13 @@ def trending_now(spark, sf_dir):
     return products.trending_now(ranked, AS_OF, minutes=DAY)
 
 
+@query
+def trending_now_buckets(spark, sf_dir):
+    """Every stored row of the ranking, not only a product's latest."""
+    ranked = products.ranking_history(last_day(shop.shop_events(spark, sf_dir, products=True)), minutes=60)
+    return products.trending_now(ranked, AS_OF, minutes=DAY, all_buckets=True)
+
+
 @query
 def live_metrics(spark, sf_dir):
     live = dashboard.live_metrics(last_day_minutes(spark, sf_dir), AS_OF, minutes=DAY)
@@ -157,21 +170,25 @@ def rules() -> dict[str, alerts.Rule]:
     }
 
 
-def alert_history(spark, sf_dir, *names: str) -> DataFrame:
-    """Verdicts of every minute of the whole history."""
+def alert_history(spark, sf_dir, *names: str, since=None) -> DataFrame:
+    """Verdicts of every minute of the history, or of its part from `since` on."""
     chosen = [rules()[name] for name in names or rules()]
-    found = alerts.evaluate(minute(spark, sf_dir), chosen, until=AS_OF)
+    start = None if since is None else times.instant(since) - timedelta(hours=2)   # the rules look back two hours
+    events = times.between(shop.shop_events(spark, sf_dir), "timestamp", start, None if since is None else AS_OF)
+    found = alerts.evaluate(metrics.minute_metrics(events), chosen, until=AS_OF, since=since)
     return rounded(found, "current_value", "percentage_change")
 
 
-def trending_history(spark, sf_dir) -> DataFrame:
-    hourly = products.product_metrics(shop.shop_events(spark, sf_dir, products=True), minutes=60)
-    found = alerts.trending_products(hourly, minutes=DAY, step_minutes=60, until=AS_OF)
+def trending_history(spark, sf_dir, since=None, all_buckets: bool = False) -> DataFrame:
+    start = None if since is None else times.instant(since) - timedelta(minutes=DAY)
+    events = times.between(shop.shop_events(spark, sf_dir, products=True), "timestamp", start, None if since is None else AS_OF)
+    found = alerts.trending_products(products.product_metrics(events, minutes=60), minutes=DAY, step_minutes=60, until=AS_OF, since=since,
+                                     all_buckets=all_buckets)
     return rounded(found, "current_value", "threshold_value", "percentage_change")
 
 
-def alert_log(spark, sf_dir) -> DataFrame:
-    return alerts.recorded(alert_history(spark, sf_dir).unionByName(trending_history(spark, sf_dir)))
+def alert_log(spark, sf_dir, since=None) -> DataFrame:
+    return alerts.recorded(alert_history(spark, sf_dir, since=since).unionByName(trending_history(spark, sf_dir, since)))
 
 
 @query
@@ -204,9 +221,34 @@ def alert_trending_product(spark, sf_dir):
     return alerts.alert_columns(trending_history(spark, sf_dir))
 
 
+@query
+def alert_trending_buckets(spark, sf_dir):
+    """Each bucket raises an alert of its own, with its own id."""
+    log = alerts.recorded(trending_history(spark, sf_dir, all_buckets=True))
+    return log.select(*ALERT_COLUMNS, alerts.SOURCE, "id")
+
+
+@query
+def alert_trending_now(spark, sf_dir):
+    """Point in time: the hourly product rows of the day before."""
+    hourly = products.product_metrics(times.lookback(shop.shop_events(spark, sf_dir, products=True), "timestamp", AS_OF, hours=24), minutes=60)
+    found = alerts.trending_products(hourly, AS_OF, minutes=DAY)
+    return alerts.alert_columns(rounded(found, "current_value", "threshold_value", "percentage_change"))
+
+
 @query
 def alert_messages(spark, sf_dir):
-    return alert_history(spark, sf_dir, "traffic_spike").select(*ALERT_COLUMNS, *alerts.TEXT_COLUMNS)
+    """The texts of all six types."""
+    found = alert_history(spark, sf_dir).unionByName(trending_history(spark, sf_dir))
+    return found.select(*ALERT_COLUMNS, *alerts.TEXT_COLUMNS)
+
+
+@query
+def alert_options(spark, sf_dir):
+    """Losses only beyond a hundred percent, and periods without rows as missing instead of zero."""
+    chosen = [alerts.traffic_drop(60, missing="null"), alerts.revenue_anomaly(60, down_pct=100.0)]
+    found = alerts.evaluate(minute(spark, sf_dir), chosen, until=AS_OF)
+    return alerts.alert_columns(rounded(found, "current_value", "percentage_change"))
 
 
 @query
@@ -219,24 +261,30 @@ def alerts_resolved(spark, sf_dir):
     return alerts.resolved(alert_log(spark, sf_dir), AS_OF).select(*ALERT_COLUMNS, "id", "is_active", "resolved_at")
 
 
+ONE_HOUR_AGO = "2024-01-30 23:00:00"
+
+
 @query
 def active_alerts(spark, sf_dir):
-    return alerts.active_alerts(alerts.resolved(alert_log(spark, sf_dir), AS_OF))
+    """Only what is not yet resolved: the last hour is judged and nothing before it."""
+    return alerts.active_alerts(alerts.resolved(alert_log(spark, sf_dir, since=ONE_HOUR_AGO), AS_OF))
 
 
 @query
 def alerts_now(spark, sf_dir):
-    """Point in time: all checks at the last minute with the same limits, from the last two hours of events."""
-    two_hours = times.lookback(shop.shop_events(spark, sf_dir), "timestamp", CHECKED_AT, hours=2)
-    found = alerts.evaluate(metrics.minute_metrics(two_hours), list(rules().values()), as_of=CHECKED_AT)
-    return alerts.alert_columns(rounded(found, "current_value", "percentage_change"))
+    """Point in time: all six checks at the last minute with the same limits, from the events that they look back on."""
+    recent = times.lookback(shop.shop_events(spark, sf_dir, products=True), "timestamp", CHECKED_AT, hours=24)
+    minutes = metrics.minute_metrics(times.lookback(recent, "timestamp", CHECKED_AT, hours=2))
+    found = alerts.run_all_checks(minutes, products.product_metrics(recent, minutes=60), CHECKED_AT,
+                                  rules=list(rules().values()), minutes=DAY)
+    return alerts.alert_columns(rounded(found, "current_value", "threshold_value", "percentage_change"))
 
 
 # Reports
 
 @query
 def stats_report(spark, sf_dir):
-    log = alerts.resolved(alert_log(spark, sf_dir), AS_OF)
+    log = alerts.resolved(alert_log(spark, sf_dir, since=ONE_HOUR_AGO), AS_OF)
     return reports.stats_report(shop.shop_events(spark, sf_dir), log)
 
 
@@ -332,6 +380,12 @@ def default_fill(spark, sf_dir):
         "event_id", "event_type", "quantity", "total_amount", "product_price")
 
 
+@query
+def default_quantity(spark, sf_dir):
+    events = all_events(spark, sf_dir)
+    return messages.with_defaults(events, "quantity").select("event_id", "event_type", "quantity", "total_amount", "product_price")
+
+
 @query
 def row_to_json(spark, sf_dir):
     events = all_events(spark, sf_dir).select(
@@ -341,7 +395,7 @@ def row_to_json(spark, sf_dir):
 
 @query
 def parse_timestamp(spark, sf_dir):
-    """Times written in four ways by event type: with Z, without, with an offset, and not a time."""
+    """Times written in several ways by event type: with Z, without, with an offset, not a time, and only a part of one."""
     events = shop.shop_events(spark, sf_dir)
     plain_text = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     kind = F.col("event_type")
@@ -349,7 +403,8 @@ def parse_timestamp(spark, sf_dir):
             .when(kind == ADD, plain_text)
             .when(kind == PURCHASE, F.concat(plain_text, F.lit("+02:00")))
             .when(kind == REMOVE, F.lit("soon"))
-            .otherwise(F.lit("")))
+            .otherwise(F.element_at(F.array(F.lit(""), F.date_format("timestamp", "HH:mm"), F.date_format("timestamp", "yyyy"),
+                                            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm")), (F.col("event_id").cast("bigint") % 4 + 1).cast("int"))))
     return events.select("event_id", text.alias("text")).withColumn("parsed", messages.parse_timestamp(F.col("text")))
 
 

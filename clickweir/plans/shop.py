@@ -106,12 +106,16 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def damaged_messages(events: DataFrame) -> DataFrame:
-    """Messages with faults by product: 97 is cut short, 98 has a bad time, 99 lacks the user."""
-    text = F.col("text")
+    """Messages with faults by product: 94 has a blank user, 95 a price in words, 96 a time without a date, 97 is cut
+    short, 98 has no time, 99 lacks the user."""
+    text, product = F.col("text"), F.col("product_id")
     faulty = (
-        F.when(F.col("product_id") == "97", F.expr("left(text, length(text) - 20)"))
-        .when(F.col("product_id") == "98", F.regexp_replace(text, '"timestamp":"[^"]*"', '"timestamp":"soon"'))
-        .when(F.col("product_id") == "99", F.regexp_replace(text, '"user_id":"[^"]*",', ""))
+        F.when(product == "94", F.regexp_replace(text, '"user_id":"[^"]*"', '"user_id":" "'))
+        .when(product == "95", F.regexp_replace(text, '"price":[0-9.Ee]+', '"price":"dear"'))
+        .when(product == "96", F.regexp_replace(text, '"timestamp":"[^"]*"', '"timestamp":"10:00"'))
+        .when(product == "97", F.expr("left(text, length(text) - 20)"))
+        .when(product == "98", F.regexp_replace(text, '"timestamp":"[^"]*"', '"timestamp":"soon"'))
+        .when(product == "99", F.regexp_replace(text, '"user_id":"[^"]*",', ""))
         .otherwise(text)
     )
     return as_messages(events).select(faulty.cast("binary").alias("value"))

@@ -152,3 +152,32 @@ def test_all_checks(spark):
     products = product_rows(spark, [("10:06", f"q{i}", 1) for i in range(9)] + [("10:06", "hot", 50)])
     got = alerts.run_all_checks(metrics, products, as_of="2025-01-03 10:10:00")
     assert sorted(r["alert_type"] for r in got.collect()) == ["low_conversion", "traffic_spike", "trending_product"]
+
+
+def test_ids_differ_by_bucket(spark):
+    products = product_rows(spark, [("10:01", f"q{i}", 1) for i in range(9)] + [("10:01", "hot", 20), ("10:02", "hot", 22)])
+    log = alerts.recorded(alerts.trending_products(products, as_of="2025-01-03 10:05:00", all_buckets=True))
+    assert log.count() == log.select("id").distinct().count() == 2
+
+
+def test_since_reads_and_judges_only_the_end(spark):
+    views = [3, 9, 1, 20, 4, 4, 8, 30, 2, 2, 1, 0, 5, 7, 50]
+    metrics = series(spark, views=views, adds=[i % 4 for i in range(15)], abandonment=[90] * 15)
+    rules = [alerts.traffic_spike(2), alerts.high_cart_abandonment(3, 0.4, min_adds=1)]
+    whole = alerts.evaluate(metrics, rules, until="2025-01-03 10:15:00")
+    part = alerts.evaluate(metrics, rules, until="2025-01-03 10:15:00", since="2025-01-03 10:09:30")
+    columns = ["detected_at", "alert_type", "current_value"]
+    assert rows(part, *columns) == [r for r in rows(whole, *columns) if r[0] >= minute("10:10")] != []
+    products = product_rows(spark, [(f"10:{i:02d}", f"p{i % 3}", 1 + 40 * (i == 7) + 90 * (i == 12)) for i in range(15)])
+    whole = rows(alerts.trending_products(products, multiplier=1.5, until="2025-01-03 10:15:00"), "detected_at", "product_id", "threshold_value")
+    part = rows(alerts.trending_products(products, multiplier=1.5, until="2025-01-03 10:15:00", since="2025-01-03 10:13:00"), "detected_at", "product_id", "threshold_value")
+    assert part == [r for r in whole if r[0] >= minute("10:13")] != []
+
+
+def test_trending_history_equals_every_point_in_time(spark):
+    products = product_rows(spark, [(f"10:{i % 20:02d}", f"p{i % 7}", (i * i * 31) % 60) for i in range(130)])
+    history = rows(alerts.trending_products(products, multiplier=1.5), "detected_at", "product_id", "current_value", "threshold_value")
+    for i in (3, 9, 17, 22):
+        at = minute("10:00") + timedelta(minutes=i)
+        now = rows(alerts.trending_products(products, as_of=at, multiplier=1.5), "detected_at", "product_id", "current_value", "threshold_value")
+        assert [(*r[:3], round(r[3], 6)) for r in now] == [(*r[:3], round(r[3], 6)) for r in history if r[0] == at]

@@ -87,3 +87,14 @@ def test_scans_read_little(spark):
     text = plan(queries.queries()["live_metrics"](spark, SF))
     assert "GreaterThanOrEqual(ts" in text
     assert "props" not in text.split("ReadSchema:")[1]
+
+
+def test_point_in_time_trending_joins_nothing(golden):
+    hourly = products.product_metrics(golden)
+    text = plan(alerts.trending_products(hourly, as_of=AS_OF))
+    assert "Join" not in text.split("Subquery")[0] and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_history_since_bounds_the_scan(spark):
+    for name in ("active_alerts", "stats_report"):
+        assert "GreaterThanOrEqual(ts" in plan(queries.queries()[name](spark, SF)), name
