@@ -48,11 +48,20 @@ class Item:
         self.answer = sentences[-1] if sentences else []
         # A sentence may be a word or two: the answer then reaches back to a quarter of the item.
         self.answer = self.words[-max(len(self.answer), len(self.words) // 4, 1):]
-        self.places: dict[str, int] = {}
+        self.numbered({w: w for w in self.words})
+
+    def numbered(self, index: dict) -> None:
+        """Take words by their entries in `index` from now on."""
+        self.places: dict = {}
         for i, word in enumerate(self.words):
-            self.places[word] = self.places.get(word, 0) | 1 << i
+            self.places[index[word]] = self.places.get(index[word], 0) | 1 << i
+        self.often = {k: bits.bit_count() for k, bits in self.places.items()}
+
+    def at_most(self, words: set) -> float:
+        """The share of the item's words that are among `words`: no subsequence has more."""
+        return sum([self.often[w] for w in self.often.keys() & words]) / len(self.words)
 
-    def found(self, words: list[str]) -> tuple[float, float]:
+    def found(self, words: list) -> tuple[float, float]:
         """Shares of the item's words and of its answer's in the longest common subsequence with `words`."""
         n, state = len(self.words), 0
         full = (1 << n) - 1
@@ -75,9 +84,9 @@ class Vocabulary:
         self.dim_of = np.arange(len(words), dtype=np.int64) % self.dims
         self.index = {w: i for i, w in enumerate(words)}
 
-    def read(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Plain words of texts: the distinct ones, each word's place among them, its benchmark term or -1, and the
-        starts of the texts. Words of punctuation alone are left out."""
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Plain words of texts: the benchmark word that each is, its dimension (both -1 for other words), and the starts
+        of the texts. Words of punctuation alone are left out."""
         split = pc.ascii_split_whitespace(texts)
         starts, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
         distinct = pc.utf8_lower(pc.utf8_trim(coded.dictionary, TRIM))
@@ -85,11 +94,11 @@ class Vocabulary:
         blank = np.asarray(pc.equal(distinct, ""))
         places = np.asarray(coded.indices)
         if blank.any():
-            words = ~blank[places]
-            starts = np.concatenate([[0], np.cumsum(words)])[starts]
-            places = places[words]
-        terms = term[places] if len(term) else np.zeros(0, np.int64)
-        return distinct, places, np.where(terms >= 0, self.dim_of[terms] if len(self.dim_of) else -1, -1), starts.astype(np.int64)
+            kept = ~blank[places]
+            starts = np.concatenate([[0], np.cumsum(kept)])[starts]
+            places = places[kept]
+        words = term[places] if len(term) else np.zeros(0, np.int64)
+        return words, np.where(words >= 0, self.dim_of[words], -1), starts.astype(np.int64)
 
 
 def _passages(terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -112,7 +121,7 @@ def passage_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nda
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, passages = np.zeros(vocabulary.dims, np.int64), 0
         for _, texts in _texts(batches, 0):
-            _, _, terms, starts = vocabulary.read(texts)
+            _, terms, starts = vocabulary.read(texts)
             passage, term, n = _passages(terms, starts)
             key = np.sort(passage * vocabulary.dims + term)
             key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
@@ -172,7 +181,7 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
         right, w = shared.value
         out, passages = np.zeros(right.shape, np.float32), 0
         for _, texts in _texts(batches, 0):
-            _, _, terms, starts = vocabulary.read(texts)
+            _, terms, starts = vocabulary.read(texts)
             passage, term, n = _passages(terms, starts)
             _times(*_unit_rows(passage, term, w), right, out)
             passages += n
@@ -236,6 +245,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
                 weights[part] = np.maximum(weights[part], np.log((1 + passages) / (1 + frequency[part])) + 0.01)
             pieces.append(part)
             owner.append(number)
+        item.numbered(vocabulary.index)
     fewest = min(FEWEST, *(int((weights[p] > 0).sum()) for p in pieces))
     spaces = []
     for lo in range(0, len(pieces), PIECES):
@@ -253,7 +263,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
 
     def near(texts: pa.Array) -> list[list[dict]]:
         items, weights, spaces = shared.value
-        distinct, places, terms, starts = vocabulary.read(texts)
+        known, terms, starts = vocabulary.read(texts)
         at = np.flatnonzero(terms >= 0)
         at = at[weights[terms[at]] > 0]
         lens = np.diff(starts)
@@ -275,7 +285,10 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
                     window, number = own[i], int(owners[j])
                     item, d = items[number], int(doc[window])
                     around = max(STEP, len(item.words))
-                    words = distinct.take(pa.array(places[max(starts[d], begin[window] - around):min(starts[d + 1], begin[window] + SPAN + around)])).to_pylist()
+                    region = known[max(starts[d], begin[window] - around):min(starts[d + 1], begin[window] + SPAN + around)]
+                    words = region[region >= 0].tolist()
+                    if item.at_most(set(words)) < PARAPHRASE:
+                        continue
                     matched, answered = item.found(words)
                     if matched >= VERBATIM or matched >= PARAPHRASE and answered >= ANSWER:
                         got = (matched, answered, float(cosines[i, j]))
