@@ -66,6 +66,30 @@ def hour_metrics(events: DataFrame, users: str = "viewers", empty: str = "null")
     return _finish(window, empty).select(*HOUR_COLUMNS)
 
 
+SKETCHES = ["users_sketch", "sessions_sketch"]
+
+
+def minute_sketches(events: DataFrame, users: str = "viewers") -> DataFrame:
+    """Mergeable sketches of each minute's users and sessions, to be stored beside its metrics."""
+    return events.groupBy(F.window("timestamp", "1 minute").alias("w")).agg(
+        F.hll_sketch_agg(F.when(_counted(users), F.col("user_id"))).alias(SKETCHES[0]),
+        F.hll_sketch_agg("session_id").alias(SKETCHES[1]),
+    ).select(F.col("w.start").alias("time_bucket"), *SKETCHES)
+
+
+def hour_rollup(minutes: DataFrame, empty: str = "null") -> DataFrame:
+    """Hour metrics from stored minute metrics with their sketches, without a look at the events. Distinct counts are
+    estimates; `hour_metrics` counts them exactly from the events."""
+    counts = ["total_views", "add_to_cart_count", "purchase_count"]
+    hours = minutes.groupBy(F.window("time_bucket", "1 hour").alias("w")).agg(
+        amount_sum("total_revenue").alias("total_revenue"), *[F.sum(name).alias(name) for name in counts],
+        F.hll_sketch_estimate(F.hll_union_agg(SKETCHES[0])).alias("unique_users"),
+        F.hll_sketch_estimate(F.hll_union_agg(SKETCHES[1])).alias("unique_sessions"),
+        F.max("total_revenue").alias("peak_revenue_per_minute"), F.max("total_orders").alias("peak_orders_per_minute"),
+    )
+    return _finish(hours, empty).select(*HOUR_COLUMNS)
+
+
 def _counted(users: str) -> Column:
     if users not in ("viewers", "all"):
         raise ValueError(f"unknown users: {users}")

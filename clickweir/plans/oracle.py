@@ -128,8 +128,9 @@ ALERT = """alert_type, severity, metric_name, ROUND(current_value, 4) AS current
 NO_PRODUCT = "CAST(NULL AS VARCHAR) AS product_id, CAST(NULL AS VARCHAR) AS product_name"
 
 # Totals of the hour before each minute and of the hour before that.
-TOTALS = f"""
-m AS ({metrics('minute')}),
+def totals(source: str = "ev") -> str:
+    return f"""
+m AS ({metrics('minute', source)}),
 grid AS (
     SELECT UNNEST(generate_series((SELECT MIN(time_bucket) FROM m) + INTERVAL 1 MINUTE, {AS_OF}, INTERVAL 1 MINUTE)) AS t
 ),
@@ -149,6 +150,9 @@ totals AS (
     GROUP BY t
 )"""
 
+
+TOTALS = totals()
+
 CHANGE = "(views::DOUBLE - views_before) / views_before * 100"
 DROP = "(views_before::DOUBLE - views) / views_before * 100"
 REVENUE_CHANGE = "(revenue::DOUBLE - revenue_before::DOUBLE) / revenue_before::DOUBLE * 100"
@@ -196,10 +200,11 @@ ALERTS = {
 }
 
 # Hourly product rows of the day before each full hour: one row per product, its best hour.
-HOT = f"""
-hourly AS ({product_metrics('hour', 60)}),
+def hot(rows: str, source: str = "ev") -> str:
+    return f"""
+hourly AS ({rows.replace('FROM ev', f'FROM {source}')}),
 hours AS (
-    SELECT UNNEST(generate_series((SELECT MIN(time_bucket) FROM hourly) + INTERVAL 1 HOUR, {AS_OF}, INTERVAL 1 HOUR)) AS t
+    SELECT UNNEST(generate_series((SELECT date_trunc('hour', MIN(time_bucket)) FROM hourly) + INTERVAL 1 HOUR, {AS_OF}, INTERVAL 1 HOUR)) AS t
 ),
 listed AS (SELECT t, hourly.* FROM hours JOIN hourly ON time_bucket >= t - INTERVAL 24 HOUR AND time_bucket < t),
 means AS (SELECT t, COALESCE(NULLIF(AVG(views_per_minute), 0), 10.0) AS mean FROM listed GROUP BY t),
@@ -223,6 +228,9 @@ hot AS (
     QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
 )"""
 
+
+HOT = hot(product_metrics('hour', 60))
+
 # The same at one minute: the day before it, in hourly rows of the events of that day.
 HOT_NOW = f"""
 hourly_now AS ({product_metrics('hour', 60).replace("FROM ev WHERE", f"FROM ev WHERE \"timestamp\" >= {CHECKED_AT} - INTERVAL 24 HOUR AND \"timestamp\" < {CHECKED_AT} AND")}),
@@ -246,6 +254,13 @@ log AS (
     FROM found
 )"""
 
+# Events whose messages are not damaged.
+GOOD = "good AS (SELECT * FROM ev WHERE product_id IS NULL OR product_id NOT IN ('94', '95', '96', '97', '98', '99'))"
+
+JOB_LOG = f"""
+{GOOD}, {totals('good')}, {hot(product_metrics(), 'good')},
+found AS ({' UNION ALL '.join(ALERTS.values())} UNION ALL SELECT * FROM hot)"""
+
 OLD = f"detected_at < {AS_OF} - INTERVAL 1 HOUR"
 
 
@@ -369,7 +384,52 @@ JSON_TEXT = """
     FROM ev"""
 
 
+def _job_tables() -> str:
+    from .queries import JOB_TABLES
+
+    def of(body: str) -> str:
+        return body.replace("FROM ev", "FROM good")
+
+    tables = {
+        "events_raw": "SELECT * FROM good", "metrics_1min": of(metrics("minute")), "metrics_1hour": of(HOURS),
+        "product_metrics": of(product_metrics()), "geo_metrics": of(GEO),
+        "rankings": of(ranked('time_bucket(INTERVAL 5 MINUTE, "timestamp")', 5, 20).replace(LAST_DAY, "TRUE")),
+    }
+    return _with(" UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, CAST("{time}" AS DATE) AS day, COUNT(*) AS row_count,
+                   ROUND(SUM(CAST({first} AS DOUBLE)), 2) AS first_sum, ROUND(SUM(CAST({second} AS DOUBLE)), 2) AS second_sum
+            FROM ({tables[name]}) GROUP BY 2""" for name, (time, first, second) in JOB_TABLES.items()), GOOD)
+
+
+def _fields(section: str, query: str, numbers: str, texts: str = "") -> str:
+    """A row for each field of each row of a query that is not null."""
+    one = "SELECT '{s}' AS section, place, '{c}' AS field, {n} AS number, {t} AS text FROM {s}_rows WHERE {c} IS NOT NULL"
+    parts = [one.format(s=section, c=c, n=f"ROUND(CAST({c} AS DOUBLE), 3)", t="CAST(NULL AS VARCHAR)") for c in numbers.split()]
+    parts += [one.format(s=section, c=c, n="CAST(NULL AS DOUBLE)", t=f"CAST({c} AS VARCHAR)") for c in texts.split()]
+    return f"SELECT * FROM (WITH {section}_rows AS (SELECT *, ROW_NUMBER() OVER () - 1 AS place FROM ({query})) {' UNION ALL '.join(parts)})"
+
+
+def snapshot_sql(sql: dict[str, str]) -> str:
+    return " UNION ALL ".join([
+        _fields("live", sql["live_metrics"], "revenue orders active_users conversion_rate cart_abandonment_rate"),
+        _fields("funnel", sql["conversion_funnel"], "views add_to_cart purchases cart_rate conversion_rate"),
+        _fields("comparison", sql["hourly_comparison"],
+                "revenue_change_percent orders_change_percent current_revenue current_orders current_conversion previous_conversion"),
+        _fields("trending_products", sql["trending_now"],
+                "product_id price views purchases revenue views_per_minute trending_score rank", "product_name category"),
+        _fields("alerts", sql["active_alerts"], "current_value threshold change_percent",
+                "id type severity title description metric product detected_at"),
+        _fields("revenue_trend", sql["revenue_trend"], "revenue orders average_order_value", '"timestamp"').replace("'\"timestamp\"'", "'timestamp'"),
+        _fields("geographic", sql["geo_top_locations"], "revenue orders views users", "country city location"),
+    ])
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _own_sql()
+    return {**sql, "dashboard_snapshot": snapshot_sql(sql)}
+
+
+def _own_sql() -> dict[str, str]:
     from .queries import ADHOC_TEXT
 
     return {
@@ -558,6 +618,20 @@ def oracle_sql() -> dict[str, str]:
         "stream_geo_metrics": _with(_closed(GEO, "1 MINUTE", "country IS NOT NULL")),
         "stream_sessionize": _with(f"SELECT * FROM ({SESSIONS}) WHERE session_end + INTERVAL 12 HOUR <= {SEEN}"),
         "stream_dedup": _with("""SELECT event_id, event_type, "timestamp", user_id, product_id FROM ev"""),
+        "stream_all_tables": _job_tables(),
+        "stream_alert_log": _with(f"""
+            SELECT {ALERT.replace('threshold_value', 'ROUND(threshold_value, 4) AS threshold_value')},
+                sha256(alert_type || '-' || COALESCE(product_id, '') || '-' || strftime(detected_at, '%Y-%m-%d %H:%M:%S')) AS id
+            FROM found WHERE detected_at <= (SELECT date_trunc('minute', MAX("timestamp")) FROM good)""", JOB_LOG),
+        "stream_rejected": _with("""
+            SELECT CASE product_id WHEN '95' THEN 'wrong type' WHEN '97' THEN 'malformed json' WHEN '96' THEN 'bad timestamp'
+                        WHEN '98' THEN 'bad timestamp' ELSE 'missing user_id' END AS reject_reason, COUNT(*) AS messages
+            FROM ev WHERE product_id IN ('94', '95', '96', '97', '98', '99') GROUP BY 1"""),
+        "metrics_1hour_rollup": _with(HOURS),
+        "refresh_minutes": _with(f"""
+            SELECT m.* REPLACE (CASE WHEN time_bucket >= {AS_OF} - INTERVAL 24 HOUR THEN unique_users ELSE all_users END AS unique_users)
+            FROM m JOIN (SELECT date_trunc('minute', "timestamp") AS time_bucket, COUNT(DISTINCT user_id) AS all_users FROM ev GROUP BY 1)
+            USING (time_bucket)""", MINUTES),
         "stream_late_data": _with(f"""
             SELECT m.* FROM ({metrics('minute', 'kept')}) m, marks WHERE time_bucket + INTERVAL 1 MINUTE <= last_mark""", LATE),
     }

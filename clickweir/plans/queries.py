@@ -16,7 +16,7 @@ from ..schemas import ADD, ALERT_COLUMNS, EVENT_COLUMNS, PURCHASE, REMOVE, SEARC
 from ..session import require_utc, scratch
 from ..sinks import tables as sinks
 from ..sources import messages, tables
-from ..streaming import jobs
+from ..streaming import jobs, refresh
 from . import shop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,12 +323,9 @@ def adhoc_sql(spark, sf_dir):
 
 @query
 def dashboard_snapshot(spark, sf_dir):
-    """The seven reads. Minute metrics are stored once and read by each, as a dashboard would."""
-    path = scratch(spark, "metrics_1min")
-    sinks.write_table(last_day_minutes(spark, sf_dir), path, "time_bucket")
-    minutes = spark.read.parquet(path)
-    log = alerts.recorded(alerts.evaluate(minutes, list(rules().values()), until=AS_OF))
-    return dashboard.snapshot(
+    """The seven reads, the alerts of all six checks among them, as the payload has them: a row for each field."""
+    minutes = last_day_minutes(spark, sf_dir)
+    snapshot = dashboard.snapshot(
         single={
             "live": dashboard.live_metrics(minutes, AS_OF, minutes=DAY),
             "funnel": dashboard.conversion_funnel(minutes, AS_OF, hours=24),
@@ -336,11 +333,17 @@ def dashboard_snapshot(spark, sf_dir):
         },
         lists={
             "trending_products": trending_now(spark, sf_dir),
-            "alerts": alerts.active_alerts(alerts.resolved(log, AS_OF)),
+            "alerts": active_alerts(spark, sf_dir),
             "revenue_trend": dashboard.revenue_trend(minutes, AS_OF, hours=24),
             "geographic": geo_top_locations(spark, sf_dir),
         },
     )
+    sections = snapshot.unpivot([], snapshot.columns, "section", "payload")
+    one = F.col("payload").startswith("{")
+    rows = F.from_json(F.when(one, F.concat(F.lit("["), "payload", F.lit("]"))).otherwise(F.col("payload")), "array<map<string, string>>")
+    fields = sections.select("section", F.posexplode(rows).alias("place", "row")).select("section", "place", F.explode("row").alias("field", "value"))
+    return fields.select("section", F.col("place").cast("bigint").alias("place"), "field", F.round(F.col("value").try_cast("double"), 3).alias("number"),
+                         F.when(F.col("value").try_cast("double").isNull(), F.regexp_replace("value", r"T(\d\d:\d\d:\d\d)\.000", " $1")).alias("text"))
 
 
 # Decoding
@@ -613,8 +616,7 @@ def stream_sessionize(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     """Every event of the first ten products comes twice."""
-    raw = jobs.file_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
-    events = shop.as_shop_events(raw).select("event_id", "event_type", "timestamp", "user_id", "product_id")
+    events = shop.as_shop_events(shop.event_files(spark, sf_dir)).select("event_id", "event_type", "timestamp", "user_id", "product_id")
     again = events.filter(F.col("product_id").cast("int") < 10)
     both = jobs.watermarked(events.unionByName(again))
     return _streamed(spark, "dedup", messages.deduplicate_stream(both), "timestamp")
@@ -639,5 +641,75 @@ def stream_late_data(spark, sf_dir):
     return jobs.stored(spark, root, "metrics", counted.schema)
 
 
+# The whole job
+
+def run_job(spark, sf_dir, late: bool, names) -> str:
+    root = scratch(spark, "all_tables")
+    started = refresh.start(shop.message_files(spark, sf_dir, late), root, every=None, names=names, rules=list(rules().values()),
+                            trending={"minutes": DAY, "step_minutes": 60})
+    jobs.wait([started])
+    return root
+
+
+# Table of the job -> (time column, two measures).
+JOB_TABLES = {
+    "events_raw": ("timestamp", "total_amount", "quantity"),
+    "metrics_1min": ("time_bucket", "total_revenue", "unique_users"),
+    "metrics_1hour": ("time_bucket", "peak_revenue_per_minute", "unique_sessions"),
+    "product_metrics": ("time_bucket", "revenue", "trending_score"),
+    "geo_metrics": ("time_bucket", "total_revenue", "unique_users"),
+    "rankings": ("time_bucket", "trending_score", "rank"),
+}
+
+
+@query
+def stream_all_tables(spark, sf_dir):
+    """The job over messages with duplicates, late searches and damaged texts, in four batches; each table by day, read
+    through the views of ad-hoc SQL. Closed dates are compacted before they are read."""
+    root = run_job(spark, sf_dir, True, list(refresh.TABLES))
+    refresh.compact_events(spark, root, AS_OF)
+    refresh.register_tables(spark, root)
+    parts = [f"""SELECT '{name}' AS table_name, CAST({time} AS DATE) AS day, COUNT(*) AS row_count,
+                        ROUND(SUM(CAST({first} AS DOUBLE)), 2) AS first_sum, ROUND(SUM(CAST({second} AS DOUBLE)), 2) AS second_sum
+                 FROM {name} GROUP BY CAST({time} AS DATE)""" for name, (time, first, second) in JOB_TABLES.items()]
+    return spark.sql(" UNION ALL ".join(parts))
+
+
+@query
+def stream_alert_log(spark, sf_dir):
+    """The log that the job has written after its last batch."""
+    root = run_job(spark, sf_dir, False, ["metrics_1min", "product_metrics", refresh.LOG])
+    log = rounded(spark.read.parquet(f"{root}/{refresh.LOG}"), "current_value", "threshold_value", "percentage_change")
+    return log.select(*ALERT_COLUMNS, "id")
+
+
+@query
+def stream_rejected(spark, sf_dir):
+    """The dead letters by reason."""
+    root = run_job(spark, sf_dir, True, [])
+    letters = spark.read.parquet(f"{root}/{refresh.LETTERS}")
+    return letters.groupBy("reject_reason").agg(F.count("message_text").alias("messages"))
+
+
+@query
+def metrics_1hour_rollup(spark, sf_dir):
+    """Hours from the stored minutes and their sketches; the events are read for the minutes only."""
+    events = shop.shop_events(spark, sf_dir)
+    path = scratch(spark, "minutes")
+    sinks.write_table(metrics.minute_metrics(events).join(metrics.minute_sketches(events), "time_bucket"), path, "time_bucket")
+    return metrics.hour_rollup(spark.read.parquet(path))
+
+
+@query
+def refresh_minutes(spark, sf_dir):
+    """A stored minute table that counts all users; the last day is aggregated again, with viewers only."""
+    events = shop.shop_events(spark, sf_dir)
+    raw, minutes = scratch(spark, "raw"), scratch(spark, "minutes")
+    sinks.write_table(events, raw, "timestamp")
+    sinks.write_table(metrics.minute_metrics(events, users="all"), minutes, "time_bucket")
+    refresh.refresh_minutes(spark, raw, minutes, AS_OF, minutes=DAY)
+    return spark.read.parquet(minutes).drop("event_date")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.times import bucket_start
+from ..functions.times import between, bucket_start
 from ..schemas import ADD, EVENT_COLUMNS, MONEY, PURCHASE, REMOVE, SEARCH, VIEW
+from ..session import scratch
 from ..streaming.jobs import file_stream, watermarked
 
 # Event types of the table -> event types of the shop.
@@ -83,11 +86,44 @@ def attributed(spark: SparkSession, events: DataFrame, sf_dir: str, products: bo
     return events.select(*[name for name in EVENT_COLUMNS if name in events.columns])
 
 
+def in_time_order(spark: SparkSession, df: DataFrame, column: str, path: str, edges: Sequence[str]) -> None:
+    """Write rows as files of one folder, a file for each time between the edges, the older first."""
+    bounds = [None, *edges, None]
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        between(df, column, start, end).coalesce(1).write.mode("append").parquet(path)
+
+
+# Edges of the files that streams read, so that state is carried over several batches.
+EDGES = ["2024-01-11", "2024-01-21"]
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of one file per batch, in time order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = scratch(spark, "event_files")
+    in_time_order(spark, events, "ts", path, EDGES)
+    return file_stream(spark, path, events.schema, max_files=1)
+
+
 def shop_stream(spark: SparkSession, sf_dir: str, products: bool = False, places: bool = False) -> DataFrame:
-    """The same as a stream over the events file; the glob lets a single file be a stream source."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = file_stream(spark, f"{sf_dir}/events.parque[t]", schema)
-    return attributed(spark, watermarked(as_shop_events(raw)), sf_dir, products, places)
+    """The same as a stream."""
+    return attributed(spark, watermarked(as_shop_events(event_files(spark, sf_dir))), sf_dir, products, places)
+
+
+def message_files(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """Damaged messages as a stream of one file per batch. Every event of the first ten products comes again in the file
+    after its own; with `late`, so do all searches, which then come only there."""
+    events = shop_events(spark, sf_dir, products=True, places=True)
+    path, bounds, before = scratch(spark, "message_files"), [None, *EDGES, None], None
+    for start, end in [*zip(bounds[:-1], bounds[1:]), (None, None)]:
+        now = between(events, "timestamp", start, end) if before is None or start else events.limit(0)
+        is_late = (F.col("event_type") == SEARCH) & F.lit(late)
+        parts = now.filter(~is_late)
+        if before is not None:
+            parts = parts.unionByName(before.filter(is_late | (F.col("product_id").cast("int") < 10)))
+        damaged_messages(parts).coalesce(1).write.mode("append").parquet(path)
+        before = now
+    return file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
 
 
 def as_messages(events: DataFrame) -> DataFrame:

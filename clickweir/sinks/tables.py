@@ -121,10 +121,10 @@ def read_table(spark: SparkSession, path: str, schema: StructType, dates: Sequen
 
 # Swapping partitions
 
-def _put(spark: SparkSession, path: str, after: DataFrame, dates: Sequence[date | None]) -> None:
+def _put(spark: SparkSession, path: str, after: DataFrame, dates: Sequence[date | None], by: Sequence[str] = (DATE,)) -> None:
     """Make `after` the content of the partitions `dates`; dates it has no rows for are removed."""
     stage = f"{path}/{_STAGE}/{uuid.uuid4().hex}"
-    _gathered(after).write.partitionBy(DATE).parquet(stage)
+    _gathered(after).write.partitionBy(*by).parquet(stage)
     fs, make = _hadoop(spark, path)
     for day in dates:
         fs.mkdirs(make(f"{stage}/{DATE}={day.isoformat() if day else _NO_DATE}"))
@@ -197,6 +197,16 @@ def replace_bucket_table(spark: SparkSession, path: str, new: DataFrame, bucket,
     _put(spark, path, with_bucket_replaced(read_table(spark, path, dated.schema, [day]), dated, bucket, column), [day])
 
 
+def replace_buckets_table(spark: SparkSession, path: str, new: DataFrame, buckets: DataFrame, column: str = "time_bucket") -> None:
+    """Replace all rows of the `buckets` (one column, `column`) by `new`, which must have rows of these buckets only."""
+    recover(spark, path)
+    dated, gone = _once(spark, with_date(new, column)), _once(spark, with_date(buckets.select(column).distinct(), column))
+    dates = _dates(gone)
+    if dates:
+        old = read_table(spark, path, dated.schema, dates)
+        _put(spark, path, absent(gone, old, [column]).unionByName(dated), dates)
+
+
 def overwrite_dates(dated: DataFrame, path: str, by: Sequence[str] = (DATE,)) -> None:
     """Replace the partitions that occur in `dated` and leave the others."""
     (_gathered(dated).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -21,22 +23,24 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def decode(messages: DataFrame, value: str = "value", types: str = "any", received: str | None = None,
-           ahead_minutes: float | None = None) -> DataFrame:
+           ahead_minutes: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """JSON messages to typed nested events with the text they came in and a `reject_reason`, null for good ones.
 
     Reasons: ``malformed json``, ``wrong type`` (JSON, but a field does not have its type), ``missing <field>`` for
     required fields that are absent, null or blank, ``bad timestamp``; with ``types="known"`` also ``unknown event
     type`` (by default any type is kept, as the original does; metrics pass over unknown ones); and ``ahead of time``
     for events more than `ahead_minutes` after the message's time in the column `received`, which would move the
-    watermark of a stream past everything else.
+    watermark of a stream past everything else. Columns of the messages named in `keep` stay beside the fields.
     """
     if types not in ("any", "known"):
         raise ValueError(f"unknown types: {types}")
     schema = StructType([*MESSAGE.fields, StructField(_BROKEN, StringType())])
     text = F.col(value).cast("string")
     body = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
-    kept = [F.col(received).alias("_received")] if received else []
-    events = messages.select(body.alias("data"), text.alias("message_text"), *kept).select("data.*", "message_text", *(["_received"] if received else []))
+    names = ["message_text", *keep, *(["_received"] if received else [])]
+    if received:
+        messages = messages.withColumn("_received", F.col(received))
+    events = messages.withColumns({"data": body, "message_text": text}).select("data.*", *names)
     time = parse_timestamp(F.col("timestamp"))
     is_object = F.ltrim(F.col(_BROKEN)).startswith("{") & F.get_json_object(F.col(_BROKEN), "$").isNotNull()
     reason = F.when(F.col(_BROKEN).isNotNull(), F.when(is_object, F.lit("wrong type")).otherwise(F.lit("malformed json")))

@@ -5,7 +5,7 @@ Each query has a name and a checkpoint of that name, so a restart resumes it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +15,9 @@ from ..operators.geo import geo_metrics
 from ..operators.metrics import hour_metrics, minute_metrics
 from ..operators.products import product_metrics
 from ..operators.sessions import stream_sessions
-from ..sinks.tables import DATE, overwrite_dates, with_date
+from ..functions.times import naive_utc
+from ..session import require_utc
+from ..sinks.tables import DATE, upsert_table, with_date
 from ..sources.messages import accepted, decode, flatten
 
 # Fixed value: how late an event may be.
@@ -28,6 +30,7 @@ def watermarked(events: DataFrame, delay: str = LATENESS) -> DataFrame:
     Spark moves later filters on other columns below the watermark, so the watermark of a pipeline follows
     the events that pipeline keeps.
     """
+    require_utc(events.sparkSession)
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
 
 
@@ -68,11 +71,11 @@ def start_append(df: DataFrame, name: str, root: str, column: str, every: str |
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def batch_sink(path: str, column: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer. A batch replaces its own partitions, so a repeated batch changes nothing."""
+def batch_sink(path: str, column: str, key: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer of finished buckets: they are upserted into the partitions of their dates, so a date
+    stays one folder however many batches reach it, and a repeated batch changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        dated = with_date(batch, column).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        overwrite_dates(dated, path, by=(DATE, "batch_id"))
+        upsert_table(batch.sparkSession, path, naive_utc(batch), list(key or [column]), column)
     return write
 
 
@@ -106,5 +109,6 @@ def wait(queries: list[StreamingQuery]) -> None:
 
 
 def stored(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
-    """The rows of a query's table. The schema is that of the stream, as the table may hold no file yet."""
+    """The rows of a query's table. The schema is that of the stream, as the table may hold no file yet; upserted tables
+    have naive times, which read as instants in UTC."""
     return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.names)
