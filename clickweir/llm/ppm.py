@@ -1,8 +1,9 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 The model is a trie of byte contexts up to ORDER long, with the counts of the symbols that follow each context in the
-training documents. A symbol unseen in a context escapes to the context one byte shorter, with the chance q / (n + q) for
-n symbols of q kinds, and the kinds that the longer context has seen are excluded from the shorter one's counts. Below
+training documents. A symbol unseen in a context escapes to the context one byte shorter, with the chance q / 2n for n
+symbols of q kinds, one seen c times has (2c - 1) / 2n, and the kinds that the longer context has seen are excluded from
+the shorter one's counts. Below
 the empty context all symbols left are equally likely. A text's score is the log10 probability of its bytes and of its
 end.
 
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clickweir.llm.mixing import stored
 from clickweir.llm.packs import Pack, expand, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of, write_packs
 
-ORDER = 4
+ORDER = 5
 SYMBOLS = 257  # 0 stands before a text and ends it, byte b is b + 1
 PACK_BYTES = 4 << 20
-DENSE = 1 << 24  # entries of a table that numbers paths; beyond that they are sorted
+DENSE = 3 << 23  # entries of a table that numbers paths; beyond that they are sorted
 GRAM_BUCKETS = 192
 WORDS_PER_BUCKET = 1 << 20
 MERGED = 128  # packs whose messages are merged first
@@ -48,9 +49,8 @@ def _numbered(keys: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     if size <= DENSE:
         table = np.zeros(size, np.int32)
         table[keys] = 1
-        count = int(table.sum())
-        table = np.cumsum(table, dtype=np.int32) - 1
-        return table[keys], count
+        np.cumsum(table, out=table)
+        return table[keys] - np.int32(1), int(table[-1]) if size else 0
     ordered = np.sort(keys)
     ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
     return np.searchsorted(ordered, keys).astype(np.int32), len(ordered)
@@ -196,9 +196,9 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -
         n, q = total[k] - excluded, kinds[k] - out_kinds
         active = ~done & (q > 0)
         hit = active & (count[k] > 0)
-        out[hit] += np.log10(count[k][hit] / (n + q)[hit])
+        out[hit] += np.log10((2 * count[k] - 1)[hit] / (2 * n)[hit])
         missed = active & ~hit
-        out[missed] += np.log10((q / np.where(q > 0, n + q, 1))[missed])
+        out[missed] += np.log10((q / np.where(n > 0, 2 * n, 1))[missed])
         done |= hit
     out[~done] -= np.log10(max(1, s - int((single > 0).sum())))
     return out

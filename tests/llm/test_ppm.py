@@ -29,8 +29,8 @@ class Trie:
             if not q:
                 continue
             if symbol in seen:
-                return p * seen[symbol] / (n + q)
-            p *= q / (n + q)
+                return p * (2 * seen[symbol] - 1) / (2 * n)
+            p *= q / (2 * n)
             excluded |= set(seen)
         return p / (ppm.SYMBOLS - len(excluded))
 
@@ -41,7 +41,7 @@ class Trie:
 
 def test_chances_sum_to_one():
     trie = Trie([b"abracadabra", b"abc", b""])
-    for context in ([0, 0, 0, 0], [98, 99, 115, 98], [1, 2, 3, 4]):
+    for context in ([0] * 5, [0, 98, 99, 115, 98], [9, 1, 2, 3, 4]):
         assert math.isclose(sum(trie.chance(context, s) for s in range(ppm.SYMBOLS)), 1)
 
 
