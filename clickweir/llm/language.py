@@ -20,6 +20,7 @@ SAMPLE_DOCS = 200  # training documents per language at most, chosen by the MD5
 SAMPLE_CHARS = 400  # taken from each of them, from a place chosen by the same hash
 LANGUAGES = 200  # more raise: at most LANGUAGES * SAMPLE_DOCS * SAMPLE_CHARS characters come to the driver
 LEVEL = 6
+SHORT, SHORT_LEVEL = 150, 19  # texts of fewer bytes are encoded at a level that finds every match
 BLOCK = 1000  # bytes encoded at a time, so that a long text leans on the dictionary and not on itself
 MARGIN = 0.002  # a text is rejected if the runner-up needs fewer than this share of bytes on top
 
@@ -58,12 +59,16 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
-        self.names, self.coders = list(dictionaries), []
-        for content in dictionaries.values():
-            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.names = list(dictionaries)
+        self.coders, self.short = ([self._coder(content, level) for content in dictionaries.values()] for level in (LEVEL, SHORT_LEVEL))
+
+    @staticmethod
+    def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        form = zstandard.ZstdCompressionParameters(compression_level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+        words.precompute_compress(compression_params=form)
+        return zstandard.ZstdCompressor(dict_data=words, compression_params=form)
 
     def predict(self, text: bytes) -> tuple[str, float, float]:
         """For a text of letters(): the language (of ties the first by name), the chance that its code is the right one
@@ -71,7 +76,8 @@ class Classifier:
         if not text.strip() or not self.names:
             return "und", 0.0, 0.0
         blocks = [text[a:a + BLOCK] for a in range(0, len(text), BLOCK)]
-        sizes = sorted((sum([len(coder.compress(b)) for b in blocks]), name) for name, coder in zip(self.names, self.coders))
+        coders = self.short if len(text) < SHORT else self.coders
+        sizes = sorted((sum([len(coder.compress(b)) for b in blocks]), name) for name, coder in zip(self.names, coders))
         best = sizes[0][0]
         margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
         return sizes[0][1], 1 / sum(256.0 ** max(best - n, -100) for n, _ in sizes), margin

@@ -12,7 +12,7 @@ def test_held_out_accuracy(spark):
     tested = [r for r in got if r["held_out"]]
     assert 100 < len(tested) < 300
     assert sum(r["lang"] == r["lang_pred"] for r in tested) / len(tested) > 0.97
-    assert sum(r["accepted"] for r in got) >= 990
+    assert sum(r["accepted"] for r in got) >= 985
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
