@@ -81,5 +81,28 @@ SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.verdict, 'allow') AS verdic
 """
 
 
+# Water filling in closed form: in ascending order of the share at which a source is full, it is full if the level of
+# all sources from it on reaches that share.
+OP8 = """
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place,
+    ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM sources),
+filled AS (SELECT *, cap / weight <= (sum(source_size) OVER () - (sum(cap) OVER upto - cap))
+    / (sum(weight) OVER () - (sum(weight) OVER upto - weight)) AS is_full
+    FROM weighted WINDOW upto AS (ORDER BY cap / weight, place ROWS UNBOUNDED PRECEDING)),
+targets AS (SELECT source, place, source_size, CASE WHEN is_full THEN cap ELSE
+    (sum(source_size) OVER () - sum(CASE WHEN is_full THEN cap ELSE 0.0::DOUBLE END) OVER ()) * weight
+    / sum(CASE WHEN is_full THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target FROM filled),
+queue AS (SELECT s.*, place, source_size, target, sum(size) OVER (PARTITION BY place ORDER BY key, doc_id, size
+    ROWS UNBOUNDED PRECEDING) AS done FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+served AS (SELECT doc_id, size, sum(size) OVER (ORDER BY (epoch * source_size + done) / target, place, epoch, key, doc_id, size
+    ROWS UNBOUNDED PRECEDING) AS words FROM queue, (VALUES (0), (1), (2)) epochs(epoch) WHERE size > 0),
+taken AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM served WHERE words <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queue q LEFT JOIN taken USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_bloom_cascade": OP10}
+    return {"op8_fair_queueing": OP8, "op10_bloom_cascade": OP10}

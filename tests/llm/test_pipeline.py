@@ -7,9 +7,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_leaks import held
-from test_mixing import water
-from test_simhash import lowest, plain
+from .test_leaks import held
+from .test_mixing import water
+from .test_simhash import lowest, plain
 from tokenizers import Tokenizer
 
 import corpus_pipeline
