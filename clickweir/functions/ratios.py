@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 
@@ -37,12 +35,7 @@ def round_exact(value: Column, digits: int, ties: str = "even") -> Column:
     tells on which side it lies.  ``ties="away"`` moves true ties away from zero, the display rule of
     browsers.
     """
-    return _once(value.cast("double"), lambda v: _round_exact(v, float(10 ** digits), ties))
-
-
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once; an expression used many times would be copied each time."""
-    return F.transform(F.array(value), body).getItem(0)
+    return _round_exact(value.cast("double"), float(10 ** digits), ties)
 
 
 def _round_exact(value: Column, scale: float, ties: str) -> Column:
