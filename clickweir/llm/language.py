@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clickweir.llm.packs import slices, text_column, texts_of
+from clickweir.llm.packs import give_back, slices, text_column, texts_of
 
 DICTIONARY_BYTES = 64 << 10  # of training text per language
 SAMPLE_DOCS = 200  # training documents per language at most, chosen by the MD5 of doc_id
@@ -92,12 +92,13 @@ def guess(spark: SparkSession, dictionaries: dict[str, bytes], text: Column) ->
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], ["text"])
             guesses = []
-            for some in slices([batch], 0, 8 << 20):
+            for some in slices([batch], 0, 4 << 20):
                 plain = pa.RecordBatch.from_arrays([letters(text_column(some, 0))], ["text"])
                 guesses += [model.predict(t) for t in texts_of(plain, 0)]
             names, scores, margins = zip(*guesses) if guesses else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
                                              ["lang_pred", "score", "margin"])
+        give_back()
 
     return F.arrow_udf(predicted, "struct<lang_pred: string, score: double, margin: double>")(text.cast("string"))
 

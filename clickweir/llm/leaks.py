@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweir.llm.packs import slices, text_column
+from clickweir.llm.packs import give_back, slices, text_column
 
 STEP, SPAN, PIECE = 16, 48, 32  # words; PIECE <= SPAN - STEP, so that some passage holds a piece whole
 TOGETHER = 4 << 20  # bytes of text worked on at once
@@ -186,6 +186,7 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
             _times(*_unit_rows(passage, term, w), right, out)
             passages += n
         some = np.flatnonzero(np.any(out, axis=1))
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int64()), pa.array([*[out[i].tobytes() for i in some], np.float64(passages).tobytes()], pa.binary())], ["term", "part"])
 
     def summed(table: pa.Table) -> pa.Table:
@@ -260,6 +261,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
         for column in columns:
             found = [own for _, texts in _texts(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0) for own in near(texts)]
             yield pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), *[(n, pa.float64()) for n in ("cosine", "matched", "answered")]])))
+        give_back()
 
     def near(texts: pa.Array) -> list[list[dict]]:
         items, weights, spaces = shared.value

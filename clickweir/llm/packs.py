@@ -8,6 +8,7 @@ holds more than a pack or a bucket. The packs are a table bucketed by pack numbe
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,14 @@ def bits_get(data: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(expand(data), np.uint8), count=count).view(bool)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_column(batch: pa.RecordBatch, at: int) -> pa.Array:
     """A string column with 64-bit offsets, nulls as empty texts."""
     column = batch.column(at)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickweir.llm.components import components
 from clickweir.llm.mixing import stored
-from clickweir.llm.packs import texts_of
+from clickweir.llm.packs import give_back, texts_of
 from clickweir.llm.rows import content_key, repeated
 
 SEGMENTS, LIMIT = 8, 4
@@ -51,6 +51,7 @@ def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in texts:
         batch = pa.RecordBatch.from_arrays([column], ["text"])
         yield pa.array(np.array([fingerprint(t) for t in texts_of(batch, 0)], np.uint64).view(np.int64))
+    give_back()
 
 
 def _chained(differing: np.ndarray, start: int) -> np.ndarray:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clickweir.llm.packs import slices, text_column, words_of
+from clickweir.llm.packs import give_back, slices, text_column, words_of
 from clickweir.session import scratch
 
 SEGMENT_TOKENS = 1 << 18  # a segment ends with the document that reaches this
-CACHED_WORDS = 400_000  # words a worker remembers
-TOGETHER = 8 << 20  # bytes of text encoded in one go
+CACHED_WORDS = 300_000  # words a worker remembers
+TOGETHER = 4 << 20  # bytes of text encoded in one go
 BLOCK = 64  # bytes of bitmap per entry of the rank directory
 MAGIC = b"DAC1"
 PUNCTUATION = string.punctuation.encode()
@@ -217,6 +217,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str
                 ids, starts, codes, size = [], [], [], 0
         if ids:
             yield row()
+        give_back()
 
     tie = F.xxhash64("text")
     (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
