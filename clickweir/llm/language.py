@@ -22,7 +22,7 @@ LANGUAGES = 200  # more raise: at most LANGUAGES * SAMPLE_DOCS * SAMPLE_CHARS ch
 LEVEL = 6
 SHORT, SHORT_LEVEL = 150, 19  # texts of fewer bytes are encoded at a level that finds every match
 BLOCK = 1000  # bytes encoded at a time, so that a long text leans on the dictionary and not on itself
-MARGIN = 0.002  # a text is rejected if the runner-up needs fewer than this share of bytes on top
+MARGIN = 0.001  # a text is rejected if the runner-up needs fewer than this share of bytes on top
 
 
 def held_out() -> Column:
@@ -60,15 +60,16 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.names = list(dictionaries)
-        self.coders, self.short = ([self._coder(content, level) for content in dictionaries.values()] for level in (LEVEL, SHORT_LEVEL))
-
-    @staticmethod
-    def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
-        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        form = zstandard.ZstdCompressionParameters(compression_level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
-        words.precompute_compress(compression_params=form)
-        return zstandard.ZstdCompressor(dict_data=words, compression_params=form)
+        self.names, self.coders, self.short = list(dictionaries), [], []
+        form = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+        for content in dictionaries.values():
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=words, **form))
+            every = zstandard.ZstdCompressionParameters(compression_level=SHORT_LEVEL, **form)
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(compression_params=every)
+            self.short.append(zstandard.ZstdCompressor(dict_data=words, compression_params=every))
 
     def predict(self, text: bytes) -> tuple[str, float, float]:
         """For a text of letters(): the language (of ties the first by name), the chance that its code is the right one
