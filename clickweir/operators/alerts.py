@@ -248,6 +248,8 @@ def trending_products(products: DataFrame, as_of=None, minutes: int = 5, multipl
         return F.when(mean != 0, mean).otherwise(F.lit(float(fallback)))
 
     views, mean, name = F.col("views_per_minute"), F.col("mean"), F.col("product_name")
+    # The mean's last digits depend on the order of addition: what only they put above the limit is equal to it.
+    factor = multiplier * (1 + 1e-9)
     buckets = products.groupBy("time_bucket").agg(F.sum("views_per_minute").alias("total"), F.count("views_per_minute").alias("rows"))
     spread = _evaluations(buckets, minutes, as_of, step_minutes, until, since)
     if as_of is not None:
@@ -255,9 +257,9 @@ def trending_products(products: DataFrame, as_of=None, minutes: int = 5, multipl
         hot = seen.withColumn("mean", spread.agg(usual(F.sum("total"), F.sum("rows"))).scalar())
     else:
         means = spread.groupBy("at").agg(usual(F.sum("total"), F.sum("rows")).alias("mean"))
-        above = products.filter(views > means.agg(F.min("mean")).scalar() * multiplier)
+        above = products.filter(views > means.agg(F.min("mean")).scalar() * factor)
         hot = _evaluations(above, minutes, as_of, step_minutes, until, since).join(means, "at")
-    hot = hot.filter(views > mean * multiplier)
+    hot = hot.filter(views > mean * factor)
     if not all_buckets:
         top = F.max(F.struct("views_per_minute", "time_bucket", "product_name", "view_count"))
         hot = hot.groupBy("at", "mean", "product_id").agg(top.alias("top")).select("at", "mean", "product_id", "top.*")

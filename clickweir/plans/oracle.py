@@ -36,6 +36,7 @@ OWN = """event_id, event_type, "timestamp", user_id, session_id, product_id, qua
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 COMPARED_AT = "TIMESTAMP '2024-01-30 23:59:00'"
 CHECKED_AT = "TIMESTAMP '2024-01-27 16:36:00'"
+TRENDING_AT = "TIMESTAMP '2024-01-22 20:00:00'"
 LAST_DAY = f"""\"timestamp" >= {AS_OF} - INTERVAL 24 HOUR AND "timestamp" < {AS_OF}"""
 
 REVENUE = "COALESCE(CAST(SUM(total_amount) FILTER (event_type = 'purchase') AS DOUBLE), 0.0)"
@@ -214,7 +215,7 @@ best AS (
 ),
 buckets AS (
     SELECT t, product_id, product_name, time_bucket, views_per_minute, mean FROM listed JOIN means USING (t)
-    WHERE views_per_minute > mean * 3
+    WHERE views_per_minute > mean * 3 * (1 + 1e-9)
     QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
 ),
 hot AS (
@@ -224,7 +225,7 @@ hot AS (
         'Trending: ' || product_name AS title,
         product_name || ' is trending with ' || format('{{:.0f}}', views_per_minute) || ' views/min (' || view_count
             || ' total views).' AS description
-    FROM best JOIN means USING (t) WHERE views_per_minute > mean * 3
+    FROM best JOIN means USING (t) WHERE views_per_minute > mean * 3 * (1 + 1e-9)
     QUALIFY ROW_NUMBER() OVER (PARTITION BY t ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
 )"""
 
@@ -242,7 +243,7 @@ hot_now AS (
     FROM (SELECT * FROM listed_now
           QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY views_per_minute DESC, time_bucket DESC) = 1),
          (SELECT COALESCE(NULLIF(AVG(views_per_minute), 0), 10.0) AS mean FROM listed_now)
-    WHERE views_per_minute > mean * 3
+    WHERE views_per_minute > mean * 3 * (1 + 1e-9)
     QUALIFY ROW_NUMBER() OVER (ORDER BY views_per_minute DESC, time_bucket DESC, product_id) <= 5
 )"""
 
@@ -489,7 +490,7 @@ def _own_sql() -> dict[str, str]:
                 sha256('trending_product-' || product_id || '-' || strftime(t, '%Y-%m-%d %H:%M:%S') || '-'
                     || strftime(time_bucket, '%Y-%m-%d %H:%M:%S')) AS id
             FROM buckets""", HOT),
-        "alert_trending_now": _with(f"SELECT {ALERT} FROM hot WHERE detected_at = {AS_OF}", HOT),
+        "alert_trending_now": _with(f"SELECT {ALERT} FROM hot WHERE detected_at = {TRENDING_AT}", HOT),
         "alert_messages": _with(f"SELECT {ALERT}, title, description FROM found", LOG),
         "alert_options": _with(f"""
             SELECT {ALERT} FROM ({ALERTS['traffic_drop']} AND views_rows > 0) UNION ALL

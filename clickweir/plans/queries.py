@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-31 00:00:00"
 COMPARED_AT = "2024-01-30 23:59:00"
 CHECKED_AT = "2024-01-27 16:36:00"
+TRENDING_AT = "2024-01-22 20:00:00"
 DAY = 24 * 60
 GAP = 12 * 60
 
@@ -231,8 +232,8 @@ def alert_trending_buckets(spark, sf_dir):
 @query
 def alert_trending_now(spark, sf_dir):
     """Point in time: the hourly product rows of the day before."""
-    hourly = products.product_metrics(times.lookback(shop.shop_events(spark, sf_dir, products=True), "timestamp", AS_OF, hours=24), minutes=60)
-    found = alerts.trending_products(hourly, AS_OF, minutes=DAY)
+    recent = times.lookback(shop.shop_events(spark, sf_dir, products=True), "timestamp", TRENDING_AT, hours=24)
+    found = alerts.trending_products(products.product_metrics(recent, minutes=60), TRENDING_AT, minutes=DAY)
     return alerts.alert_columns(rounded(found, "current_value", "threshold_value", "percentage_change"))
 
 
