@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickweir.llm.mixing import stored
-from clickweir.llm.packs import Pack, expand, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of, write_packs
+from clickweir.llm.packs import Pack, expand, give_back, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of, write_packs
 
 ORDER = 5
 SYMBOLS = 257  # 0 stands before a text and ends it, byte b is b + 1
-PACK_BYTES = 4 << 20
+PACK_BYTES = 3 << 20
 DENSE = 3 << 23  # entries of a table that numbers paths; beyond that they are sorted
 GRAM_BUCKETS = 192
 WORDS_PER_BUCKET = 1 << 20
@@ -257,6 +257,7 @@ def score(spark: SparkSession, docs: DataFrame, trains: Callable[[int | None], b
                 rows.append((WORDS, bucket, row["pack"], squeeze(b"\n".join([words[i] for i in some.tolist()])), _counts_put(counts[some])))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "pack", "keys", "counts"])
+        give_back()
 
     sent = stored(spark, packs.mapInArrow(messages, MESSAGE), "messages")
     salt = F.pmod(F.xxhash64("pack"), F.lit(max(1, size // PACK_BYTES // MERGED)))
@@ -314,6 +315,7 @@ def score(spark: SparkSession, docs: DataFrame, trains: Callable[[int | None], b
                 [pa.array(held.pack.ids, pa.int64()), pa.array(held.train), pa.array(n_tokens, pa.int64()), pa.array(known.astype(np.int64)),
                  pa.array(np.full(n, tokens), pa.int64()), pa.array(base), pa.array(sums)],
                 ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
 
     asked = with_replies(packs, replies.where("pack IS NOT NULL"), ["kind", "bucket", "values"])
     return asked.mapInArrow(scored, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
