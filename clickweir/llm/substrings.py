@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickweir.llm.mixing import stored
-from clickweir.llm.packs import Pack, bits_get, bits_put, expand, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of, write_packs
+from clickweir.llm.packs import (Pack, bits_get, bits_put, expand, give_back, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of,
+                                 write_packs)
 
 WINDOW, BLOCK = 20, 10
 BUCKET_WORDS = 1 << 20  # rolling windows per bucket, about
@@ -193,6 +194,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
             keys, anchors, again = Windows(row, bits).sent()
             yield _messages([(bucket, row["pack"], pack_put(keys[a:b]), bits_put(np.concatenate([anchors[a:b], again[a:b]])))
                              for bucket, a, b in _by_bucket(keys, ten_shift)])
+        give_back()
 
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
@@ -201,6 +203,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
             hashes, extra = hashes[first], extra[first]
             yield _messages([(bucket, row["pack"], pack_put(hashes[a:b]), squeeze(extra[a:b].tobytes()))
                              for bucket, a, b in _by_bucket(hashes, twenty_shift)])
+        give_back()
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
@@ -223,6 +226,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())],
                                              ["doc_id", "n_words", "removed", "kept"])
+        give_back()
 
     hits = stored(spark, packs.mapInArrow(probes, MESSAGE).groupBy("bucket").applyInArrow(_hit_blocks, REPLY), "hits")
     hit = with_replies(packs, hits, ["bucket", "flags"], "hits")
