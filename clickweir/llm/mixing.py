@@ -37,15 +37,14 @@ def source_targets(spark: SparkSession, sized: DataFrame, weights: tuple[float,
                 .withColumn("_full", F.col("_cap") / F.col("_weight")))
     by_weight = running_total(spark, weighted, ["_full", "_rank"], F.col("_weight"), "_weights")
     capped = stored(spark, running_total(spark, by_weight, ["_full", "_rank"], F.col("_cap"), "_caps"), "sources")
-    all_of = capped.agg(F.sum("source_size").alias("budget"), F.sum("_weight").alias("weights"))
+    budget, weights_of_all = (capped.agg(F.sum(c)).scalar() for c in ("source_size", "_weight"))
     # The level per weight when exactly this source and those before it are full; it is full if its own share is below.
-    level = (F.col("budget") - (F.col("_caps") - F.col("_cap"))) / (F.col("weights") - (F.col("_weights") - F.col("_weight")))
-    judged = capped.join(F.broadcast(all_of)).withColumn("_is_full", F.col("_full") <= level)
-    rest = judged.agg(F.first("budget").alias("_budget"), F.sum(F.when(F.col("_is_full"), F.col("_cap")).otherwise(0.0)).alias("_used"),
-                      F.sum(F.when(F.col("_is_full"), 0.0).otherwise(F.col("_weight"))).alias("_left"))
-    share = (F.col("_budget") - F.col("_used")) * F.col("_weight") / F.col("_left")
-    return (judged.join(F.broadcast(rest))
-            .select("source", "_rank", "source_size", F.when(F.col("_is_full"), F.col("_cap")).otherwise(share).alias("target")))
+    level = (budget - (F.col("_caps") - F.col("_cap"))) / (weights_of_all - (F.col("_weights") - F.col("_weight")))
+    judged = capped.withColumn("_is_full", F.col("_full") <= level)
+    used = judged.agg(F.sum(F.when(F.col("_is_full"), F.col("_cap")).otherwise(0.0))).scalar()
+    left = judged.agg(F.sum(F.when(F.col("_is_full"), 0.0).otherwise(F.col("_weight")))).scalar()
+    share = (budget - used) * F.col("_weight") / left
+    return judged.select("source", "_rank", "source_size", F.when(F.col("_is_full"), F.col("_cap")).otherwise(share).alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), epochs: int = 3, seed: str = "mix",
@@ -72,8 +71,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
              .withColumn("_time", (F.col("_epoch") * F.col("source_size") + F.col("_sum") - F.col("_start")) / F.col("target"))
              .select("_time", "_rank", "_epoch", "_key", "doc_id", "size", "_row"))
     served = running_total(spark, queue, ["_time", "_rank", "_epoch", "_key", "doc_id", "size", "_row"], F.col("size"), "_served")
-    budget = targets.agg(F.sum("source_size").alias("_budget"))
-    copies = served.join(F.broadcast(budget)).where("_served <= _budget").groupBy("_row").agg(F.count("*").alias("copies"))
+    budget = targets.agg(F.sum("source_size")).scalar()
+    copies = served.where(F.col("_served") <= budget).groupBy("_row").agg(F.count("*").alias("copies"))
     return (queued.join(copies, "_row", "left").withColumn("copies", F.coalesce("copies", F.lit(0)).cast("long"))
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_row").alias("row")))
 
