@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block of the page. The length of each line's text counts as nothing where markup
-says that it is not the article: menus, forms, adverts, comments, links, and everything outside an article element if
-there is one. Lengths are summed over a sliding window of lines; where the sum surges the text begins, where it dives to
-nothing the text ends, and what lies between is kept.
+says that it is not the article: menus, forms, adverts, comments, links. Lengths are summed over a sliding window of lines;
+where the sum surges the text begins, where it dives to nothing the text ends, and what lies between is kept. Lines of
+article and main elements weigh more, so that short ones count too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3  # lines per sum
-SURGE = 80  # characters in a window that begin the text of a page without article elements
+SURGE = 80  # characters in a window that begin a text; also what a line of an article element weighs on top
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -43,12 +43,12 @@ def _noisy(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks in page order: text, characters outside links, inside an article or main element. Blocks of elements that
-    are not the article are left out. A truncated or unclosed element ends where the article or body begins, or at the end."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """Blocks in page order: text, characters outside links, number of the outermost article or main element around it
+    or 0. Blocks of elements that are not the article are left out. A truncated or unclosed element ends where the article or body begins, or at the end."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    linked = inside = links = depth = at = 0
+    linked = inside = elements = links = depth = at = 0
     skipped = ""
 
     def close() -> None:
@@ -56,7 +56,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), inside > 0))
+                lines.append((text, max(0, len(text) - linked), elements if inside else 0))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -98,6 +98,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if (name in ASIDE and not (name == "header" and inside)) or token[4] and _noisy(name, token[4]):
                 skipped, depth = name, 1
             else:
+                elements += name in MAIN and not inside
                 inside += name in MAIN
     if at < len(page) and not skipped:
         add(page[at:])
@@ -105,19 +106,37 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
+def _sums(weights: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Weights of each line and those after it in the window, as far as they have the same owner."""
+    sums = weights.copy()
+    for k in range(1, WINDOW):
+        sums[:-k] += np.where(owners[k:] == owners[:-k], weights[k:], 0)
+    return sums
+
+
+def _between(weights: np.ndarray, owners: np.ndarray, least: int) -> np.ndarray:
+    """Which lines lie between a surge and the dive after it. A text ends where an article element begins or ends."""
+    kept, running, before = [], False, None
+    for weight, total, owner in zip(weights.tolist(), _sums(weights, owners).tolist(), owners.tolist()):
+        running = total > 0 and (running and owner == before or total >= least)
+        before = owner
+        kept.append(running and weight > 0)
+    return np.array(kept, bool)
+
+
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    article = any(own and length for _, length, own in lines)
-    # An article element speaks for all of its lines, however short.
-    weights = np.array([SURGE if own else 0 for _, _, own in lines] if article else [length for _, length, _ in lines], np.int64)
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1:] if len(lines) else weights
-    least = min(SURGE, int(weights.sum()) // 2)  # a page shorter than a surge is judged by its own length
-    kept, running = [], False
-    for (text, _, _), weight, total in zip(lines, weights.tolist(), sums.tolist()):
-        running = total > 0 if running else total > 0 and total >= least
-        if running and weight:
-            kept.append(text)
-    return "\n".join(kept)
+    if not lines:
+        return ""
+    lengths, owners = (np.array([line[k] for line in lines], np.int64) for k in (1, 2))
+    least = min(SURGE, int(lengths.sum()) // 2)  # a page shorter than a surge is judged by its own length
+    own = owners > 0
+    text = _between(lengths, owners, least)
+    # Article elements raise their lines, however short. Where more text surges outside of them they may be teasers: only
+    # those that surge by their own lengths do.
+    raised = own if lengths[own].sum() >= lengths[text & ~own].sum() else own & np.isin(owners, owners[text & own])
+    kept = _between(lengths + SURGE * raised, owners, least)
+    return "\n".join(line[0] for line, keep in zip(lines, kept.tolist()) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

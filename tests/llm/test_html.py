@@ -22,6 +22,25 @@ def test_surge_and_dive_without_article():
     assert main_text("<p>tiny</p>") == "tiny"
 
 
+def test_teaser_articles_beside_a_div_body():
+    text = "A sentence that is long enough to count as running text on its own, with more words."
+    body = "".join(f"<p>{text} {n}</p>" for n in range(9))
+    want = "\n".join(f"{text} {n}" for n in range(9))
+    card = "<article class=card><h3><a href=x>Some other page</a></h3><p>A short teaser.</p></article>"
+    assert main_text(f"<body>{card * 3}<div>{body}</div>{card * 3}</body>") == want
+    assert main_text(f"<section>{body}</section><article><p>tiny</p></article>") == want
+    assert main_text(f"<article><p>{text}</p><p>Intro.</p></article><div>{body}</div>") == f"{text}\nIntro.\n{want}"
+
+
+def test_article_lines_weigh_more_than_others():
+    text = "A sentence that is long enough to count as running text on its own, with more words."
+    links = "<p><a href=c>Next</a></p>" * 4
+    page = f"<div>Place</div><article><h1>Head</h1><p>{text}</p>{links}<p>End.</p></article><div>Date</div>"
+    assert main_text(page) == f"Head\n{text}\nNext\nNext\nNext\nNext\nEnd."
+    assert main_text(f"{page}<div><p>{text[2:]}</p></div>") == f"Head\n{text}\nNext\nNext\nNext\nNext\nEnd.\nDate\n{text[2:]}"
+    assert main_text("<div>Home</div><article>" + "<li>word</li>" * 99 + f"</article><div>{text}</div>") == "\n".join(["word"] * 99 + [text])
+
+
 def test_broken_markup():
     assert main_text("<nav><li>x<article><p>kept &am") == "kept &am"
     assert main_text("<article><p>a</p><script>never closed <p>b") == "a"
