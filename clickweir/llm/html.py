@@ -27,7 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("head nav footer aside header form menu dialog".split())
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NOISE = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|"
     r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|"
@@ -35,12 +35,12 @@ NOISE = re.compile(
 
 
 def _noisy(name: str, attributes: str) -> bool:
-    for key, *values in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), next((v for v in values if v), "")
-        if (key in ("class", "id") and NOISE.search(value) or key == "role" and value.strip().lower() in ROLES or key == "hidden"
-                or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return name not in ("html", "body")
-    return False
+    given: dict[str, str] = {}
+    for key, *values in ATTRIBUTE.findall(attributes):  # one after the other, so that a value is never taken for a name
+        given.setdefault(key.lower(), next((v for v in values if v), ""))  # of a repeated name the first counts
+    return name not in ("html", "body") and bool(
+        NOISE.search(given.get("class", "")) or NOISE.search(given.get("id", "")) or given.get("role", "").strip().lower() in ROLES or "hidden" in given
+        or given.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:

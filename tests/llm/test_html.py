@@ -1,3 +1,5 @@
+import pytest
+
 from clickweir.llm import html
 from clickweir.llm.html import main_text
 
@@ -41,6 +43,22 @@ def test_article_lines_weigh_more_than_others():
     assert main_text("<div>Home</div><article>" + "<li>word</li>" * 99 + f"</article><div>{text}</div>") == "\n".join(["word"] * 99 + [text])
 
 
+@pytest.mark.parametrize("tag", [
+    "blockquote cite='https://x.org/hidden/path'", 'section aria-label="hidden costs explained"', 'div data-state="not hidden"', "div data-id='related'",
+    "div data-role=navigation", "div data-class=ad", "div title='id=menu class=ad role=search'", "div title=\"it's hidden\" lang=en", "div data-x=a/hidden",
+    "div x-hidden", "div hidden-x=1", "div id.x=menu", "div data-style='display:none'", "div class=text class=ad", "div title = hidden"])
+def test_attribute_values_and_longer_names_drop_nothing(tag):
+    name = tag.split()[0]
+    assert main_text(f"<article><{tag}><p>Kept.</p></{name}><p>End.</p></article>") == "Kept.\nEnd."
+
+
+@pytest.mark.parametrize("tag", [
+    "div hidden", "div HIDDEN=''", "div title='x' hidden", "div\nhidden class=text", "div id=menu", "div ID = 'related'", 'div data-x="y"class="ad"', "div role=' Navigation '",
+    "div aria-hidden=true", "div style='color:red; display : none'", "div class=\"text ad\"", "div title=a/b hidden"])
+def test_attributes_that_drop_an_element(tag):
+    assert main_text(f"<article><{tag}><p>Gone.</p></div><p>End.</p></article>") == "End."
+
+
 def test_broken_markup():
     assert main_text("<nav><li>x<article><p>kept &am") == "kept &am"
     assert main_text("<article><p>a</p><script>never closed <p>b") == "a"
