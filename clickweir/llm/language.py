@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Every language gets a raw-content zstandard dictionary of its own training text. A text's language is the one whose
-dictionary encodes it in the fewest bytes; if the runner-up needs hardly more, the text is rejected.
+dictionary encodes it in the fewest bytes; if the runner-up needs hardly more, as for junk and unlearned languages, it is rejected.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ LANGUAGES = 200  # more raise: at most LANGUAGES * SAMPLE_DOCS * SAMPLE_CHARS ch
 LEVEL = 6
 SHORT, SHORT_LEVEL = 150, 19  # texts of fewer bytes are encoded at a level that finds every match
 BLOCK = 1000  # bytes encoded at a time, so that a long text leans on the dictionary and not on itself
-MARGIN = 0.001  # a text is rejected if the runner-up needs fewer than this share of bytes on top
+# A text is rejected if the runner-up needs fewer than MARGIN of its bytes on top, where a code of fewer than LEAST bytes
+# counts as LEAST, so that short texts need two bytes. Told rightly and rejected: 0.07 % of 1,500 training rows of sf0.1,
+# 0.4 % of 10,251 held-out rows of check_s.
+MARGIN, LEAST = 0.03, 66
 
 
 def held_out() -> Column:
@@ -73,14 +76,14 @@ class Classifier:
 
     def predict(self, text: bytes) -> tuple[str, float, float]:
         """For a text of letters(): the language (of ties the first by name), the chance that its code is the right one
-        if all are as likely (each byte more is 256 times less likely), and the runner-up's extra share of bytes."""
+        if all are as likely (each byte more is 256 times less likely), and the runner-up's extra share of bytes, of LEAST bytes at least."""
         if not text.strip() or not self.names:
             return "und", 0.0, 0.0
         blocks = [text[a:a + BLOCK] for a in range(0, len(text), BLOCK)]
         coders = self.short if len(text) < SHORT else self.coders
         sizes = sorted((sum([len(coder.compress(b)) for b in blocks]), name) for name, coder in zip(self.names, coders))
         best = sizes[0][0]
-        margin = (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
+        margin = (sizes[1][0] - best) / max(best, LEAST) if len(sizes) > 1 else 1.0
         return sizes[0][1], 1 / sum(256.0 ** max(best - n, -100) for n, _ in sizes), margin
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from clickweir.llm import language
@@ -32,6 +34,23 @@ def test_cases(spark, docs, words):
     assert {r["lang_pred"] for r in language.identify(spark, docs(rows), {}).collect()} == {"und"}
 
 
+FINNISH = """kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on
+toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman""".split()
+
+
+def test_unlearned_languages_and_junk_are_rejected_and_clean_rows_are_not(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = language.learn(table.where(~language.held_out()))
+    dice = random.Random(5)
+    finnish = [" ".join(dice.choices(FINNISH, k=n)) for n in (60, 150, 300) for _ in range(50)]
+    junk = [" ".join("".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=dice.randint(2, 9))) for _ in range(n)) for n in (60, 150, 300) for _ in range(50)]
+    clean = table.where(language.held_out() & (language.F.length("text") > 300)).select("doc_id", "text").dropna().collect()
+    rows = [(k, text, None, kind) for kind, texts in (("finnish", finnish), ("junk", junk), ("clean", [r["text"] for r in clean])) for k, text in enumerate(texts)]
+    got = language.identify(spark, docs(rows), learned).collect()
+    share = {kind: sum(r["accepted"] for r in got if r["source"] == kind) / sum(r["source"] == kind for r in got) for kind in ("finnish", "junk", "clean")}
+    assert share["finnish"] <= 0.05 and share["junk"] <= 0.05 and share["clean"] >= 0.99
+
+
 def test_learning(spark, docs):
     rows = [(i, f"wort{i} ja", "de", "s") for i in range(900)] + [(-1, None, "de", "s"), (-2, "x", None, "s"), (-3, "12", "zz", "s"), (None, "q", "qq", "s")]
     found = language.learn(docs(rows))
