@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clickweir.llm import html, language, leaks, mixing, neighbours, ppm, simhash, substrings, tokens, urls
+from clickweir.llm import conversations, html, language, leaks, mixing, neighbours, oracle, phrases, ppm, shards, simhash, substrings, tokens, urls
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -64,6 +64,19 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, _table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(spark, _table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(spark, conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -105,4 +118,5 @@ SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_fair_queueing": OP8, "op10_bloom_cascade": OP10}
+    return {"op8_fair_queueing": OP8, "op10_bloom_cascade": OP10, "op11_feistel_shards": oracle.OP11, "op12_collocations": oracle.OP12,
+            "op13_conversation_repair": oracle.OP13}
