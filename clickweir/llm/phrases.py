@@ -1,9 +1,9 @@
 """Phrases whose words stand together more often than chance, counted by a suffix tree in vertical partitions.
 
 The suffixes of a language's pieces are cut to five words. Words and pairs that are rarer than the least count cannot
-be part of a candidate, so a suffix ends where one begins; the frequent ones reach the tasks as a Bloom filter of bounded
-size, whose false positives cost work and change nothing, as all counts come from the tree. Equal suffixes are one leaf
-with its total. Leaves are divided by word prefixes, each no more than the memory budget: a prefix with more leaves is
+be part of a candidate, so a suffix ends where one begins. Tasks know the frequent words by a Bloom filter and the
+frequent pairs by a bitmap of hash cells that counted enough; both are of bounded size, and what passes them wrongly costs
+work and changes nothing, as all counts come from the tree. Equal suffixes are one leaf with its total. Leaves are divided by word prefixes, each no more than the memory budget: a prefix with more leaves is
 replaced by the prefixes one word longer, whose own count is then read from their totals. Prefixes are grouped up to the
 budget, and each group is one task's depth-truncated subtree: leaves in order of their words, every node's count the sum
 of its leaves.
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clickweir.llm.packs import give_back, slices, text_column
+from clickweir.llm.packs import expand, give_back, pack_get, pack_put, slices, squeeze, text_column
 from clickweir.llm.running import running_total
 from clickweir.session import scratch
 
@@ -30,8 +30,10 @@ BUDGET = 200_000  # leaves of a task's subtree
 FIRST = 2000     # phrases listed per language
 CONTAINED = 100  # percent of its occurrences inside one longer phrase with which a candidate is dropped
 SLICE_BYTES = 16 << 20  # text taken at once; one longer document is taken alone
-FILTER_BITS, LEAST_FILTER_BITS = 1 << 28, 1 << 20  # of a filter of frequent words and pairs
+FILTER_BITS, LEAST_FILTER_BITS = 1 << 28, 1 << 20  # of the filter of frequent words
 HASHES = 3
+CELLS, LEAST_CELLS, RANGE = 1 << 28, 1 << 18, 1 << 18  # hash cells of pairs, and how many of them a row counts together
+SALTS = 64  # parts in which a language's list is cut to its length before it is ranked as one
 
 _MARK = b"\xff"  # stands between pieces; no byte of UTF-8
 _LETTERS = bytes(32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -40,15 +42,23 @@ _LEAVES = "lang string, words array<string>, n long"
 
 # Words of a slice of documents
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """The texts of each language in a batch, in one piece of bounded size; documents end in a line break."""
-    for batch in slices(batches, 1, SLICE_BYTES):
+def _sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Iterator[tuple[str, bytes]]]:
+    """Per slice, the texts of each of its languages; documents end in a line break."""
+    def languages(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
         langs = batch.column(0).cast(pa.string()).fill_null("und").dictionary_encode()
         texts = text_column(batch, 1).cast(pa.large_binary()).to_pylist()
         places = np.asarray(langs.indices)
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             yield lang, b"\n".join(texts[i] for i in np.flatnonzero(places == code))
 
+    for batch in slices(batches, 1, most):
+        yield languages(batch)
+
+
+def _by_language(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, bytes]]:
+    for languages in _sliced(batches, most):
+        yield from languages
+
 
 def _words(body: bytes) -> tuple[list[bytes], np.ndarray]:
     """Distinct words, and each word's place among them in the order of the text; -1 between pieces."""
@@ -78,8 +88,8 @@ def _batches(lang: str, columns: list[np.ndarray], words: list[bytes], counts: n
         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(table)), lists, pa.array(counts[lo:lo + 100_000])], ["lang", "words", "n"])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, body in _by_language(batches):
+def _count_words(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for lang, body in _by_language(batches, most):
         words, places = _words(body)
         counts = np.bincount(places[places >= 0], minlength=len(words))
         some = np.flatnonzero(counts)
@@ -107,8 +117,8 @@ def _filter_places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
-    """Filter of the phrases (lang, words) of one or two words, as bytes: 16 bits a phrase, at most FILTER_BITS. Its words
-    of 64 bits are merged over the cluster; that many rows at most come to the driver."""
+    """Filter of single words (lang, words), as bytes: 16 bits a word, at most FILTER_BITS. Its pieces of 64 bits are
+    merged over the cluster; that many rows at most come to the driver."""
     bits = LEAST_FILTER_BITS
     while bits < min(16 * keys.count(), FILTER_BITS):
         bits *= 2
@@ -117,10 +127,7 @@ def _bloom(keys: DataFrame) -> np.ndarray:
         for batch in batches:
             for lang in batch.column(0).unique().to_pylist():
                 lists = batch.column(1).filter(pc.equal(batch.column(0), lang))
-                sizes, flat = np.diff(np.asarray(lists.offsets)), lists.flatten().cast(pa.binary()).to_pylist()
-                hashes = _hashes(lang, flat)
-                if len(sizes) and sizes[0] == 2:
-                    hashes = _pair_hashes(hashes[::2], hashes[1::2])
+                hashes = _hashes(lang, lists.flatten().cast(pa.binary()).to_pylist())
                 places = np.unique(np.concatenate(_filter_places(hashes, bits)))
                 masks = (np.uint64(1) << (places & 63).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(places >> 6), pa.array(masks)], ["at", "mask"])
@@ -150,27 +157,76 @@ def _frequent_words(lang: str, words: list[bytes], places: np.ndarray, bits: np.
     return hashes, np.where(often[places], places, -1)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], word_bits) -> Iterator[pa.RecordBatch]:
-    for lang, body in _by_language(batches):
-        words, places = _words(body)
-        _, places = _frequent_words(lang, words, places, word_bits.value)
-        at = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
-        a, b = places[at].astype(np.int64), places[at + 1].astype(np.int64)
-        first, _, counts = _distinct(a * len(words) + b)
-        yield from _batches(lang, [a[first], b[first]], words, counts)
+def _pairs(lang: str, body: bytes, word_bits: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's frequent words: the words, their places, where pairs begin, each pair's rank among the distinct ones,
+    and the hashes and counts of these."""
+    words, places = _words(body)
+    hashes, places = _frequent_words(lang, words, places, word_bits)
+    at = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
+    a, b = places[at].astype(np.int64), places[at + 1].astype(np.int64)
+    first, ranks, counts = _distinct(a * len(words) + b)
+    return words, places, at, ranks, (_pair_hashes(hashes[a[first]], hashes[b[first]]), counts)
+
+
+def _cell(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """`cells` is a power of two."""
+    return (hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def _send_pairs(batches: Iterator[pa.RecordBatch], most: int, word_bits, cells: int, span: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Per slice and range of cells, the cells that pairs fall into with their counts, which end at `least`."""
+    for languages in _sliced(batches, most):
+        found = [_pairs(lang, body, word_bits.value)[4] for lang, body in languages]
+        hit, ranks = np.unique(np.concatenate([_cell(h, cells) for h, _ in found]), return_inverse=True)
+        counts = np.minimum(np.bincount(ranks, np.concatenate([c for _, c in found])), least).astype(np.uint32)
+        ranges, starts = np.unique(hit // span, return_index=True)
+        rows = [(r, pack_put((h - r * span).astype(np.uint64)), squeeze(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                for r, h, c in zip(ranges.tolist(), np.split(hit, starts[1:]), np.split(counts, starts[1:]))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["range", "cells", "counts"])
+    give_back()
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch], span: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Ranges come together: the bitmap of each one's cells that reach `least`."""
+    def row(at: int, totals: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(totals >= least, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+
+    now, totals = None, None
+    for batch in batches:
+        for at, cells, counts in zip(*[c.to_pylist() for c in batch.columns]):
+            if at != now:
+                if now is not None:
+                    yield row(now, totals)
+                now, totals = at, np.zeros(span, np.int64)
+            counted = np.frombuffer(expand(counts), np.uint8).reshape(4, -1)
+            totals[pack_get(cells).astype(np.int64)] += np.ascontiguousarray(counted.T).view(np.uint32).ravel()
+    if now is not None:
+        yield row(now, totals)
     give_back()
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], word_bits, pair_bits) -> Iterator[pa.RecordBatch]:
+def _pair_bits(rows: DataFrame, word_bits, words: int, least: int) -> np.ndarray:
+    """Bitmap of the cells in which pairs occur at least `least` times: a cell per 16 words of the corpus, CELLS at most.
+    Its pieces are counted over the cluster, each as its parts come, and only the bitmap comes to the driver."""
+    cells, most = LEAST_CELLS, SLICE_BYTES
+    while cells < min(words // 16, CELLS):
+        cells *= 2
+    span = min(cells, RANGE)
+    sent = rows.mapInArrow(lambda batches: _send_pairs(batches, most, word_bits, cells, span, least), "range long, cells binary, counts binary")
+    counted = sent.repartition("range").sortWithinPartitions("range").mapInArrow(lambda batches: _count_cells(batches, span, least), "range long, bits binary")
+    out = np.zeros((cells // span, span // 8), np.uint8)
+    for row in counted.toLocalIterator():
+        out[row["range"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], most: int, word_bits, pair_bits) -> Iterator[pa.RecordBatch]:
     """Suffixes of two to DEPTH words that end before a rare word or pair, with how often they are in the slice."""
-    for lang, body in _by_language(batches):
-        words, places = _words(body)
-        hashes, places = _frequent_words(lang, words, places, word_bits.value)
-        at = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
-        a, b = places[at].astype(np.int64), places[at + 1].astype(np.int64)
-        first, ranks, _ = _distinct(a * len(words) + b)
-        often = _passing(_pair_hashes(hashes[a[first]], hashes[b[first]]), pair_bits.value)[ranks] if len(at) else np.zeros(0, bool)
-        at = at[often]
+    for lang, body in _by_language(batches, most):
+        words, places, at, ranks, (hashes, _) = _pairs(lang, body, word_bits.value)
+        cells = _cell(hashes, len(pair_bits.value) * 8)
+        at = at[(pair_bits.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)[ranks]]
         goes_on = np.zeros(len(places) + DEPTH, bool)
         goes_on[at] = True
         columns = [places[at].astype(np.int64), places[at + 1].astype(np.int64)]
@@ -249,18 +305,16 @@ def count_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, budg
     null texts empty; whole texts are counted, repeated rows as often as they are there. An empty table gives no rows.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    path = scratch(spark, "words")
-    rows.mapInArrow(_count_words, _LEAVES).groupBy("lang", "words").agg(F.sum("n").alias("n")).write.parquet(path)
+    path, most = scratch(spark, "words"), SLICE_BYTES
+    rows.mapInArrow(lambda batches: _count_words(batches, most), _LEAVES).groupBy("lang", "words").agg(F.sum("n").alias("n")).write.parquet(path)
     words = spark.read.parquet(path)
     often = words.where(F.col("n") >= least)
     broadcast = spark.sparkContext.broadcast
     word_bits = broadcast(_bloom(often))
-    path = scratch(spark, "pairs")
-    (rows.mapInArrow(lambda batches: _count_pairs(batches, word_bits), _LEAVES).groupBy("lang", "words").agg(F.sum("n").alias("n"))
-     .where(F.col("n") >= least).write.parquet(path))
-    pair_bits = broadcast(_bloom(spark.read.parquet(path)))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    pair_bits = broadcast(_pair_bits(rows, word_bits, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], least))
     path = scratch(spark, "leaves")
-    (rows.mapInArrow(lambda batches: _suffixes(batches, word_bits, pair_bits), _LEAVES).groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    (rows.mapInArrow(lambda batches: _suffixes(batches, most, word_bits, pair_bits), _LEAVES).groupBy("lang", "words").agg(F.sum("n").alias("n"))
      .write.parquet(path))
     leaves = spark.read.parquet(path)
     parts, above = _partitions(spark, leaves, budget)
@@ -273,7 +327,7 @@ def count_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, budg
         everything = everything.unionAll(above.where(F.col("n") >= least))
     path = scratch(spark, "phrases")
     everything.write.parquet(path)
-    return words.groupBy("lang").agg(F.sum("n").alias("n")), spark.read.parquet(path)
+    return totals, spark.read.parquet(path)
 
 
 # Scores
@@ -304,6 +358,9 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, first
     scored = scored.withColumn("score", F.expr("CAST(over div under AS LONG)"))
     lowest = scored.groupBy("lang", "words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     ready = lowest.select("lang", F.array_join("words", " ").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = ready.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    order, place = [F.desc("score"), F.desc("a"), F.asc("phrase")], F.row_number()
+    # A part of a language keeps no more than the whole list has, so the task that ranks it gets SALTS lists at most.
+    some = ready.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = some.withColumn("rank", place.over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= first)
+    ranked = some.withColumn("rank", place.over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -90,4 +90,6 @@ def test_a_saturated_filter_changes_nothing(spark, monkeypatch):
     rows = [(" ".join(f"w{int(pick.expovariate(.05))}" for _ in range(60)), "en") for _ in range(120)]
     monkeypatch.setattr(phrases, "LEAST_FILTER_BITS", 64)
     monkeypatch.setattr(phrases, "FILTER_BITS", 64)
+    monkeypatch.setattr(phrases, "LEAST_CELLS", 64)
+    monkeypatch.setattr(phrases, "CELLS", 64)
     check(spark, rows, least=6, budget=50)
