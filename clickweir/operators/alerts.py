@@ -313,6 +313,32 @@ def resolved(log: DataFrame, as_of, hours: float = 1) -> DataFrame:
     })
 
 
+def episodes(log: DataFrame, gap_minutes: int = 1) -> DataFrame:
+    """Runs of alerts of one type and product that follow each other by at most `gap_minutes`: a condition that lasts
+    raises an alert at every evaluation, and an episode is one row of it, with its begin and end, how many alerts it has,
+    the largest change, the value furthest from its threshold and whether an alert of it is still active.
+
+    Only times of evaluation are put in order per type and product, so a group's rows are bounded by the time covered.
+    Alerts of one time (of different buckets) are one step of the run.
+    """
+    key = ["alert_type", "product_id"]
+    steps = log.groupBy(*key, _AT).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs("percentage_change")).alias("change"), F.max(F.abs(F.col("current_value") - F.col("threshold_value"))).alias("excess"),
+        F.max("severity").alias("severity"), F.max("product_name").alias("product_name"), F.max(F.col("is_active").cast("int")).alias("active"))
+    in_order = Window.partitionBy(*key).orderBy(_AT)
+    begins = F.coalesce(F.lag(_AT).over(in_order) + span_of(gap_minutes) < F.col(_AT), F.lit(True))
+    runs = steps.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(in_order))
+    return runs.groupBy(*key, "run").agg(
+        F.max("severity").alias("severity"), F.max("product_name").alias("product_name"), F.min(_AT).alias("begin_at"), F.max(_AT).alias("end_at"),
+        F.sum("n").alias("alerts"), F.max("change").alias("peak_change"), F.max("excess").alias("peak_excess"), (F.max("active") == 1).alias("is_active"),
+    ).drop("run")
+
+
+def newly_expired(log: DataFrame, as_of, hours: float = 1) -> DataFrame:
+    """The rows that resolved() changes at `as_of`, as they are then: what a stored log must be given."""
+    return resolved(log.filter("is_active"), as_of, hours).filter(~F.col("is_active"))
+
+
 def active_alerts(log: DataFrame, limit: int = 10) -> DataFrame:
     """The newest active alerts."""
     def number(column: str) -> Column:

@@ -33,13 +33,34 @@ def geo_metrics(events: DataFrame) -> DataFrame:
     """Views, orders, revenue and users per minute and place, for events with a country."""
     located = events.filter(F.col("country").isNotNull())
     users = _by_user(located, [F.window("timestamp", "1 minute").alias("w")])
-    return _by_place(users, ["w"]).select(
-        F.col("w.start").alias("time_bucket"), "country", "city",
+    return _columns(_by_place(users, ["w"]).withColumn("time_bucket", F.col("w.start")))
+
+
+def _columns(places: DataFrame) -> DataFrame:
+    return places.select(
+        "time_bucket", "country", "city",
         F.col("views").alias("total_views"), F.col("orders").alias("total_orders"),
         F.col("revenue").alias("total_revenue"), F.col("users").alias("unique_users"),
     ).select(*GEO_COLUMNS)
 
 
+# Partials, as in metrics: what a batch of events adds to the minutes of a place's users.
+PARTIAL_KEY = ["time_bucket", "country", "city", "user_id"]
+PARTIAL_SUMS = ["views", "orders", "cents"]
+
+
+def geo_partials(events: DataFrame) -> DataFrame:
+    located = events.filter(F.col("country").isNotNull())
+    users = _by_user(located, [F.window("timestamp", "1 minute").getField("start").alias("time_bucket")])
+    return users.withColumn("cents", F.coalesce("cents", F.lit(0)))
+
+
+def places_of_partials(partials: DataFrame) -> DataFrame:
+    """geo_metrics() of the events behind the partials."""
+    users = partials.groupBy(*PARTIAL_KEY).agg(*[F.sum(name).alias(name) for name in PARTIAL_SUMS])
+    return _columns(_by_place(users, ["time_bucket"]))
+
+
 def top_locations(events: DataFrame, as_of, hours: float = 1, limit: int = 10) -> DataFrame:
     """The places with the most revenue in the lookback."""
     recent = lookback(events, "timestamp", as_of, hours=hours)

@@ -123,6 +123,10 @@ def _tally(events: DataFrame, length: str, users: str, minutes: bool) -> DataFra
         *[F.count(F.when(once(t), 1)).alias(name) for name, t in _COUNTS.items()],
     )
 
+    return _totals(things_seen, minutes)
+
+
+def _totals(things_seen: DataFrame, minutes: bool) -> DataFrame:
     def known(kind: int) -> Column:
         return F.count(F.when((F.col("kind") == kind) & F.col("id").isNotNull(), 1))
 
@@ -139,6 +143,54 @@ def _tally(events: DataFrame, length: str, users: str, minutes: bool) -> DataFra
     )
 
 
+# Partials: what a batch of events adds to its minutes. Partials of one key are added up, so neither events nor earlier
+# partials are read to take a batch in, late events included.
+
+ACTIVITY_KEY = ["time_bucket", "kind", "id"]
+ACTIVITY_SUMS = ["revenue_cents", *_COUNTS]
+
+
+def activity(events: DataFrame, users: str = "viewers") -> DataFrame:
+    """One row per minute and session, with the measures of its events, and per minute and counted user."""
+    things = [_thing(_SESSION, F.col("session_id"), F.lit(None).cast("long"))]
+    with_user = F.array(*things, _thing(_USER, F.col("user_id"), F.lit(None).cast("long")))
+    spread = events.select(
+        F.window("timestamp", "1 minute").getField("start").alias("time_bucket"), "event_type", "total_amount",
+        F.explode(F.when(_counted(users), with_user).otherwise(F.array(*things))).alias("thing"))
+    carrier = F.col("thing.kind") == F.lit(_SESSION)
+    return spread.groupBy("time_bucket", "thing.kind", "thing.id").agg(
+        F.coalesce(F.sum(F.when(carrier & is_type(PURCHASE), cents(F.col("total_amount")))), F.lit(0)).alias("revenue_cents"),
+        *[F.count(F.when(carrier & is_type(t), 1)).alias(name) for name, t in _COUNTS.items()])
+
+
+def added(partials: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Partials of one key as one row."""
+    return partials.groupBy(*key).agg(*[F.sum(name).alias(name) for name in sums])
+
+
+def minutes_of_activity(partials: DataFrame, empty: str = "null") -> DataFrame:
+    """minute_metrics() of the events behind the partials."""
+    things = added(partials, ACTIVITY_KEY, ACTIVITY_SUMS).withColumn("w", F.window("time_bucket", "1 minute"))
+    return _finish(_totals(things, minutes=False), empty).select(*METRIC_COLUMNS)
+
+
+def hours_of_activity(partials: DataFrame, empty: str = "null") -> DataFrame:
+    """hour_metrics() of the events behind the partials: a session's or user's minutes are one thing of the hour, and the
+    measures, which peaks are taken of, go to the minute."""
+    thing = F.struct("kind", "id", F.lit(None).cast("long").alias("minute"))
+    minute = F.struct(F.lit(_MINUTE).cast("tinyint").alias("kind"), F.lit(None).cast("string").alias("id"), F.minute("time_bucket").cast("long").alias("minute"))
+    both = F.when(F.col("kind") == _SESSION, F.array(thing, minute)).otherwise(F.array(thing))
+    spread = partials.select(F.window("time_bucket", "1 hour").alias("w"), *ACTIVITY_SUMS, F.explode(both).alias("thing"))
+    carrier = F.col("thing.kind") == F.lit(_MINUTE)
+    things = spread.groupBy("w", "thing.kind", "thing.id", "thing.minute").agg(*[F.sum(F.when(carrier, F.col(name)).otherwise(0)).alias(name) for name in ACTIVITY_SUMS])
+    return _finish(_totals(things, minutes=True), empty).select(*HOUR_COLUMNS)
+
+
+def united_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of one minute from several batches as one."""
+    return sketches.groupBy("time_bucket").agg(*[F.hll_union_agg(name).alias(name) for name in SKETCHES])
+
+
 def _finish(window: DataFrame, empty: str) -> DataFrame:
     orders, views, adds = F.col("purchase_count"), F.col("total_views"), F.col("add_to_cart_count")
     return window.withColumns({

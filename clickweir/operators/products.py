@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.money import amount_sum
+from ..functions.money import amount_sum, cents, dollars
 from ..functions.ratios import percent
 from ..functions.times import lookback
 from ..schemas import PRODUCT, PRODUCT_METRIC_COLUMNS, PURCHASE, VIEW
@@ -66,6 +66,35 @@ def product_metrics_by_id(events: DataFrame, minutes: int = 1) -> DataFrame:
     return _bucket_columns(grouped, minutes)
 
 
+# Partials, as in metrics: what a batch of events adds to the minutes of products.
+PARTIAL_KEY = ["time_bucket", *PRODUCT]
+PARTIAL_SUMS = ["view_count", "purchase_count", "revenue_cents"]
+
+
+def product_partials(events: DataFrame) -> DataFrame:
+    return (
+        events.filter(F.col("event_type").isin(VIEW, PURCHASE))
+        .groupBy(F.window("timestamp", "1 minute").getField("start").alias("time_bucket"), *PRODUCT)
+        .agg(count_type(VIEW).alias("view_count"), count_type(PURCHASE).alias("purchase_count"),
+             F.coalesce(F.sum(F.when(F.col("event_type") == PURCHASE, cents(F.col("total_amount")))), F.lit(0)).alias("revenue_cents"))
+    )
+
+
+def _of_partials(partials: DataFrame, minutes: int) -> DataFrame:
+    grouped = partials.groupBy(F.window("time_bucket", f"{minutes} minutes").alias("w"), *PRODUCT).agg(*[F.sum(n).alias(n) for n in PARTIAL_SUMS])
+    return grouped.withColumns({"time_bucket": F.col("w.start"), "revenue": dollars(F.col("revenue_cents"))})
+
+
+def products_of_partials(partials: DataFrame, minutes: int = 1) -> DataFrame:
+    """product_metrics() of the events behind the partials."""
+    return _bucket_columns(_of_partials(partials, minutes), minutes)
+
+
+def rankings_of_partials(partials: DataFrame, minutes: int = 5, limit: int = 20) -> DataFrame:
+    """ranking_history() of the events behind the partials; products without a view are not ranked there either."""
+    return _ranked(_of_partials(partials.filter(F.col("product_id").isNotNull()), minutes), minutes, limit)
+
+
 def _scored(df: DataFrame, minutes: float) -> DataFrame:
     return (
         df.filter(F.col("view_count") > 0)
@@ -105,10 +134,13 @@ def ranking_history(events: DataFrame, minutes: int = 5, limit: int = 20) -> Dat
         .groupBy(F.window("timestamp", f"{minutes} minutes").alias("w"), *PRODUCT)
         .agg(*_measures())
     )
+    return _ranked(products.withColumn("time_bucket", F.col("w.start")), minutes, limit)
+
+
+def _ranked(products: DataFrame, minutes: int, limit: int) -> DataFrame:
     ranks = Window.partitionBy("time_bucket").orderBy(*_best_first())
     return (
         _scored(products, minutes)
-        .withColumn("time_bucket", F.col("w.start"))
         .withColumn("rank", F.row_number().over(ranks).cast("bigint"))
         .filter(F.col("rank") <= limit)
         .select(*PRODUCT_METRIC_COLUMNS, "rank")

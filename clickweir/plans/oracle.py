@@ -504,6 +504,16 @@ def _own_sql() -> dict[str, str]:
                    ROUND(current_value, 4) AS current_value, threshold_value AS threshold,
                    ROUND(percentage_change, 4) AS change_percent, product_name AS product, detected_at
             FROM log WHERE NOT ({OLD}) ORDER BY detected_at DESC, id LIMIT 10""", LOG),
+        "alert_episodes": _with("""
+            SELECT alert_type, product_id, MAX(severity) AS severity, MAX(product_name) AS product_name, MIN(detected_at) AS begin_at, MAX(detected_at) AS end_at,
+                   SUM(n)::BIGINT AS alerts, MAX(change) AS peak_change, ROUND(MAX(excess), 4) AS peak_excess, TRUE AS is_active
+            FROM (SELECT *, SUM(begins) OVER (PARTITION BY alert_type, product_id ORDER BY detected_at) AS run FROM (
+                SELECT *, CASE WHEN LAG(detected_at) OVER (PARTITION BY alert_type, product_id ORDER BY detected_at) >= detected_at - INTERVAL 60 MINUTE
+                    THEN 0 ELSE 1 END AS begins
+                FROM (SELECT alert_type, product_id, detected_at, COUNT(*) AS n, MAX(severity) AS severity, MAX(product_name) AS product_name,
+                        MAX(ABS(ROUND(percentage_change, 4))) AS change, MAX(ABS(ROUND(current_value, 4) - ROUND(threshold_value, 4))) AS excess
+                      FROM log GROUP BY 1, 2, 3)))
+            GROUP BY alert_type, product_id, run""", LOG),
         "alerts_now": _with(f"""
             SELECT {ALERT} FROM found WHERE alert_type <> 'trending_product' AND detected_at = {CHECKED_AT}
             UNION ALL SELECT {ALERT} FROM hot_now""", LOG, HOT_NOW),
@@ -622,8 +632,11 @@ def _own_sql() -> dict[str, str]:
         "stream_all_tables": _job_tables(),
         "stream_alert_log": _with(f"""
             SELECT {ALERT.replace('threshold_value', 'ROUND(threshold_value, 4) AS threshold_value')},
-                sha256(alert_type || '-' || COALESCE(product_id, '') || '-' || strftime(detected_at, '%Y-%m-%d %H:%M:%S')) AS id
+                sha256(alert_type || '-' || COALESCE(product_id, '') || '-' || strftime(detected_at, '%Y-%m-%d %H:%M:%S')) AS id,
+                detected_at >= (SELECT date_trunc('minute', MAX("timestamp")) FROM good) - INTERVAL 1 HOUR AS is_active
             FROM found WHERE detected_at <= (SELECT date_trunc('minute', MAX("timestamp")) FROM good)""", JOB_LOG),
+        "stream_hours_from_minutes": _with(f"""
+            SELECT h.*, TRUE AS users_near, TRUE AS sessions_near FROM ({HOURS.replace("FROM ev", "FROM good")}) h""", GOOD),
         "stream_rejected": _with("""
             SELECT CASE product_id WHEN '95' THEN 'wrong type' WHEN '97' THEN 'malformed json' WHEN '96' THEN 'bad timestamp'
                         WHEN '98' THEN 'bad timestamp' ELSE 'missing user_id' END AS reject_reason, COUNT(*) AS messages

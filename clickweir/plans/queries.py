@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import display, ratios, times
 from ..functions.money import amount_sum
 from ..operators import alerts, dashboard, geo, metrics, products, reports, sessions
-from ..schemas import ADD, ALERT_COLUMNS, EVENT_COLUMNS, PURCHASE, REMOVE, SEARCH, VIEW
+from ..schemas import ADD, ALERT_COLUMNS, EVENT_COLUMNS, HOUR_COLUMNS, PURCHASE, REMOVE, SEARCH, VIEW
 from ..session import require_utc, scratch
 from ..sinks import tables as sinks
 from ..sources import messages, tables
@@ -645,10 +645,13 @@ def stream_late_data(spark, sf_dir):
 # The whole job
 
 def run_job(spark, sf_dir, late: bool, names) -> str:
-    root = scratch(spark, "all_tables")
-    started = refresh.start(shop.message_files(spark, sf_dir, late), root, every=None, names=names, rules=list(rules().values()),
-                            trending={"minutes": DAY, "step_minutes": 60})
-    jobs.wait([started])
+    """The job, started again for each period of messages on one checkpoint; a period's files are read by many tasks."""
+    root, path = scratch(spark, "all_tables"), scratch(spark, "messages")
+    for period in shop.message_periods(spark, sf_dir, late):
+        period.write.mode("append").parquet(path)
+        started = refresh.start(jobs.file_stream(spark, path, period.schema), root, every=None, names=names, rules=list(rules().values()),
+                                trending={"minutes": DAY, "step_minutes": 60})
+        jobs.wait([started])
     return root
 
 
@@ -665,10 +668,10 @@ JOB_TABLES = {
 
 @query
 def stream_all_tables(spark, sf_dir):
-    """The job over messages with duplicates, late searches and damaged texts, in four batches; each table by day, read
-    through the views of ad-hoc SQL. Closed dates are compacted before they are read."""
-    root = run_job(spark, sf_dir, True, list(refresh.TABLES))
-    refresh.compact_events(spark, root, AS_OF)
+    """The job over messages with late searches, damaged texts and duplicates that bear another date, in four batches;
+    each table by day, read through the views of ad-hoc SQL. Parts are compacted before they are read."""
+    root = run_job(spark, sf_dir, True, refresh.DEFAULT_TABLES)
+    refresh.maintain(spark, root, fan=2)
     refresh.register_tables(spark, root)
     parts = [f"""SELECT '{name}' AS table_name, CAST({time} AS DATE) AS day, COUNT(*) AS row_count,
                         ROUND(SUM(CAST({first} AS DOUBLE)), 2) AS first_sum, ROUND(SUM(CAST({second} AS DOUBLE)), 2) AS second_sum
@@ -680,15 +683,39 @@ def stream_all_tables(spark, sf_dir):
 def stream_alert_log(spark, sf_dir):
     """The log that the job has written after its last batch."""
     root = run_job(spark, sf_dir, False, ["metrics_1min", "product_metrics", refresh.LOG])
-    log = rounded(spark.read.parquet(f"{root}/{refresh.LOG}"), "current_value", "threshold_value", "percentage_change")
-    return log.select(*ALERT_COLUMNS, "id")
+    log = rounded(refresh.read(spark, root, refresh.LOG), "current_value", "threshold_value", "percentage_change")
+    return log.select(*ALERT_COLUMNS, "id", "is_active")
+
+
+@query
+def alert_episodes(spark, sf_dir):
+    """Alerts that go on from minute to minute as one row each."""
+    log = rounded(alert_log(spark, sf_dir), "current_value", "threshold_value", "percentage_change")
+    return rounded(alerts.episodes(log, gap_minutes=60), "peak_change", "peak_excess")
+
+
+@query
+def stream_hours_from_minutes(spark, sf_dir):
+    """The job's hours twice: exact ones as it serves them, and what its minute table and the minutes' sketches give, which
+    must be the same but for distinct counts within five percent (or two)."""
+    root = run_job(spark, sf_dir, True, ["metrics_1min", "metrics_1hour", "sketches_1min"])
+    minutes = refresh.read(spark, root, "metrics_1min").join(refresh.read(spark, root, "sketches_1min"), "time_bucket")
+    rolled = metrics.hour_rollup(minutes)
+    both = refresh.read(spark, root, "metrics_1hour").alias("h").join(rolled.alias("r"), "time_bucket")
+    exact = [c for c in HOUR_COLUMNS if c not in ("time_bucket", "unique_users", "unique_sessions")]
+
+    def near(name):
+        return F.abs(F.col(f"h.{name}") - F.col(f"r.{name}")) <= F.greatest(F.lit(2.0), F.col(f"h.{name}") * 0.05)
+
+    return both.select("time_bucket", *[F.col(f"r.{c}") for c in exact], "h.unique_users", "h.unique_sessions",
+                       near("unique_users").alias("users_near"), near("unique_sessions").alias("sessions_near"))
 
 
 @query
 def stream_rejected(spark, sf_dir):
     """The dead letters by reason."""
     root = run_job(spark, sf_dir, True, [])
-    letters = spark.read.parquet(f"{root}/{refresh.LETTERS}")
+    letters = refresh.read(spark, root, refresh.LETTERS)
     return letters.groupBy("reject_reason").agg(F.count("message_text").alias("messages"))
 
 

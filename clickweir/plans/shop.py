@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -110,20 +110,19 @@ def shop_stream(spark: SparkSession, sf_dir: str, products: bool = False, places
     return attributed(spark, watermarked(as_shop_events(event_files(spark, sf_dir))), sf_dir, products, places)
 
 
-def message_files(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
-    """Damaged messages as a stream of one file per batch. Every event of the first ten products comes again in the file
-    after its own; with `late`, so do all searches, which then come only there."""
-    events = shop_events(spark, sf_dir, products=True, places=True)
-    path, bounds, before = scratch(spark, "message_files"), [None, *EDGES, None], None
+def message_periods(spark: SparkSession, sf_dir: str, late: bool) -> Iterator[DataFrame]:
+    """Damaged messages of one period after the other. Every event of the first ten products comes again a period later,
+    dated a day after its first copy; with `late`, searches come a period late, and only then."""
+    events, bounds, before = shop_events(spark, sf_dir, products=True, places=True), [None, *EDGES, None], None
     for start, end in [*zip(bounds[:-1], bounds[1:]), (None, None)]:
         now = between(events, "timestamp", start, end) if before is None or start else events.limit(0)
         is_late = (F.col("event_type") == SEARCH) & F.lit(late)
-        parts = now.filter(~is_late)
+        period = now.filter(~is_late)
         if before is not None:
-            parts = parts.unionByName(before.filter(is_late | (F.col("product_id").cast("int") < 10)))
-        damaged_messages(parts).coalesce(1).write.mode("append").parquet(path)
+            again = before.filter(F.col("product_id").cast("int") < 10).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(days=F.lit(1)))
+            period = period.unionByName(before.filter(is_late)).unionByName(again)
+        yield damaged_messages(period)
         before = now
-    return file_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
 
 
 def as_messages(events: DataFrame) -> DataFrame:

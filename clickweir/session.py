@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -56,5 +57,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove intermediates that are read no more."""
+    for text in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/clickweir/{spark.sparkContext.applicationId}"

@@ -2,6 +2,7 @@
 
 import json
 import os
+import threading
 from datetime import timedelta
 
 import pytest
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from clickweir.functions.times import naive_utc
 from clickweir.operators import alerts, geo, metrics, products
-from clickweir.session import scratch
-from clickweir.sinks import tables as sinks
+from clickweir.session import _scratch_root, scratch
+from clickweir.sinks import parts, tables as sinks
 from clickweir.streaming import jobs, refresh
 from conftest import GOLDEN, event, minute, rows
 
@@ -28,7 +29,7 @@ def batch(spark, texts):
 
 
 def table(spark, root, name, want):
-    return rows(spark.read.parquet(f"{root}/{name}").select(*want.columns))
+    return rows(refresh.read(spark, root, name).select(*want.columns))
 
 
 OPERATORS = [("metrics_1min", metrics.minute_metrics), ("metrics_1hour", metrics.hour_metrics), ("product_metrics", products.product_metrics),
@@ -43,21 +44,164 @@ def test_batches_late_events_and_redelivery(spark, golden):
     for number, some in enumerate(batches):
         for _ in range(2 if number == 1 else 1):    # the second batch is repeated after a restart
             refresh.process(spark, root, batch(spark, some), number, names=list(refresh.TABLES))
-    for name, operator in OPERATORS:
-        assert table(spark, root, name, operator(golden)) == rows(operator(golden)), name
-    raw = refresh.raw_events(spark, root, golden.schema)
-    assert rows(raw, "event_id") == sorted([(r[0],) for r in GOLDEN], key=repr)
-    letters = spark.read.parquet(f"{root}/dead_letters")
-    assert rows(letters, "reject_reason", "message_text") == [("malformed json", "{broken"), ("missing event_type", '{"event_id": "x"}')]
-    day = f"{root}/events_raw/event_date=2025-01-03"
-    assert len([p for p in os.listdir(day) if p.startswith("part=")]) == 3
-    assert refresh.compact_events(spark, root, "2025-01-03 23:00:00") == []
-    assert refresh.compact_events(spark, root, "2025-01-04") == ["2025-01-03"]
-    assert os.listdir(day) == ["part=whole"] and refresh.raw_events(spark, root, golden.schema).count() == len(GOLDEN)
+    for upkeep in (None, {}, {"fan": 2}, {"fan": 2, "grace_seconds": 0}):
+        if upkeep is not None:
+            refresh.maintain(spark, root, **upkeep)
+        for name, operator in OPERATORS:
+            assert table(spark, root, name, operator(golden)) == rows(operator(golden)), (name, upkeep)
+        assert rows(refresh.raw_events(spark, root), "event_id") == sorted([(r[0],) for r in GOLDEN], key=repr)
+        letters = refresh.read(spark, root, "dead_letters")
+        assert rows(letters, "reject_reason", "message_text") == [("malformed json", "{broken"), ("missing event_type", '{"event_id": "x"}')]
+        assert len(parts.live(spark, f"{root}/events_raw")) == (2 if upkeep and "fan" in upkeep else 3)
+    assert parts.stored(spark, f"{root}/events_raw") == [(0, 1), (2, 2)]
+    refresh.process(spark, root, batch(spark, texts), 1)    # a batch that is compacted already changes nothing
+    refresh.process(spark, root, batch(spark, ["{broken"]), 3)
+    assert rows(refresh.raw_events(spark, root), "event_id") == sorted([(r[0],) for r in GOLDEN], key=repr)
     assert set(refresh.register_tables(spark, root)) == {"events_raw", "dead_letters", *refresh.TABLES}
     assert spark.sql("SELECT COUNT(*) AS n FROM metrics_1min JOIN events_raw ON time_bucket = date_trunc('minute', timestamp)").first()["n"] == len(GOLDEN)
 
 
+def test_no_raw_event_outside_the_batch(spark, golden, monkeypatch):
+    """Late events of stored minutes are taken in without a look at the raw table: reads of it are for the batch's own part
+    and, for the alert log, of the hour of the newest event."""
+    root, seen = scratch(spark, "job"), []
+    texts, read = [text(r) for r in GOLDEN], parts.read
+
+    def watched(spark, path, schema, by=(), runs=None, dates=None):
+        seen.append((path.rsplit("/", 1)[1], runs))
+        return read(spark, path, schema, by, runs, dates)
+    monkeypatch.setattr(parts, "read", watched)
+    for number in (0, 1):
+        seen.clear()
+        refresh.process(spark, root, batch(spark, texts[number::2]), number, names=refresh.DEFAULT_TABLES)
+    assert [runs for name, runs in seen if name == "events_raw"] == [[(1, 1)]]
+    monkeypatch.undo()
+    for name, operator in OPERATORS:
+        assert table(spark, root, name, operator(golden)) == rows(operator(golden)), name
+
+
+def test_an_id_is_stored_once_whatever_its_date(spark):
+    root = scratch(spark, "job")
+    first, again = event("e1", "23:59:59", "product_view", "u1", "s1", "p1"), event("e1", "00:00:01", "product_view", "u1", "s1", "p1", day="2025-01-04")
+    other = event("e2", "00:00:02", "product_view", "u1", "s1", "p1", day="2025-01-04")
+    for number, some in enumerate([[first, first], [again, other], [again, first]]):
+        refresh.process(spark, root, batch(spark, [text(r) for r in some]), number, names=["metrics_1min"])
+    assert rows(refresh.raw_events(spark, root), "event_id", "timestamp") == [("e1", first[2]), ("e2", other[2])]
+    assert rows(refresh.read(spark, root, "metrics_1min"), "time_bucket", "total_views") == [(minute("23:59"), 1), (minute("23:59") + timedelta(minutes=1), 1)]
+
+
+def test_only_the_folders_of_the_ids_are_read(spark):
+    root = scratch(spark, "job")
+    refresh.process(spark, root, batch(spark, [text(r) for r in GOLDEN]), 0, names=[])
+    index = parts.read(spark, f"{root}/event_ids", spark.createDataFrame([], "event_id string, seen date").schema, ("bucket",)).filter(F.col("bucket").isin([3]))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_first_batch_without_products_and_batches_without_events(spark):
+    """Schemas come from the operators: tables that hold nothing yet are empty, and the alert check runs over them."""
+    root = scratch(spark, "job")
+    refresh.process(spark, root, batch(spark, ["{broken"]), 0)
+    refresh.process(spark, root, batch(spark, [text(event("e1", "10:00:00", "search", "u1", "s1"))]), 1)
+    refresh.process(spark, root, batch(spark, []), 2)
+    assert refresh.read(spark, root, "metrics_1min").count() == 1
+    assert refresh.read(spark, root, "product_metrics").count() == refresh.read(spark, root, "alert_log").count() == refresh.read(spark, root, "rankings").count() == 0
+
+
+def test_a_crash_between_tables(spark, golden, monkeypatch):
+    """The batch is repeated after a crash behind any of its parts, with other events of the same ids: the raw part decides."""
+    texts, publish = [text(r) for r in GOLDEN], parts.publish
+    for last in ("events_raw", "event_ids", "activity", "metrics_1min", "products"):
+        root = scratch(spark, "job")
+        refresh.process(spark, root, batch(spark, texts[:5]), 0, names=refresh.DEFAULT_TABLES)
+
+        def crash(rows, path, *args, **options):
+            publish(rows, path, *args, **options)
+            if path.endswith(last):
+                raise KeyboardInterrupt
+        monkeypatch.setattr(parts, "publish", crash)
+        with pytest.raises(KeyboardInterrupt):
+            refresh.process(spark, root, batch(spark, texts[5:]), 1, names=refresh.DEFAULT_TABLES)
+        monkeypatch.undo()
+        refresh.process(spark, root, batch(spark, texts[5:]), 1, names=refresh.DEFAULT_TABLES)
+        for name, operator in OPERATORS[:2]:
+            assert table(spark, root, name, operator(golden)) == rows(operator(golden)), (name, last)
+
+
+def test_a_part_without_its_mark_does_not_count(spark):
+    path = scratch(spark, "parts")
+    parts.publish(spark.range(3), path, (0, 0))
+    spark.range(5).write.parquet(parts.folder(path, (1, 1)))
+    os.remove(f"{parts.folder(path, (1, 1))}/_SUCCESS")
+    assert parts.live(spark, path) == [(0, 0)]
+    parts.publish(spark.range(7), path, (1, 1))
+    parts.publish(spark.range(9), path, (1, 1))    # a part that counts is left alone
+    assert parts.read(spark, path, spark.range(1).schema).count() == 10
+
+
+def test_readers_never_miss_a_date(spark, golden):
+    """A thread reads while batches change the same minutes and parts are compacted and removed."""
+    root, seen, stop = scratch(spark, "job"), [], threading.Event()
+    texts = [text(r) for r in GOLDEN]
+    refresh.process(spark, root, batch(spark, texts[:2]), 0, names=["metrics_1min"])
+
+    def look():
+        while not stop.is_set():
+            seen.append(refresh.read(spark, root, "metrics_1min").agg(F.sum("total_views")).first()[0])
+    reader = threading.Thread(target=look)
+    reader.start()
+    try:
+        for number in range(2, len(texts)):
+            refresh.process(spark, root, batch(spark, texts[number:number + 1]), number, names=["metrics_1min"])
+            refresh.maintain(spark, root, fan=2)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen == sorted(seen) and seen[0] == 2 and len(seen) > 3
+
+
+def test_upkeep_drops_old_dates_and_late_events_for_them_change_nothing(spark):
+    root = scratch(spark, "job")
+    old, new = event("e1", "10:00:00", "product_view", "u1", "s1", "p1"), event("e2", "10:00:00", "product_view", "u1", "s1", "p1", day="2025-01-20")
+    late = event("e3", "10:00:30", "product_view", "u2", "s2", "p1")
+    refresh.process(spark, root, batch(spark, [text(old), text(new)]), 0, names=["metrics_1min", "metrics_1hour"])
+    done = refresh.maintain(spark, root, "2025-01-20 12:00:00")
+    assert done == {"activity": ["2025-01-03"], "metrics_1min": ["2025-01-03"]}
+    refresh.process(spark, root, batch(spark, [text(late)]), 1, names=["metrics_1min", "metrics_1hour"])
+    assert rows(refresh.read(spark, root, "metrics_1hour"), "total_views") == [(1,), (1,)] and refresh.raw_events(spark, root).count() == 3
+    assert rows(refresh.read(spark, root, "metrics_1min"), "time_bucket") == [(new[2],)]
+    assert refresh.maintain(spark, root, "2025-02-15 12:00:00")["events_raw"] == ["2025-01-03"]
+    assert [p for p in os.listdir(f"{root}/_partials_from")] and refresh.raw_events(spark, root).count() == 1
+
+
+def test_a_batch_leaves_no_intermediates(spark):
+    root, before = scratch(spark, "job"), set(os.listdir(_scratch_root(spark)))
+    refresh.process(spark, root, batch(spark, [text(r) for r in GOLDEN]), 0)
+    assert set(os.listdir(_scratch_root(spark))) - before == {os.path.basename(root)}
+
+
+def test_two_minutes_read_one_hour(spark):
+    root = scratch(spark, "job")
+    some = [event(f"e{i}", f"{i:02d}:30:00", "search", "u1", "s1") for i in range(24)]
+    refresh.process(spark, root, batch(spark, [text(r) for r in some]), 0, names=[])
+    asked = refresh.raw_events(spark, root, start="2025-01-03 07:30:00", end="2025-01-03 07:32:00")
+    assert len(asked.inputFiles()) == 24 and asked.count() == 1
+    scan = [n for n in plan_nodes(asked) if n.nodeName().startswith("Scan")]
+    assert [n.metrics().apply("numFiles").value() for n in scan] == [1]
+
+
+def plan_nodes(df):
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        out.append(node)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return out
+
+
 def test_alert_log(spark, frame):
     """Alerts of the minutes that each batch completes, the gap between batches included; a repeated batch adds none."""
     root = scratch(spark, "job")
@@ -65,11 +209,20 @@ def test_alert_log(spark, frame):
     later = [event(f"w{i}", f"10:{40 + i // 9:02d}:{i % 9:02d}", "product_view", "u2", "s2", "p2") for i in range(90)]
     for number, some in enumerate([views, later, later]):
         refresh.process(spark, root, batch(spark, [text(r) for r in some]), min(number, 1))
-    log = spark.read.parquet(f"{root}/alert_log")
+    log = refresh.read(spark, root, "alert_log")
     everything = frame(views + later)
     want = alerts.run_all_checks(metrics.minute_metrics(everything), products.product_metrics(everything), until=minute("10:49"))
     assert rows(log, "id", "detected_at", "alert_type") == rows(want, "id", "detected_at", "alert_type")
-    assert log.filter(F.col("detected_at") == minute("10:25")).count() > 0
+    assert log.filter(F.col("detected_at") == minute("10:25")).count() > 0 and log.filter("is_active").count() == log.count()
+    much_later = [event("z", "11:30:30", "product_view", "u2", "s2", "p2")]
+    refresh.process(spark, root, batch(spark, [text(r) for r in much_later]), 2)
+    log, known = refresh.read(spark, root, "alert_log"), rows(want, "id")
+    assert rows(log.filter("NOT is_active"), "id") == rows(log.filter(F.col("detected_at") < minute("10:30")), "id") != []
+    assert rows(log.filter("NOT is_active").select("resolved_at").distinct()) == [(minute("11:30"),)]
+    assert {r[0] for r in known} <= {r[0] for r in rows(log, "id")} and log.count() == log.select("id").distinct().count()
+    refresh.maintain(spark, root, fan=2, grace_seconds=0)
+    assert rows(refresh.read(spark, root, "alert_log")) == rows(log)
+    assert refresh.read(spark, root, "alert_episodes").agg(F.sum("alerts")).first()[0] == log.count()
 
 
 def test_stopped_and_resumed_stream(spark, golden):
@@ -77,7 +230,7 @@ def test_stopped_and_resumed_stream(spark, golden):
     texts = [text(r) for r in GOLDEN]
     for some in (texts[:6], texts[4:]):
         batch(spark, some).coalesce(1).write.mode("append").parquet(source)
-        jobs.wait([refresh.start(jobs.file_stream(spark, source, "value string", 1), root, every=None, names=["metrics_1min"], compact_every=1)])
+        jobs.wait([refresh.start(jobs.file_stream(spark, source, "value string", 1), root, every=None, names=["metrics_1min"], maintain_every=1)])
     assert table(spark, root, "metrics_1min", metrics.minute_metrics(golden)) == rows(metrics.minute_metrics(golden))
 
 
