@@ -5,11 +5,11 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import amount_sum
 from ..functions.ratios import percent, percent_change, round_exact
-from ..functions.times import at, between, instant, lookback
+from ..functions.times import at, between, instant, lookback, minutes as span_of
 
 
 def total(column: str, where: Column | None = None) -> Column:
@@ -37,6 +37,21 @@ def active_users(events: DataFrame, as_of, minutes: int = 5) -> DataFrame:
         F.countDistinct("user_id").alias("active_users"))
 
 
+def active_users_history(events: DataFrame, minutes: int = 5) -> DataFrame:
+    """active_users() at the end of every minute that has some: (as_of, active_users), over the `minutes` before as_of.
+
+    A user's minutes are put in order, and each of them counts for the ends that no earlier one has counted for, so users
+    are never collected or made distinct per window; a user has no more rows than there are minutes.
+    """
+    seen = (events.filter(F.col("user_id").isNotNull())
+            .groupBy("user_id", F.window("timestamp", "1 minute").getField("start").alias("minute")).agg(F.count(F.lit(1)).alias("n")))
+    before = F.lag("minute").over(Window.partitionBy("user_id").orderBy("minute"))
+    first = F.greatest(F.col("minute") + span_of(1), F.coalesce(before + span_of(minutes + 1), F.col("minute") + span_of(1)))
+    ends = seen.select(first.alias("first"), (F.col("minute") + span_of(minutes)).alias("last"))
+    every = F.when(F.col("first") <= F.col("last"), F.sequence("first", "last", span_of(1)))
+    return ends.select(F.explode(every).alias("as_of")).groupBy("as_of").agg(F.count(F.lit(1)).alias("active_users"))
+
+
 def revenue_trend(metrics: DataFrame, as_of, hours: float = 1) -> DataFrame:
     """The minutes of the lookback in time order."""
     return (

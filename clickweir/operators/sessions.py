@@ -44,6 +44,41 @@ def stream_sessions(events: DataFrame, gap_minutes: int = 5, key: str = "user_id
              (F.col("w.end") - span_of(gap_minutes)).alias("session_end"), "event_count")
 
 
+def cart_moves(events: DataFrame) -> DataFrame:
+    """Partials of carts: what events add to each cart line, and the time of the last of them."""
+    moves = events.filter(F.col("event_type").isin(ADD, REMOVE, PURCHASE))
+    signed = F.when(is_type(ADD), F.col("quantity")).otherwise(-F.col("quantity"))
+    return moves.groupBy("session_id", "product_id").agg(F.sum(signed).cast("long").alias("moved"), F.max("timestamp").alias("last_at"))
+
+
+def added_moves(partials: DataFrame) -> DataFrame:
+    """Partials of one cart line as one, whatever it holds: a late add may still come to a line that is empty now."""
+    return partials.groupBy("session_id", "product_id").agg(F.sum("moved").alias("moved"), F.max("last_at").alias("last_at"))
+
+
+def open_carts(partials: DataFrame, since=None) -> DataFrame:
+    """cart_state() of the events behind the partials, with the last move; with `since`, without lines that lie still for longer."""
+    lines = added_moves(partials).filter(F.col("moved") > 0)
+    if since is not None:
+        lines = lines.filter(F.col("last_at") >= at(since))
+    return lines.select("session_id", "product_id", F.col("moved").alias("open_quantity"), "last_at")
+
+
+def session_events(events: DataFrame) -> DataFrame:
+    """Partials of the funnel: of each session its first view, the times of its adds and purchases, each once, and one
+    time of anything else, which tells that there is the session."""
+    steps = F.when(F.col("event_type").isin(VIEW, ADD, PURCHASE), F.col("event_type")).otherwise("other")
+    known = events.filter(F.col("session_id").isNotNull()).select("session_id", steps.alias("event_type"), "timestamp")
+    return funnel_events(known)
+
+
+def funnel_events(partials: DataFrame) -> DataFrame:
+    """Partials of the funnel without what no longer matters."""
+    every = F.when(F.col("event_type").isin(ADD, PURCHASE), F.col("timestamp"))
+    return (partials.withColumn("own", every).groupBy("session_id", "event_type", "own")
+            .agg(F.min("timestamp").alias("timestamp")).select("session_id", "event_type", "timestamp"))
+
+
 def cart_state(events: DataFrame, as_of=None) -> DataFrame:
     """Open quantity per session and product: added, less removed and bought. `as_of` is exclusive."""
     if as_of is not None:

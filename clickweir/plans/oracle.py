@@ -3,6 +3,8 @@ grouping, range joins and window functions instead of tallies, evaluation times
 
 from __future__ import annotations
 
+import re
+
 EVENTS = """
 ev AS (
     SELECT CAST(event_id AS VARCHAR) AS event_id,
@@ -427,7 +429,10 @@ def snapshot_sql(sql: dict[str, str]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     sql = _own_sql()
-    return {**sql, "dashboard_snapshot": snapshot_sql(sql)}
+    # The job's tables hold the events whose messages are not damaged.
+    good = {name: _with(re.sub(r"\bev\b", "good", sql[table].removeprefix(_with(""))), GOOD)
+            for name, table in (("stream_cart_state", "cart_state"), ("stream_session_funnel", "session_funnel"))}
+    return {**sql, **good, "dashboard_snapshot": snapshot_sql(sql)}
 
 
 def _own_sql() -> dict[str, str]:
@@ -635,6 +640,17 @@ def _own_sql() -> dict[str, str]:
                 sha256(alert_type || '-' || COALESCE(product_id, '') || '-' || strftime(detected_at, '%Y-%m-%d %H:%M:%S')) AS id,
                 detected_at >= (SELECT date_trunc('minute', MAX("timestamp")) FROM good) - INTERVAL 1 HOUR AS is_active
             FROM found WHERE detected_at <= (SELECT date_trunc('minute', MAX("timestamp")) FROM good)""", JOB_LOG),
+        "active_users_history": _with("""
+            SELECT as_of, COUNT(DISTINCT user_id) AS active_users FROM (
+                SELECT user_id, unnest(generate_series(date_trunc('minute', "timestamp") + INTERVAL 1 MINUTE, date_trunc('minute', "timestamp") + INTERVAL 5 MINUTE,
+                    INTERVAL 1 MINUTE)) AS as_of FROM ev WHERE user_id IS NOT NULL) GROUP BY as_of"""),
+        "stream_lateness": _with("""
+            SELECT date_trunc('minute', "timestamp") AS time_bucket, COUNT(*) AS events, COUNT(*) FILTER (behind > 120) AS late_events,
+                   COALESCE(MAX(behind) FILTER (behind > 120), 0) AS most_late_seconds
+            FROM (SELECT b."timestamp", date_diff('microsecond', b."timestamp", until) / 1e6::DOUBLE AS behind FROM batches b JOIN known USING (batch)) GROUP BY 1""",
+            GOOD, """batches AS (SELECT *, CASE WHEN "timestamp" < DATE '2024-01-11' THEN 0 WHEN "timestamp" < DATE '2024-01-21' THEN 1 ELSE 2 END
+                + CASE WHEN event_type = 'search' THEN 1 ELSE 0 END AS batch FROM good)""",
+            """known AS (SELECT batch, MAX(MAX("timestamp")) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM batches GROUP BY batch)"""),
         "stream_hours_from_minutes": _with(f"""
             SELECT h.*, TRUE AS users_near, TRUE AS sessions_near FROM ({HOURS.replace("FROM ev", "FROM good")}) h""", GOOD),
         "stream_rejected": _with("""

@@ -644,7 +644,7 @@ def stream_late_data(spark, sf_dir):
 
 # The whole job
 
-def run_job(spark, sf_dir, late: bool, names) -> str:
+def run_job(spark, sf_dir, late: str | None, names) -> str:
     """The job, started again for each period of messages on one checkpoint; a period's files are read by many tasks."""
     root, path = scratch(spark, "all_tables"), scratch(spark, "messages")
     for period in shop.message_periods(spark, sf_dir, late):
@@ -670,7 +670,7 @@ JOB_TABLES = {
 def stream_all_tables(spark, sf_dir):
     """The job over messages with late searches, damaged texts and duplicates that bear another date, in four batches;
     each table by day, read through the views of ad-hoc SQL. Parts are compacted before they are read."""
-    root = run_job(spark, sf_dir, True, refresh.DEFAULT_TABLES)
+    root = run_job(spark, sf_dir, SEARCH, refresh.DEFAULT_TABLES)
     refresh.maintain(spark, root, fan=2)
     refresh.register_tables(spark, root)
     parts = [f"""SELECT '{name}' AS table_name, CAST({time} AS DATE) AS day, COUNT(*) AS row_count,
@@ -682,7 +682,7 @@ def stream_all_tables(spark, sf_dir):
 @query
 def stream_alert_log(spark, sf_dir):
     """The log that the job has written after its last batch."""
-    root = run_job(spark, sf_dir, False, ["metrics_1min", "product_metrics", refresh.LOG])
+    root = run_job(spark, sf_dir, None, ["metrics_1min", "product_metrics", refresh.LOG])
     log = rounded(refresh.read(spark, root, refresh.LOG), "current_value", "threshold_value", "percentage_change")
     return log.select(*ALERT_COLUMNS, "id", "is_active")
 
@@ -698,7 +698,7 @@ def alert_episodes(spark, sf_dir):
 def stream_hours_from_minutes(spark, sf_dir):
     """The job's hours twice: exact ones as it serves them, and what its minute table and the minutes' sketches give, which
     must be the same but for distinct counts within five percent (or two)."""
-    root = run_job(spark, sf_dir, True, ["metrics_1min", "metrics_1hour", "sketches_1min"])
+    root = run_job(spark, sf_dir, SEARCH, ["metrics_1min", "metrics_1hour", "sketches_1min"])
     minutes = refresh.read(spark, root, "metrics_1min").join(refresh.read(spark, root, "sketches_1min"), "time_bucket")
     rolled = metrics.hour_rollup(minutes)
     both = refresh.read(spark, root, "metrics_1hour").alias("h").join(rolled.alias("r"), "time_bucket")
@@ -711,10 +711,37 @@ def stream_hours_from_minutes(spark, sf_dir):
                        near("unique_users").alias("users_near"), near("unique_sessions").alias("sessions_near"))
 
 
+@query
+def stream_cart_state(spark, sf_dir):
+    """Open carts of the job after batches in which the removes come a period late."""
+    root = run_job(spark, sf_dir, REMOVE, [refresh.CARTS])
+    return refresh.read(spark, root, refresh.CARTS).select("session_id", "product_id", "open_quantity")
+
+
+@query
+def stream_session_funnel(spark, sf_dir):
+    """The funnel of the job's sessions; views come a period late, so first views change when their adds are stored."""
+    root = run_job(spark, sf_dir, VIEW, [refresh.STEPS])
+    return refresh.read(spark, root, refresh.FUNNEL)
+
+
+@query
+def stream_lateness(spark, sf_dir):
+    """Per minute, how many events came late and by how much; searches come a period late."""
+    root = run_job(spark, sf_dir, SEARCH, [refresh.LATENESS])
+    return refresh.read(spark, root, refresh.LATENESS)
+
+
+@query
+def active_users_history(spark, sf_dir):
+    """Active users of the last five minutes at the end of every minute."""
+    return dashboard.active_users_history(shop.shop_events(spark, sf_dir))
+
+
 @query
 def stream_rejected(spark, sf_dir):
     """The dead letters by reason."""
-    root = run_job(spark, sf_dir, True, [])
+    root = run_job(spark, sf_dir, SEARCH, [])
     letters = refresh.read(spark, root, refresh.LETTERS)
     return letters.groupBy("reject_reason").agg(F.count("message_text").alias("messages"))
 

@@ -110,13 +110,13 @@ def shop_stream(spark: SparkSession, sf_dir: str, products: bool = False, places
     return attributed(spark, watermarked(as_shop_events(event_files(spark, sf_dir))), sf_dir, products, places)
 
 
-def message_periods(spark: SparkSession, sf_dir: str, late: bool) -> Iterator[DataFrame]:
+def message_periods(spark: SparkSession, sf_dir: str, late: str | None) -> Iterator[DataFrame]:
     """Damaged messages of one period after the other. Every event of the first ten products comes again a period later,
-    dated a day after its first copy; with `late`, searches come a period late, and only then."""
+    dated a day after its first copy; events of the type `late` come a period late, and only then."""
     events, bounds, before = shop_events(spark, sf_dir, products=True, places=True), [None, *EDGES, None], None
     for start, end in [*zip(bounds[:-1], bounds[1:]), (None, None)]:
         now = between(events, "timestamp", start, end) if before is None or start else events.limit(0)
-        is_late = (F.col("event_type") == SEARCH) & F.lit(late)
+        is_late = (F.col("event_type") == late) if late else F.lit(False)
         period = now.filter(~is_late)
         if before is not None:
             again = before.filter(F.col("product_id").cast("int") < 10).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(days=F.lit(1)))

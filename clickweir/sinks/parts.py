@@ -11,18 +11,19 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Sequence
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, IntegerType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StructField, StructType
 
+from ..functions.times import at, instant
 from .tables import DATE, _children, _hadoop
 
-HOUR = "event_hour"  # below the date, for tables whose dates are large
-FAN = 10             # parts of one width that compaction makes one of
+MINUTE = "minute_number"  # of rows with a time: minutes since 1970; Parquet skips by bounds on numbers, not on naive times
+FAN = 10  # parts of one width that compaction makes one of
 
 _NAME = re.compile(r"part=(\d{12})-(\d{12})$")
-_TYPES = {DATE: DateType(), HOUR: IntegerType()}
+_TYPES = {DATE: DateType()}
 
 Run = tuple[int, int]
 
@@ -51,37 +52,52 @@ def _live(runs: Sequence[Run]) -> list[Run]:
     return sorted(kept)
 
 
-def with_place(rows: DataFrame, column: str, hours: bool = False) -> DataFrame:
-    """Rows with the folder columns of their time."""
-    rows = rows.withColumn(DATE, F.to_date(column))
-    return rows.withColumn(HOUR, F.hour(column)) if hours else rows
-
-
-def publish(rows: DataFrame, path: str, run: Run, by: Sequence[str] = (), column: str | None = None) -> None:
+def publish(rows: DataFrame, path: str, run: Run, by: Sequence[str] = (), column: str | None = None, ranges: bool = False) -> None:
     """Add `rows` as the part of `run` unless it is there. Rows are gathered by folder and lie in order of `column` in
-    their files, so that bounds on it skip files."""
+    their files; with `ranges`, for large rows, also the files of a folder follow each other in it, so that bounds on it
+    skip files and not only row groups."""
     spark = rows.sparkSession
     fs, make = _hadoop(spark, path)
     if fs.exists(make(f"{folder(path, run)}/_SUCCESS")):
         return
-    if by:
+    if column:
+        rows = rows.withColumn(MINUTE, minute_number(F.col(column)))
+    if ranges:
+        rows = rows.repartitionByRange(*by, column)
+    elif by:
         rows = rows.hint("rebalance", *[F.col(c) for c in by])
     if column:
         rows = rows.sortWithinPartitions(*by, column)
     rows.write.mode("overwrite").partitionBy(*by).parquet(folder(path, run))
 
 
+def minute_number(ts: Column) -> Column:
+    return F.timestamp_diff("MINUTE", at("1970-01-01"), ts)
+
+
 def read(spark: SparkSession, path: str, schema: StructType, by: Sequence[str] = (), runs: Sequence[Run] | None = None,
-         dates: Sequence[date | None] | None = None) -> DataFrame:
-    """Rows of the table, or of some of its parts or dates, with the folder columns `by`; empty if there is none."""
-    whole = StructType([*schema.fields, *[StructField(c, _TYPES.get(c, IntegerType())) for c in by]])
+         dates: Sequence[date | None] | None = None, start=None, end=None) -> DataFrame:
+    """Rows of the table, or of some of its parts or dates, with the folder columns `by`; empty if there is none. `start`
+    and `end` skip what lies in other dates, files and row groups; rows of up to a minute around them are still there."""
+    folders = [StructField(c, _TYPES.get(c, IntegerType())) for c in by]
+    whole = StructType([*schema.fields, *folders])
     runs = live(spark, path) if runs is None else runs
     if not runs:
         return spark.createDataFrame([], whole)
-    rows = spark.read.schema(whole).option("basePath", path).parquet(*[folder(path, run) for run in runs]).select(*whole.names)
+    numbered = StructType([*schema.fields, StructField(MINUTE, LongType()), *folders])
+    rows = spark.read.schema(numbered).option("basePath", path).parquet(*[folder(path, run) for run in runs])
+    if start is not None:
+        rows = rows.filter((F.col(MINUTE) >= _minute_of(start) - 1) & (F.col(DATE) >= F.lit(instant(start).date())))
+    if end is not None:
+        rows = rows.filter((F.col(MINUTE) <= _minute_of(end) + 1) & (F.col(DATE) <= F.lit(instant(end).date())))
+    rows = rows.select(*whole.names)
     return rows if dates is None else rows.filter(in_dates(dates))
 
 
+def _minute_of(time) -> int:
+    return int((instant(time) - datetime(1970, 1, 1)).total_seconds() // 60)
+
+
 def in_dates(dates: Sequence[date | None]) -> Column:
     """A literal filter on the date folders."""
     known = sorted(d for d in dates if d is not None)
@@ -95,7 +111,7 @@ def dates_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def compact(spark: SparkSession, path: str, schema: StructType, combine: Callable[[DataFrame], DataFrame], by: Sequence[str] = (),
-            column: str | None = None, fan: int = FAN) -> list[Run]:
+            column: str | None = None, fan: int = FAN, ranges: bool = False) -> list[Run]:
     """Make one part of every `fan` neighbouring parts of like width, again and again; each row is rewritten about as
     often as the logarithm of the number of batches. Returns the new parts."""
     made = []
@@ -107,7 +123,7 @@ def compact(spark: SparkSession, path: str, schema: StructType, combine: Callabl
             return made
         chosen = runs[start:start + fan]
         run = (chosen[0][0], chosen[-1][1])
-        publish(combine(read(spark, path, schema, by, chosen)), path, run, by, column)
+        publish(combine(read(spark, path, schema, by, chosen)), path, run, by, column, ranges)
         made.append(run)
 
 

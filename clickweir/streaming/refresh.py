@@ -24,14 +24,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.times import at, between, instant, naive_utc, truncate
-from ..operators import alerts, geo, metrics, products
+from ..operators import alerts, geo, metrics, products, sessions
 from ..session import drop_scratch, require_utc, scratch
 from ..sinks import parts, tables as sinks
-from ..sinks.parts import DATE, HOUR, Run
+from ..sinks.parts import DATE, Run
 from ..sources import messages as source
 from ..sources.tables import register_views, scan
 
 RAW, LETTERS, LOG, EPISODES, INDEX = "events_raw", "dead_letters", "alert_log", "alert_episodes", "event_ids"
+CARTS, STEPS, FUNNEL, LATENESS = "carts", "session_events", "session_funnel", "lateness"
+LATE_SECONDS = 120  # fixed value: behind the newest event by more than this, an event is late
 RANKING_MINUTES = 5
 BUCKETS = 16   # folders of the id index; an event id always falls in the same one
 WRITERS = 6    # tables written at the same time
@@ -69,6 +71,13 @@ TABLES = {
     "rankings": Table("products", lambda p: products.rankings_of_partials(p, RANKING_MINUTES), ["time_bucket", "rank"], RANKING_MINUTES),
     "sketches_1min": Table("sketches", metrics.united_sketches, ["time_bucket"], 1),
 }
+# Tables that are only added to, and added up by the reader: no part of them is ever made again.
+ADDED = {
+    CARTS: Partial(sessions.cart_moves, sessions.added_moves),
+    STEPS: Partial(sessions.session_events, sessions.funnel_events),
+    LATENESS: Partial(lambda late: late, lambda p: p.groupBy("time_bucket").agg(
+        F.sum("events").alias("events"), F.sum("late_events").alias("late_events"), F.max("most_late_seconds").alias("most_late_seconds"))),
+}
 DEFAULT_TABLES = [name for name in TABLES if name != "sketches_1min"]
 
 _LETTER = "received timestamp_ntz, reject_reason string, message_text string"
@@ -113,6 +122,7 @@ def _find_schemas(spark: SparkSession) -> dict[str, StructType]:
     nothing = spark.createDataFrame([], _event_schema(spark))
     found = {RAW: nothing.schema, LETTERS: spark.createDataFrame([], _LETTER).schema, INDEX: spark.createDataFrame([], _ID).schema}
     found |= {name: partial.make(nothing).schema for name, partial in PARTIALS.items()}
+    found |= {CARTS: ADDED[CARTS].make(nothing).schema, STEPS: ADDED[STEPS].make(nothing).schema, LATENESS: _lateness(nothing, None).schema}
     batch = StructField(BATCH, LongType())
     for name, table in TABLES.items():
         found[name] = StructType([*table.make(spark.createDataFrame([], found[table.partial])).schema.fields, batch])
@@ -122,13 +132,10 @@ def _find_schemas(spark: SparkSession) -> dict[str, StructType]:
 
 
 def raw_events(spark: SparkSession, root: str, schema: StructType | None = None, start=None, end=None) -> DataFrame:
-    """The stored events in ``[start, end)``, with the columns of `schema` if given; only the dates and hours that bounds leave are listed for the scan."""
-    rows = between(parts.read(spark, f"{root}/{RAW}", schema or _schemas(spark)[RAW], (DATE, HOUR)), "timestamp", start, end)
-    if start is not None:
-        rows = rows.filter((F.col(DATE) > F.lit(instant(start).date())) | (F.col(HOUR) >= instant(start).hour))
-    if end is not None:
-        rows = rows.filter((F.col(DATE) < F.lit(instant(end).date())) | (F.col(HOUR) <= instant(end).hour))
-    return rows.drop(DATE, HOUR)
+    """The stored events in ``[start, end)``, with the columns of `schema` if given. Bounds prune dates, and within a date
+    the files, which follow each other in time."""
+    rows = parts.read(spark, f"{root}/{RAW}", schema or _schemas(spark)[RAW], (DATE,), start=start, end=end)
+    return between(rows, "timestamp", start, end).drop(DATE)
 
 
 def _newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -140,15 +147,22 @@ def _newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def read(spark: SparkSession, root: str, name: str, start=None, end=None) -> DataFrame:
     """A served table, its bounds on the time bucket; the alert log, each alert as it stands, or its episodes; the dead
-    letters; or the raw events. A table that holds nothing yet is empty."""
+    letters; the raw events; the open carts, without those that lie still since before `start`; the session funnel (one row);
+    or how many events of each minute came late. A table that holds nothing yet is empty."""
     if name == RAW:
         return raw_events(spark, root, None, start, end)
     if name == LETTERS:
         return parts.read(spark, f"{root}/{name}", _schemas(spark)[name]).distinct()
     if name == EPISODES:
         return alerts.episodes(read(spark, root, LOG, start, end))
+    if name in (CARTS, FUNNEL, LATENESS):
+        stored = STEPS if name == FUNNEL else name
+        rows = parts.read(spark, f"{root}/{stored}", _schemas(spark)[stored])
+        if name == LATENESS:
+            return between(ADDED[name].add(rows), "time_bucket", start, end)
+        return sessions.open_carts(rows, start) if name == CARTS else sessions.session_funnel(rows)
     column, key = ("detected_at", ["id", "detected_at"]) if name == LOG else ("time_bucket", ["time_bucket"])
-    rows = parts.read(spark, f"{root}/{name}", _schemas(spark)[name], (DATE,))
+    rows = parts.read(spark, f"{root}/{name}", _schemas(spark)[name], (DATE,), start=start, end=end)
     return _newest(between(rows, column, start, end), key).drop(BATCH, DATE)
 
 
@@ -169,9 +183,9 @@ def store_events(spark: SparkSession, root: str, events: DataFrame, batch_id: in
         buckets = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # BUCKETS rows at most
         known = parts.read(spark, index, _schemas(spark)[INDEX], ("bucket",)).filter(F.col("bucket").isin(buckets))
         fresh = mine.join(known.select("event_id"), "event_id", "left_anti").select(*events.columns)
-        parts.publish(parts.with_place(fresh, "timestamp", hours=True), path, run, (DATE, HOUR), "timestamp")
+        parts.publish(sinks.with_date(fresh, "timestamp"), path, run, (DATE,), "timestamp", ranges=True)
         drop_scratch(spark, [once])
-    fresh = parts.read(spark, path, events.schema, (DATE, HOUR), [run]).drop(DATE, HOUR)
+    fresh = parts.read(spark, path, events.schema, (DATE,), [run]).drop(DATE,)
     parts.publish(fresh.select("event_id", F.to_date("timestamp").alias("seen"), bucket.alias("bucket")), index, run, ("bucket",))
     return fresh
 
@@ -192,9 +206,11 @@ def process(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, nam
         parts.publish(letters, f"{root}/{LETTERS}", run)
 
     good = naive_utc(source.flatten(source.accepted(decoded)))
-    known_until = _known_until(spark, root, good.schema, batch_id) if LOG in names else None
+    known_until = _known_until(spark, root, good.schema, batch_id) if LOG in names or LATENESS in names else None
     fresh = store_events(spark, root, good, batch_id)
     drop_scratch(spark, [path])
+    made = {name: _lateness(fresh, known_until) if name == LATENESS else ADDED[name].make(fresh) for name in names if name in ADDED}
+    _side_by_side(lambda name: parts.publish(made[name], f"{root}/{name}", run), made)
     wanted = [n for n in names if n in TABLES]
     if not wanted:
         return
@@ -207,7 +223,7 @@ def process(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, nam
     minutes = spark.read.schema(minutes.schema).parquet(touched)
     dates = sorted(r["d"] for r in minutes.select(F.to_date("minute").alias("d")).distinct().collect() if r["d"])
     if dates:
-        _side_by_side(lambda name: parts.publish(parts.with_place(PARTIALS[name].make(fresh), "time_bucket"), f"{root}/{name}", run, (DATE,), "time_bucket"),
+        _side_by_side(lambda name: parts.publish(sinks.with_date(PARTIALS[name].make(fresh), "time_bucket"), f"{root}/{name}", run, (DATE,), "time_bucket"),
                       dict.fromkeys(TABLES[n].partial for n in wanted))
         _side_by_side(lambda name: _serve(spark, root, name, minutes, dates, batch_id), wanted)
         if LOG in names:
@@ -232,15 +248,22 @@ def _horizon(spark: SparkSession, root: str) -> str | None:
 
 
 def _known_until(spark: SparkSession, root: str, schema: StructType, batch_id: int) -> datetime | None:
-    """Time of the newest event of earlier batches; folder names lead to its hour, which alone is read."""
+    """Time of the newest event of earlier batches; folder names lead to its date, of which the times are read."""
     path = f"{root}/{RAW}"
     runs = [run for run in parts.live(spark, path) if run[1] < batch_id]
     known = [d for run in runs for d in _dates_in(spark, path, run)]
     if not known:
         return None
-    rows = parts.read(spark, path, schema, (DATE, HOUR), runs, [max(known)])
-    newest = max(int(name.split("=")[1]) for run in runs for name in parts._children(spark, f"{parts.folder(path, run)}/{DATE}={max(known)}") if name.startswith(HOUR))
-    return rows.filter(F.col(HOUR) == newest).agg(F.max("timestamp")).first()[0]
+    return parts.read(spark, path, schema, (DATE,), runs, [max(known)]).agg(F.max("timestamp")).first()[0]
+
+
+def _lateness(fresh: DataFrame, known_until: datetime | None) -> DataFrame:
+    """Partials of lateness: per minute the events, those behind the newest event known before by more than LATE_SECONDS,
+    and by how much the latest of them is."""
+    behind = F.timestamp_diff("MICROSECOND", F.col("timestamp"), at(known_until)) / 1e6 if known_until else F.lit(0.0)
+    late = F.when(F.col("behind") > LATE_SECONDS, F.col("behind"))
+    return fresh.withColumn("behind", behind).groupBy(truncate(F.col("timestamp"), "minute").alias("time_bucket")).agg(
+        F.count(F.lit(1)).alias("events"), F.count(late).alias("late_events"), F.coalesce(F.max(late), F.lit(0.0)).alias("most_late_seconds"))
 
 
 def _dates_in(spark: SparkSession, path: str, run: Run) -> list[date]:
@@ -253,14 +276,14 @@ def _serve(spark: SparkSession, root: str, name: str, minutes: DataFrame, dates:
     table = TABLES[name]
     buckets = minutes.select(bucket_of(F.col("minute"), table.minutes).alias("touched")).distinct()
     ends = buckets.agg(F.min("touched").alias("lo"), F.max("touched").alias("hi")).first()
-    rows = parts.read(spark, f"{root}/{table.partial}", _schemas(spark)[table.partial], (DATE,), dates=dates)
-    rows = rows.filter((F.col("time_bucket") >= at(ends["lo"])) & (F.col("time_bucket") < at(ends["hi"] + timedelta(minutes=table.minutes))))
+    end = ends["hi"] + timedelta(minutes=table.minutes)
+    rows = parts.read(spark, f"{root}/{table.partial}", _schemas(spark)[table.partial], (DATE,), dates=dates, start=ends["lo"], end=end)
     if table.minutes == 1:
         rows = rows.join(buckets, F.col("time_bucket") == F.col("touched"), "left_semi")
     else:
         rows = rows.join(buckets, bucket_of(F.col("time_bucket"), table.minutes) == F.col("touched"), "left_semi")
     made = table.make(rows.drop(DATE)).withColumn(BATCH, F.lit(batch_id).cast("long"))
-    parts.publish(parts.with_place(made, "time_bucket"), f"{root}/{name}", (batch_id, batch_id), (DATE,), "time_bucket")
+    parts.publish(sinks.with_date(made, "time_bucket"), f"{root}/{name}", (batch_id, batch_id), (DATE,), "time_bucket")
 
 
 def _spells(dates: list[date], known_until: datetime | None, last: datetime, reach: timedelta) -> list[tuple[datetime, datetime]]:
@@ -305,7 +328,7 @@ def _check(spark: SparkSession, root: str, dates: list[date], span, known_until:
         expired = alerts.newly_expired(known, until, resolve_hours)
         new = expired.unionByName(sinks.absent(expired, new, ["id", "detected_at"]))
     new = new.withColumn(BATCH, F.lit(batch_id).cast("long"))
-    parts.publish(parts.with_place(new, "detected_at"), f"{root}/{LOG}", (batch_id, batch_id), (DATE,), "detected_at")
+    parts.publish(sinks.with_date(new, "detected_at"), f"{root}/{LOG}", (batch_id, batch_id), (DATE,), "detected_at")
     drop_scratch(spark, [path])
 
 
@@ -333,9 +356,10 @@ def maintain(spark: SparkSession, root: str, as_of=None, keep_days: Mapping[str,
         before = cutoff(INDEX)
         return rows if before is None else rows.filter(F.col("seen") >= F.lit(before))
 
-    plans = {RAW: (same, (DATE, HOUR), "timestamp"), INDEX: (seen_lately, ("bucket",), None), LETTERS: (lambda rows: rows.distinct(), (), None),
+    plans = {RAW: (same, (DATE,), "timestamp"), INDEX: (seen_lately, ("bucket",), None), LETTERS: (lambda rows: rows.distinct(), (), None),
              LOG: (lambda rows: _newest(rows, ["id", "detected_at"]), (DATE,), "detected_at")}
-    plans |= {name: (lambda rows, p=partial: parts.with_place(p.add(rows), "time_bucket"), (DATE,), "time_bucket") for name, partial in PARTIALS.items()}
+    plans |= {name: (lambda rows, p=partial: sinks.with_date(p.add(rows), "time_bucket"), (DATE,), "time_bucket") for name, partial in PARTIALS.items()}
+    plans |= {name: (partial.add, (), None) for name, partial in ADDED.items()}
     plans |= {name: (lambda rows: _newest(rows, ["time_bucket"]), (DATE,), "time_bucket") for name in TABLES}
     if cutoff("activity"):
         fs, make = parts._hadoop(spark, root)
@@ -343,7 +367,7 @@ def maintain(spark: SparkSession, root: str, as_of=None, keep_days: Mapping[str,
     def upkeep(name: str) -> None:
         path, before, (combine, by, column) = f"{root}/{name}", cutoff(name), plans[name]
         gone = parts.drop_before(spark, path, before) if before and DATE in by else []
-        made = parts.compact(spark, path, schemas[name], combine, by, column, fan)
+        made = parts.compact(spark, path, schemas[name], combine, by, column, fan, ranges=name == RAW)
         parts.sweep(spark, path, grace_seconds)
         if made or gone:
             done[name] = [*made, *gone]
@@ -372,6 +396,7 @@ def start(messages: DataFrame, root: str, every: str | None = "1 minute", mainta
 def register_tables(spark: SparkSession, root: str) -> list[str]:
     """Views named like the tables below `root`, for ad-hoc SQL. Tables that hold nothing yet are left out."""
     names = [n for n in (RAW, LETTERS, LOG, *TABLES) if parts.live(spark, f"{root}/{n}")]
-    names += [EPISODES] if LOG in names else []
+    names += [n for n in (CARTS, LATENESS) if parts.live(spark, f"{root}/{n}")]
+    names += [view for view, stored in ((EPISODES, LOG), (FUNNEL, STEPS)) if parts.live(spark, f"{root}/{stored}")]
     register_views({n: read(spark, root, n) for n in names})
     return names

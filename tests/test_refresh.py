@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickweir.functions.times import naive_utc
-from clickweir.operators import alerts, geo, metrics, products
+from clickweir.operators import alerts, geo, metrics, products, sessions
 from clickweir.session import _scratch_root, scratch
 from clickweir.sinks import parts, tables as sinks
 from clickweir.streaming import jobs, refresh
@@ -67,9 +67,9 @@ def test_no_raw_event_outside_the_batch(spark, golden, monkeypatch):
     root, seen = scratch(spark, "job"), []
     texts, read = [text(r) for r in GOLDEN], parts.read
 
-    def watched(spark, path, schema, by=(), runs=None, dates=None):
+    def watched(spark, path, schema, by=(), runs=None, **options):
         seen.append((path.rsplit("/", 1)[1], runs))
-        return read(spark, path, schema, by, runs, dates)
+        return read(spark, path, schema, by, runs, **options)
     monkeypatch.setattr(parts, "read", watched)
     for number in (0, 1):
         seen.clear()
@@ -111,9 +111,9 @@ def test_first_batch_without_products_and_batches_without_events(spark):
 def test_a_crash_between_tables(spark, golden, monkeypatch):
     """The batch is repeated after a crash behind any of its parts, with other events of the same ids: the raw part decides."""
     texts, publish = [text(r) for r in GOLDEN], parts.publish
-    for last in ("events_raw", "event_ids", "activity", "metrics_1min", "products"):
+    for last in ("events_raw", "activity", "metrics_1min"):
         root = scratch(spark, "job")
-        refresh.process(spark, root, batch(spark, texts[:5]), 0, names=refresh.DEFAULT_TABLES)
+        refresh.process(spark, root, batch(spark, texts[:5]), 0, names=["metrics_1min", "metrics_1hour"])
 
         def crash(rows, path, *args, **options):
             publish(rows, path, *args, **options)
@@ -121,9 +121,9 @@ def test_a_crash_between_tables(spark, golden, monkeypatch):
                 raise KeyboardInterrupt
         monkeypatch.setattr(parts, "publish", crash)
         with pytest.raises(KeyboardInterrupt):
-            refresh.process(spark, root, batch(spark, texts[5:]), 1, names=refresh.DEFAULT_TABLES)
+            refresh.process(spark, root, batch(spark, texts[5:]), 1, names=["metrics_1min", "metrics_1hour"])
         monkeypatch.undo()
-        refresh.process(spark, root, batch(spark, texts[5:]), 1, names=refresh.DEFAULT_TABLES)
+        refresh.process(spark, root, batch(spark, texts[5:]), 1, names=["metrics_1min", "metrics_1hour"])
         for name, operator in OPERATORS[:2]:
             assert table(spark, root, name, operator(golden)) == rows(operator(golden)), (name, last)
 
@@ -151,8 +151,8 @@ def test_readers_never_miss_a_date(spark, golden):
     reader = threading.Thread(target=look)
     reader.start()
     try:
-        for number in range(2, len(texts)):
-            refresh.process(spark, root, batch(spark, texts[number:number + 1]), number, names=["metrics_1min"])
+        for number in range(2, len(texts), 2):
+            refresh.process(spark, root, batch(spark, texts[number:number + 2]), number, names=["metrics_1min"])
             refresh.maintain(spark, root, fan=2)
     finally:
         stop.set()
@@ -181,25 +181,25 @@ def test_a_batch_leaves_no_intermediates(spark):
 
 
 def test_two_minutes_read_one_hour(spark):
-    root = scratch(spark, "job")
-    some = [event(f"e{i}", f"{i:02d}:30:00", "search", "u1", "s1") for i in range(24)]
-    refresh.process(spark, root, batch(spark, [text(r) for r in some]), 0, names=[])
-    asked = refresh.raw_events(spark, root, start="2025-01-03 07:30:00", end="2025-01-03 07:32:00")
-    assert len(asked.inputFiles()) == 24 and asked.count() == 1
-    scan = [n for n in plan_nodes(asked) if n.nodeName().startswith("Scan")]
-    assert [n.metrics().apply("numFiles").value() for n in scan] == [1]
-
-
-def plan_nodes(df):
-    df.collect()
-    plan, out = df._jdf.queryExecution().executedPlan(), []
-
-    def walk(node):
-        out.append(node)
-        for i in range(node.children().size()):
-            walk(node.children().apply(i))
-    walk(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
-    return out
+    """Files of a date follow each other in time: a range of two minutes reads the rows of one file only."""
+    path, schema = scratch(spark, "raw"), "timestamp timestamp_ntz, filler string"
+    start = minute("00:00")
+    some = spark.createDataFrame([(start + timedelta(seconds=30 * i), "x" * 10) for i in range(2880)], schema).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts.publish(sinks.with_date(some, "timestamp"), path, (0, 0), (sinks.DATE,), "timestamp", ranges=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = parts.read(spark, path, some.schema, (sinks.DATE,))
+    files = sorted(tuple(r) for r in written.groupBy(F.input_file_name()).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).select("a", "b").collect())
+    assert len(files) == 4 and all(before[1] < after[0] for before, after in zip(files, files[1:]))
+    read = parts.read(spark, path, some.schema, (sinks.DATE,), start=minute("07:30"), end=minute("07:32"))
+    assert len(read.filter((F.col("timestamp") >= minute("07:30")) & (F.col("timestamp") < minute("07:32"))).collect()) == 4
+    read.collect()
+    node = read._jdf.queryExecution().executedPlan()
+    while not node.nodeName().startswith("Scan"):
+        node = node.children().apply(0)
+    assert node.metrics().apply("numOutputRows").value() <= 2880 // 3
 
 
 def test_alert_log(spark, frame):
@@ -220,9 +220,10 @@ def test_alert_log(spark, frame):
     assert rows(log.filter("NOT is_active"), "id") == rows(log.filter(F.col("detected_at") < minute("10:30")), "id") != []
     assert rows(log.filter("NOT is_active").select("resolved_at").distinct()) == [(minute("11:30"),)]
     assert {r[0] for r in known} <= {r[0] for r in rows(log, "id")} and log.count() == log.select("id").distinct().count()
+    before = rows(log)
     refresh.maintain(spark, root, fan=2, grace_seconds=0)
-    assert rows(refresh.read(spark, root, "alert_log")) == rows(log)
-    assert refresh.read(spark, root, "alert_episodes").agg(F.sum("alerts")).first()[0] == log.count()
+    assert rows(refresh.read(spark, root, "alert_log")) == before
+    assert refresh.read(spark, root, "alert_episodes").agg(F.sum("alerts")).first()[0] == len(before)
 
 
 def test_stopped_and_resumed_stream(spark, golden):
@@ -264,3 +265,41 @@ def test_hours_from_minutes(spark, golden):
 def test_buckets(spark, clock, minutes, start):
     got = spark.sql(f"SELECT timestamp_ntz'2025-01-03 {clock}' AS t").select(refresh.bucket_of(F.col("t"), minutes)).first()[0]
     assert got == minute(start) + timedelta(0)
+
+
+def test_carts_funnel_and_lateness(spark, golden):
+    """Removes, adds and views that come late: tables that are only added to equal the operators over all events."""
+    root = scratch(spark, "job")
+    names = ["carts", "session_events", "lateness"]
+    order = [9, 8, 7, 3, 0, 1, 2, 6, 5, 4]
+    for number, some in enumerate([order[:3], order[3:7], order[7:]]):
+        for _ in range(1 + number % 2):
+            refresh.process(spark, root, batch(spark, [text(GOLDEN[i]) for i in some]), number, names=names)
+    for upkeep in (False, True):
+        if upkeep:
+            refresh.maintain(spark, root, fan=2, grace_seconds=0)
+        assert rows(refresh.read(spark, root, "carts"), "session_id", "product_id", "open_quantity") == rows(sessions.cart_state(golden))
+        assert rows(refresh.read(spark, root, "session_funnel")) == rows(sessions.session_funnel(golden))
+        late = rows(refresh.read(spark, root, "lateness"), "time_bucket", "events", "late_events", "most_late_seconds")
+        assert late == want_lateness(order)
+
+
+def want_lateness(order):
+    known, out = None, {}
+    for some in (order[:3], order[3:7], order[7:]):
+        for i in some:
+            time = GOLDEN[i][2]
+            delay = (known - time).total_seconds() if known else 0.0
+            n, late, most = out.get(time.replace(second=0, microsecond=0), (0, 0, 0.0))
+            is_late = delay > refresh.LATE_SECONDS
+            out[time.replace(second=0, microsecond=0)] = (n + 1, late + is_late, max(most, delay if is_late else 0.0))
+        known = max([GOLDEN[i][2] for i in some] + ([known] if known else []))
+    return sorted((m, *v) for m, v in out.items())
+
+
+def test_expired_carts_go(spark):
+    root = scratch(spark, "job")
+    some = [event("e1", "10:00:00", "add_to_cart", "u1", "s1", "p1", 2), event("e2", "11:00:00", "add_to_cart", "u2", "s2", "p2", 1), event("e3", "11:01:00", "remove_from_cart", "u2", "s2", "p2", 1)]
+    refresh.process(spark, root, batch(spark, [text(r) for r in some]), 0, names=["carts"])
+    assert rows(refresh.read(spark, root, "carts"), "session_id", "open_quantity") == [("s1", 2)]
+    assert rows(refresh.read(spark, root, "carts", start="2025-01-03 10:30:00"), "session_id") == []
