@@ -277,11 +277,25 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
         best: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(full), 2048):
             own = full[a:a + 2048]
-            size = hi[own] - lo[own]
+            # Passages overlap: each block of STEP words is summed once and shared by the passages that it is in.
+            limit = starts[doc[own] + 1][:, None]
+            blocks = begin[own][:, None] + STEP * np.arange(SPAN // STEP)
+            inside = blocks < limit
+            block, one, place = np.unique(blocks[inside], return_index=True, return_inverse=True)
+            last = np.minimum(blocks + STEP, limit)[inside][one]
+            block_lo, block_hi = np.searchsorted(at, block), np.searchsorted(at, last)
+            some = block_hi > block_lo
+            size = (block_hi - block_lo)[some]
             ends = np.cumsum(size)
-            term = terms[at[np.repeat(lo[own], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
+            term = terms[at[np.repeat(block_lo[some], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
+            of = np.full(blocks.shape, len(block))
+            of[inside] = place
             for space, latent, owners in spaces:
-                made = np.add.reduceat(space[term], ends - size)
+                sums = np.zeros((len(block) + 1, space.shape[1]), np.float32)
+                sums[:-1][some] = np.add.reduceat(space[term], ends - size)
+                made = sums[of[:, 0]]
+                for k in range(1, SPAN // STEP):
+                    made += sums[of[:, k]]
                 cosines = made @ latent / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
                 for i, j in zip(*np.nonzero(cosines >= NEAR)):
                     window, number = own[i], int(owners[j])
