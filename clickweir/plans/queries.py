@@ -574,53 +574,56 @@ def session_funnel(spark, sf_dir):
 
 # Streams: each runs the operator over the events as a stream until they are used up, and returns the table written.
 
-def _streamed(spark, name: str, df: DataFrame, column: str, start=jobs.start_append) -> DataFrame:
-    root = scratch(spark, name)
-    jobs.wait([start(df, name, root, column)])
+def _streamed(spark, sf_dir, name: str, operator, column: str, start=jobs.start_append) -> DataFrame:
+    """The table of a query over a stream of the events table. The query is started again for each period on one
+    checkpoint, so a batch is a period, whose files are written and read by as many tasks as its rows need."""
+    root, source = scratch(spark, name), scratch(spark, "event_files")
+    for period in shop.event_periods(spark, sf_dir):
+        period.write.mode("append").parquet(source)
+        df = operator(jobs.file_stream(spark, source, period.schema))
+        jobs.wait([start(df, name, root, column)])
     return jobs.stored(spark, root, name, df.schema)
 
 
 @query
 def stream_raw_events(spark, sf_dir):
-    return _streamed(spark, "events_raw", shop.shop_stream(spark, sf_dir, products=True, places=True), "timestamp")
+    return _streamed(spark, sf_dir, "events_raw", lambda raw: shop.shop_stream(spark, sf_dir, raw, products=True, places=True), "timestamp")
 
 
 @query
 def stream_metrics_1min(spark, sf_dir):
-    df = metrics.minute_metrics(shop.shop_stream(spark, sf_dir))
-    return _streamed(spark, "metrics_1min", df, "time_bucket", jobs.start_batches)
+    return _streamed(spark, sf_dir, "metrics_1min", lambda raw: metrics.minute_metrics(shop.shop_stream(spark, sf_dir, raw)), "time_bucket", jobs.start_batches)
 
 
 @query
 def stream_metrics_1hour(spark, sf_dir):
-    return _streamed(spark, "metrics_1hour", metrics.hour_metrics(shop.shop_stream(spark, sf_dir)), "time_bucket")
+    return _streamed(spark, sf_dir, "metrics_1hour", lambda raw: metrics.hour_metrics(shop.shop_stream(spark, sf_dir, raw)), "time_bucket")
 
 
 @query
 def stream_product_metrics(spark, sf_dir):
-    df = products.product_metrics(shop.shop_stream(spark, sf_dir, products=True))
-    return _streamed(spark, "product_metrics", df, "time_bucket")
+    return _streamed(spark, sf_dir, "product_metrics", lambda raw: products.product_metrics(shop.shop_stream(spark, sf_dir, raw, products=True)), "time_bucket")
 
 
 @query
 def stream_geo_metrics(spark, sf_dir):
-    df = geo.geo_metrics(shop.shop_stream(spark, sf_dir, places=True))
-    return _streamed(spark, "geo_metrics", df, "time_bucket")
+    return _streamed(spark, sf_dir, "geo_metrics", lambda raw: geo.geo_metrics(shop.shop_stream(spark, sf_dir, raw, places=True)), "time_bucket")
 
 
 @query
 def stream_sessionize(spark, sf_dir):
-    df = sessions.stream_sessions(shop.shop_stream(spark, sf_dir), gap_minutes=GAP)
-    return _streamed(spark, "sessions", df, "session_start")
+    return _streamed(spark, sf_dir, "sessions", lambda raw: sessions.stream_sessions(shop.shop_stream(spark, sf_dir, raw), gap_minutes=GAP), "session_start")
 
 
 @query
 def stream_dedup(spark, sf_dir):
     """Every event of the first ten products comes twice."""
-    events = shop.as_shop_events(shop.event_files(spark, sf_dir)).select("event_id", "event_type", "timestamp", "user_id", "product_id")
-    again = events.filter(F.col("product_id").cast("int") < 10)
-    both = jobs.watermarked(events.unionByName(again))
-    return _streamed(spark, "dedup", messages.deduplicate_stream(both), "timestamp")
+    def twice(raw: DataFrame) -> DataFrame:
+        events = shop.as_shop_events(raw).select("event_id", "event_type", "timestamp", "user_id", "product_id")
+        again = events.filter(F.col("product_id").cast("int") < 10)
+        return messages.deduplicate_stream(jobs.watermarked(events.unionByName(again)))
+
+    return _streamed(spark, sf_dir, "dedup", twice, "timestamp")
 
 
 @query

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.times import between, bucket_start
 from ..schemas import ADD, EVENT_COLUMNS, MONEY, PURCHASE, REMOVE, SEARCH, VIEW
-from ..session import scratch
-from ..streaming.jobs import file_stream, watermarked
+from ..streaming.jobs import watermarked
 
 # Event types of the table -> event types of the shop.
 TYPES = {"view": VIEW, "click": ADD, "error": REMOVE, "purchase": PURCHASE, "signup": SEARCH}
@@ -86,28 +85,20 @@ def attributed(spark: SparkSession, events: DataFrame, sf_dir: str, products: bo
     return events.select(*[name for name in EVENT_COLUMNS if name in events.columns])
 
 
-def in_time_order(spark: SparkSession, df: DataFrame, column: str, path: str, edges: Sequence[str]) -> None:
-    """Write rows as files of one folder, a file for each time between the edges, the older first."""
-    bounds = [None, *edges, None]
-    for start, end in zip(bounds[:-1], bounds[1:]):
-        between(df, column, start, end).coalesce(1).write.mode("append").parquet(path)
-
-
-# Edges of the files that streams read, so that state is carried over several batches.
+# Edges of the periods that streams read one after the other, so that state is carried over several batches.
 EDGES = ["2024-01-11", "2024-01-21"]
 
 
-def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of one file per batch, in time order."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    path = scratch(spark, "event_files")
-    in_time_order(spark, events, "ts", path, EDGES)
-    return file_stream(spark, path, events.schema, max_files=1)
+def event_periods(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The events table in periods, the older first."""
+    events, bounds = spark.read.parquet(f"{sf_dir}/events.parquet"), [None, *EDGES, None]
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        yield between(events, "ts", start, end)
 
 
-def shop_stream(spark: SparkSession, sf_dir: str, products: bool = False, places: bool = False) -> DataFrame:
-    """The same as a stream."""
-    return attributed(spark, watermarked(as_shop_events(event_files(spark, sf_dir))), sf_dir, products, places)
+def shop_stream(spark: SparkSession, sf_dir: str, raw: DataFrame, products: bool = False, places: bool = False) -> DataFrame:
+    """Shop events of a stream of the events table."""
+    return attributed(spark, watermarked(as_shop_events(raw)), sf_dir, products, places)
 
 
 def message_periods(spark: SparkSession, sf_dir: str, late: str | None) -> Iterator[DataFrame]:
