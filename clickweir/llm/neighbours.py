@@ -7,7 +7,8 @@ greedily from the medoid, then through all neighbours of whatever lies in range.
 cosine, and recall is audited against a scan.
 
 A shard of more than BLOCK vectors is split by a hash into blocks with a graph each, and its blocks are searched pair by
-pair, so no task holds more than two blocks and none of their pairs is missed for the split.
+pair, so no task holds more than two blocks and none of their pairs is missed for the split. Vectors of different lengths
+have no cosine: each length has shards of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ SIMILAR = 0.95
 SHARD = 800  # vectors per center
 CENTERS = 4096  # at most; they go to every task
 SAMPLE = 20_000  # vectors that the centers are fitted on, the first by a hash
-OVERLAP = 3  # shards of a vector
+OVERLAP = 3  # shards of a vector, doubled while the audited recall is too low
+OVERLAPS = 3  # searches at most; a recall that is still too low raises
+RECALL = 0.9  # the least that the audit accepts
 BLOCK = 2048
 NEAREST, RANDOM, DEGREE, ALPHA = 40, 12, 20, 1.2
 BEAM = 24
@@ -59,10 +62,33 @@ def _matrix(units: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
 
 
-def fit_centers(nodes: DataFrame, count: int) -> np.ndarray:
-    """Spherical k-means on the SAMPLE vectors with the lowest hashes; one center for each SHARD vectors, at most CENTERS."""
-    sample = _matrix([r["unit"] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").collect()])
-    k = min(CENTERS, max(1, count // SHARD), len(sample))
+def _by_length(units: list[bytes]) -> dict[int, list[int]]:
+    """Places of the units of each length in bytes."""
+    out: dict[int, list[int]] = {}
+    for i, unit in enumerate(units):
+        out.setdefault(len(unit), []).append(i)
+    return out
+
+
+def fit_centers(nodes: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Centers for the lengths in bytes of the vectors, by spherical k-means on the SAMPLE vectors with the lowest hashes.
+
+    A length has a center for each SHARD vectors, as many as its share of the sample tells, at most CENTERS in all. Lengths
+    for which that is one center or none have no entry: they are one shard.
+    """
+    drawn: dict[int, list[bytes]] = {}
+    for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").collect():
+        drawn.setdefault(len(r["unit"]), []).append(r["unit"])
+    total = sum(map(len, drawn.values()))
+    out = {}
+    for size, units in drawn.items():
+        k = min(CENTERS * len(units) // total, count * len(units) // total // SHARD, len(units))
+        if k > 1:
+            out[size] = _spherical_means(_matrix(units), k)
+    return out
+
+
+def _spherical_means(sample: np.ndarray, k: int) -> np.ndarray:
     centers = sample[:: max(1, len(sample) // k)][:k].copy()
     for _ in range(8):
         own = np.concatenate([(sample[a:a + 2000] @ centers.T).argmax(1) for a in range(0, len(sample), 2000)])
@@ -73,18 +99,26 @@ def fit_centers(nodes: DataFrame, count: int) -> np.ndarray:
     return centers
 
 
-def assigned(nodes: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(node, unit, n, shard, shards): a row for each shard of a vector, with all its shards."""
+def assigned(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int = OVERLAP) -> DataFrame:
+    """(node, unit, n, size, shard, shards): a row for each of the `overlap` shards of a vector, with all its shards. A
+    shard is told by the vectors' length in bytes, `size`, and its number."""
     shared = nodes.sparkSession.sparkContext.broadcast(centers)  # at most CENTERS rows
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
-                near = np.argsort(-(_matrix(some.column(1).to_pylist()) @ shared.value.T), axis=1, kind="stable")[:, :OVERLAP].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(list(near), pa.list_(pa.int32()))], ["node", "unit", "n", "shards"])
+                units = some.column(1).to_pylist()
+                near: list[np.ndarray] = [np.zeros(1, np.int32)] * len(units)
+                for size, rows in _by_length(units).items():
+                    if size in shared.value:
+                        scores = _matrix([units[i] for i in rows]) @ shared.value[size].T
+                        for i, own in zip(rows, np.argsort(-scores, axis=1, kind="stable")[:, :overlap].astype(np.int32)):
+                            near[i] = own
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(near, pa.list_(pa.int32()))], ["node", "unit", "n", "shards"])
 
-    return nodes.select("node", "unit", "n").mapInArrow(routed, "node long, unit binary, n long, shards array<int>").withColumn("shard", F.explode("shards"))
+    return (nodes.select("node", "unit", "n").mapInArrow(routed, "node long, unit binary, n long, shards array<int>")
+            .withColumn("size", F.length("unit")).withColumn("shard", F.explode("shards")))
 
 
 def _pruned(vectors: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -212,7 +246,8 @@ def _side(rows: list[dict]) -> dict:
         at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
         lists.append(at[nodes[at] == own])
     vectors = _matrix([r["unit"] for r in rows])
-    shards = np.array([sorted(r["shards"]) + [-1] * (OVERLAP - len(r["shards"])) for r in rows], np.int64)
+    width = max(len(r["shards"]) for r in rows)
+    shards = np.array([sorted(r["shards"]) + [-1] * (width - len(r["shards"])) for r in rows], np.int64)
     return {"nodes": nodes, "vectors": vectors, "graph": Graph(vectors, lists), "shards": shards, "n": np.array([r["n"] for r in rows], np.int64)}
 
 
@@ -263,7 +298,7 @@ def _search(table: pa.Table) -> pa.Table:
     exact = np.concatenate([np.einsum("pd,pd->p", a["vectors"][i[x:x + 8192]], b["vectors"][j[x:x + 8192]]) >= SIMILAR for x in range(0, len(i), 8192)] or [np.zeros(0, bool)])
     i, j = i[exact], j[exact]
     common = np.full(len(i), np.iinfo(np.int64).max)
-    for column in range(OVERLAP):
+    for column in range(a["shards"].shape[1]):
         own = a["shards"][i, column]
         shared = (own >= 0) & (b["shards"][j] == own[:, None]).any(1)
         common = np.where(shared, np.minimum(common, own), common)
@@ -278,20 +313,20 @@ def _search(table: pa.Table) -> pa.Table:
                      "links": pa.array([*links[some].astype(np.int64).tolist(), *[None] * len(u)], pa.int64())})
 
 
-def linked(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+def linked(spark: SparkSession, nodes: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Rows (node, links) of counts to be summed, and rows (node, other) of links, for the distinct vectors `nodes`
-    (node, unit, n)."""
+    (node, unit, n), each searched for in `overlap` shards."""
     count = nodes.count()
     if not count:
         return spark.createDataFrame([], "node long, other long, links long")
-    members = assigned(nodes, fit_centers(nodes, count))
-    sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = stored(spark, members.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
-    lists = members.groupBy("shard", "block").applyInArrow(_build, "node long, lists array<bigint>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))  # OVERLAP lists each
+    members = assigned(nodes, fit_centers(nodes, count), overlap)
+    sizes = members.groupBy("size", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = stored(spark, members.join(sizes, ["size", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "members")
+    lists = members.groupBy("size", "shard", "block").applyInArrow(_build, "node long, lists array<bigint>")
+    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("lists"))  # `overlap` lists each
     pairs = (members.join(united, "node").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("one", F.least("block", "_with")).withColumn("two", F.greatest("block", "_with")))
-    return pairs.select("shard", "one", "two", "block", "node", "unit", "n", "shards", "lists").groupBy("shard", "one", "two").applyInArrow(_search, "node long, other long, links long")
+    return pairs.select("size", "shard", "one", "two", "block", "node", "unit", "n", "shards", "lists").groupBy("size", "shard", "one", "two").applyInArrow(_search, "node long, other long, links long")
 
 
 def audited_recall(nodes: DataFrame, links: DataFrame) -> float | None:
@@ -300,14 +335,19 @@ def audited_recall(nodes: DataFrame, links: DataFrame) -> float | None:
     asked = nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(AUDIT).collect()
     if not asked:
         return None
-    names, queries = [r["node"] for r in asked], nodes.sparkSession.sparkContext.broadcast(_matrix([r["unit"] for r in asked]))
+    names, units = [r["node"] for r in asked], [r["unit"] for r in asked]
+    queries = nodes.sparkSession.sparkContext.broadcast({size: (at, _matrix([units[i] for i in at])) for size, at in _by_length(units).items()})
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(names), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                total += (queries.value @ _matrix(some.column(0).to_pylist()).T >= SIMILAR) @ np.asarray(some.column(1))
+                units, n = some.column(0).to_pylist(), np.asarray(some.column(1))
+                for size, rows in _by_length(units).items():
+                    if size in queries.value:
+                        at, asked = queries.value[size]
+                        total[at] += (asked @ _matrix([units[i] for i in rows]).T >= SIMILAR) @ n[rows]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(total)], ["node", "links"])
 
     true = nodes.select("unit", "n").mapInArrow(scanned, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
@@ -319,17 +359,23 @@ def audited_recall(nodes: DataFrame, links: DataFrame) -> float | None:
 def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audited_recall) for every row of `vectors` (vec_id, embedding).
 
-    Linked: cosine of SIMILAR or more in double precision, whatever the length of the vectors; vectors that are null or
-    zero or hold null or non-finite components, or whose length is not the commonest, link with nothing. n_links counts
-    the other rows linked directly, equal rows among them; component_id is the smallest vec_id that links reach (its own
-    included; null ids only if there is no other), kept tells whether it is the row's own.
+    Linked: cosine of SIMILAR or more in double precision, whatever the norm of the vectors; vectors of different numbers
+    of components have no cosine and do not link, and those that are null, empty or zero or hold null or non-finite
+    components link with nothing. n_links counts the other rows linked directly, equal rows among them; component_id is
+    the smallest vec_id that links reach (its own included; null ids only if there is no other), kept tells whether it is
+    the row's own. A search whose audited recall is below RECALL is done again with twice the overlap, OVERLAPS searches at
+    most; if the last one's is too low as well, the call raises.
     """
     rows = stored(spark, unit_vectors(vectors), "vectors")
-    common = rows.where("node IS NOT NULL").groupBy(F.length("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.withColumn("node", F.when(F.length("unit") == (common["size"] if common else 0), F.col("node")))
     nodes = stored(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("first_id")), "nodes")
-    found = stored(spark, linked(spark, nodes), "links")
-    counts = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    for overlap in (OVERLAP << k for k in range(OVERLAPS)):
+        found = stored(spark, linked(spark, nodes, overlap), "links")
+        counts = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+        recall = audited_recall(nodes, counts)
+        if recall is None or recall >= RECALL:
+            break
+    else:
+        raise RuntimeError(f"recall {recall:.3f} of the links of {AUDIT} vectors, searched for in {overlap} shards, is below {RECALL}")
     joined = components(spark, found.where("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     grouped = (nodes.select("node", "n", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(counts, "node", "left"))
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -338,4 +384,4 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame) -> DataFrame:
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-            .withColumn("audited_recall", F.lit(audited_recall(nodes, counts)).cast("double")))
+            .withColumn("audited_recall", F.lit(recall).cast("double")))

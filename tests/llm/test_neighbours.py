@@ -7,11 +7,11 @@ from clickweir.llm import neighbours
 def brute(rows):
     ids, vectors = [], []
     for key, values in rows:
-        if values and None not in values and np.isfinite(values).all() and np.any(values) and len(values) == 16:
+        if values and None not in values and np.isfinite(values).all() and np.any(values):
             v = np.array(values, np.float64)
             ids.append(key)
             vectors.append(v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()))
-    near = np.array(vectors) @ np.array(vectors).T >= 0.95
+    near = np.array([[len(v) == len(w) and v @ w >= 0.95 for w in vectors] for v in vectors])
     label = np.arange(len(ids))
     while True:
         new = np.array([label[row].min() for row in near])
@@ -59,3 +59,26 @@ def test_equal_vectors(spark):
 def test_no_vectors(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.near_duplicates(spark, frame).count() == 0
+
+
+def test_lengths_link_among_themselves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 60)
+    pick = np.random.default_rng(5)
+    rows = [(i, pick.normal(size=8).tolist()) for i in range(300)] + [(500 + i, pick.normal(size=6).tolist()) for i in range(200)]
+    rows += [(1000 + i, (np.array(rows[i * 4][1]) * 3).tolist()) for i in range(100)]
+    rows += [(2000 + i, [1.0] * (i // 2 + 1)) for i in range(24)]  # a pair of each length; those of 8 and 6 stand alone
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = brute(rows)
+    assert sum(n for n, _, _ in want.values()) >= 200 and {k: (r["n_links"], r["component_id"], r["kept"]) for k, r in got.items()} == want
+
+
+def test_a_low_recall_searches_again_and_then_raises(spark, monkeypatch):
+    frame = spark.createDataFrame(sample(100, 3), "vec_id long, embedding array<double>")
+    overlaps, linked = [], neighbours.linked
+    monkeypatch.setattr(neighbours, "linked", lambda spark, nodes, overlap: (overlaps.append(overlap), linked(spark, nodes, overlap))[1])
+    monkeypatch.setattr(neighbours, "audited_recall", lambda nodes, links: 0.8 if len(overlaps) < 2 else 0.95)
+    assert neighbours.near_duplicates(spark, frame).first()["audited_recall"] == 0.95 and overlaps == [3, 6]
+    monkeypatch.setattr(neighbours, "audited_recall", lambda nodes, links: 0.8)
+    with pytest.raises(RuntimeError, match="0.800"):
+        neighbours.near_duplicates(spark, frame)
+    assert overlaps == [3, 6, 3, 6, 12]
