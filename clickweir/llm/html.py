@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one per block of the page. The length of each line's text counts as nothing where markup
 says that it is not the article: menus, forms, adverts, comments, links. Lengths are summed over a sliding window of lines;
-where the sum surges the text begins, where it dives to nothing the text ends, and what lies between is kept. Lines of
-article and main elements weigh more, so that short ones count too.
+where the sum surges the text begins, where it dives to nothing the text ends, and what lies between is kept. An article or
+main element is also one window as a whole, whose surge needs half the length.
 """
 
 from __future__ import annotations
@@ -17,39 +17,81 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3  # lines per sum
-SURGE = 80  # characters in a window that begin a text; also what a line of an article element weighs on top
+SURGE = 80  # characters in a window that begin a text
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?a-zA-Z][^>]*(?:>|\Z)", re.S)
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for name in ("script", "style", "textarea", "iframe")}  # text up to the end tag
+EMPTIED = frozenset("noscript template svg object select button".split())  # dropped up to the end tag, if there is one
+NESTING = frozenset("template svg object".split())
+PAIRED = re.compile(r"<(/?)(" + "|".join(sorted(EMPTIED)) + r")(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("head nav footer aside header form menu dialog".split())
 MAIN = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A class or id is noise if its parts are these words (the first kind never names what holds an article, the second may
+# by its layout) ...
+NEVER = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|popup|modal|overlay|comments?|commentlist|disqus|respond|repl(?:y|ies)", re.I)
 NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|"
-    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|"
-    r"widget|toolbar|pagination|pager)(?:$|[-_\s])", re.I)
+    NEVER.pattern + r"|banners?|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footer|header|masthead|notices?|newsletter|subscribe|signup|login|share|sharing|"
+    r"social|related|recommend\w*|widgets?|toolbar|pagination|pager", re.I)
+# ... and words of place and shape, which tell nothing by themselves.
+PLACE = re.compile(
+    r"\d+(?:x\d+)?|top|bottom|left|right|main|primary|secondary|site|page|global|mobile|desktop|sticky|fixed|inner|outer|box|bar|block|wrap|wrapper|container|area|section|panel|"
+    r"group|row|col|column|list|lists|item|items|link|links|button|buttons|icon|icons|slot|unit|text|title|body|form|message|posts?|articles?|entry|blog|user|reader|stories", re.I)
+OWN_HEADER = re.compile(r"(?:posts?|articles?|entry|blog)[-_]header", re.I)
 
 
-def _noisy(name: str, attributes: str) -> bool:
+def _named_noise(names: str, noise: re.Pattern) -> bool:
+    for name in names.split():
+        parts = [part for part in re.split(r"[-_]+", name) if part]
+        if any(map(noise.fullmatch, parts)) and all(noise.fullmatch(part) or PLACE.fullmatch(part) for part in parts) and not OWN_HEADER.fullmatch(name):
+            return True
+    return False
+
+
+def _noisy(name: str, attributes: str, noise: re.Pattern) -> bool:
+    """Whether an element's attributes say that it is not the article; of classes and ids those made of `noise`."""
     given: dict[str, str] = {}
     for key, *values in ATTRIBUTE.findall(attributes):  # one after the other, so that a value is never taken for a name
         given.setdefault(key.lower(), next((v for v in values if v), ""))  # of a repeated name the first counts
     return name not in ("html", "body") and bool(
-        NOISE.search(given.get("class", "")) or NOISE.search(given.get("id", "")) or given.get("role", "").strip().lower() in ROLES or "hidden" in given
+        _named_noise(given.get("class", ""), noise) or _named_noise(given.get("id", ""), noise) or given.get("role", "").strip().lower() in ROLES or "hidden" in given
         or given.get("aria-hidden", "").strip().lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
+def _ends(page: str) -> dict[int, int]:
+    """Where the elements of EMPTIED end, by where they begin: those that have an end tag. One that cannot hold its like
+    ends nowhere if another begins first."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for tag in PAIRED.finditer(page):
+        name, open_ = tag[2].lower(), begun.setdefault(tag[2].lower(), [])
+        if tag[1]:
+            if open_:
+                ends[open_.pop()] = tag.end()
+        elif tag[3][-1:] != "/":
+            if name not in NESTING:
+                open_.clear()
+            open_.append(tag.start())
+    return ends
+
+
+def lines_of(page: str, noise: re.Pattern = NOISE) -> list[tuple[str, int, int]]:
     """Blocks in page order: text, characters outside links, number of the outermost article or main element around it
-    or 0. Blocks of elements that are not the article are left out. A truncated or unclosed element ends where the article or body begins, or at the end."""
+    or 0. Blocks of elements that are not the article are left out; of classes and ids those made of `noise` tell them.
+
+    A truncated or unclosed element ends where the article or body begins, or at the end; an unclosed button, select or
+    the like (EMPTIED) ends at the next tag that is not inline. Self-closed elements are empty, also where only XML has
+    such; of scripts and other RAW ones only if the slash cannot be part of a value. A name that merely begins like
+    another, as custom elements have, is a name of its own.
+    """
     lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = inside = elements = links = depth = at = 0
-    skipped = ""
+    skipped, dropping = "", False
+    ends = _ends(page)
 
     def close() -> None:
         nonlocal parts, linked
@@ -67,18 +109,27 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if links:
             linked += len(text)
 
-    for token in TOKEN.finditer(page):
-        if token.start() > at and not skipped:
+    while token := TOKEN.search(page, at):
+        if token.start() > at and not skipped and not dropping:
             add(page[at:token.start()])
         at = token.end()
-        name = token[3]
+        name = token[2]
         if name is None:
             continue
-        name, closing = name.lower(), bool(token[2])
+        name, closing = name.lower(), bool(token[1])
+        dropping = dropping and name in INLINE
+        if name in RAW or name in EMPTIED:
+            if not closing and not (token[3][-1:] == "/" and (name in EMPTIED or token[3][-2:-1] in ("", " ", "\t", "\n", "\r", "\f", "'", '"'))):
+                if name in RAW:
+                    at = RAW[name].search(page, at).end()
+                else:
+                    at = ends.get(token.start(), at)
+                    dropping = token.start() not in ends
+            continue
         if skipped:
-            if name == skipped and token[4][-1:] != "/":
+            if name == skipped and token[3][-1:] != "/":
                 depth += -1 if closing else 1
-            if depth and not (not closing and (name in MAIN and skipped not in MAIN and not _noisy(name, token[4]) or name == "body")
+            if depth and not (not closing and (name in MAIN and skipped not in MAIN and not _noisy(name, token[3], noise) or name == "body")
                               or closing and name == "body"):
                 continue
             reopened, skipped = depth > 0, ""
@@ -87,20 +138,20 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
-            if closing or name in VOID or name in ("a", "b", "i", "em", "strong") or not _noisy(name, token[4]):
+            if closing or name in VOID or name in ("a", "b", "i", "em", "strong") or not _noisy(name, token[3], noise):
                 continue
         close()
         if closing:
             inside -= name in MAIN and inside > 0
             if name in ("article", "main", "p", "div", "li", "td"):
                 links = 0
-        elif name not in VOID and token[4][-1:] != "/":
-            if (name in ASIDE and not (name == "header" and inside)) or token[4] and _noisy(name, token[4]):
+        elif name not in VOID and token[3][-1:] != "/":
+            if (name in ASIDE and not (name == "header" and inside)) or token[3] and _noisy(name, token[3], noise):
                 skipped, depth = name, 1
             else:
                 elements += name in MAIN and not inside
                 inside += name in MAIN
-    if at < len(page) and not skipped:
+    if at < len(page) and not skipped and not dropping:
         add(page[at:])
     close()
     return lines
@@ -114,29 +165,41 @@ def _sums(weights: np.ndarray, owners: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _between(weights: np.ndarray, owners: np.ndarray, least: int) -> np.ndarray:
-    """Which lines lie between a surge and the dive after it. A text ends where an article element begins or ends."""
+def _between(weights: np.ndarray, owners: np.ndarray, least: int, whole: np.ndarray) -> np.ndarray:
+    """Which lines lie between a surge and the dive after it. A text ends where an article element begins or ends; lines
+    of `whole`, elements that surge as one window, are all between."""
     kept, running, before = [], False, None
-    for weight, total, owner in zip(weights.tolist(), _sums(weights, owners).tolist(), owners.tolist()):
-        running = total > 0 and (running and owner == before or total >= least)
+    for weight, total, owner, own in zip(weights.tolist(), _sums(weights, owners).tolist(), owners.tolist(), whole.tolist()):
+        running = own or total > 0 and (running and owner == before or total >= least)
         before = owner
-        kept.append(running and weight > 0)
+        kept.append(own or running and weight > 0)
     return np.array(kept, bool)
 
 
-def main_text(page: str) -> str:
-    lines = lines_of(page)
-    if not lines:
-        return ""
+def _kept(lines: list[tuple[str, int, int]], floor: int = 0) -> np.ndarray:
     lengths, owners = (np.array([line[k] for line in lines], np.int64) for k in (1, 2))
-    least = min(SURGE, int(lengths.sum()) // 2)  # a page shorter than a surge is judged by its own length
-    own = owners > 0
-    text = _between(lengths, owners, least)
-    # Article elements raise their lines, however short. Where more text surges outside of them they may be teasers: only
-    # those that surge by their own lengths do.
-    raised = own if lengths[own].sum() >= lengths[text & ~own].sum() else own & np.isin(owners, owners[text & own])
-    kept = _between(lengths + SURGE * raised, owners, least)
-    return "\n".join(line[0] for line, keep in zip(lines, kept.tolist()) if keep)
+    least = max(floor, min(SURGE, int(lengths.sum()) // 2))  # a page shorter than a surge is judged by its own length
+    own, none = owners > 0, np.zeros(len(lines), bool)
+    text = _between(lengths, owners, least, none)
+    # An article element is a window of all its lines, and half a surge will do. Where more text surges outside of such
+    # elements they may be teasers: then only those count that surge by three lines of their own.
+    in_all = np.bincount(owners, weights=lengths)[owners]
+    whole = own & (2 * in_all >= least) & (in_all > 0)
+    if lengths[own].sum() < lengths[text & ~own].sum():
+        whole &= np.isin(owners, owners[text & own])
+    return _between(lengths, owners, least, whole)
+
+
+def main_text(page: str) -> str:
+    """The article of a page. If nothing is left, what surges in full in elements named by their layout only (a sidebar, a
+    header: NOISE but not NEVER) is the text; if nothing does, there is none."""
+    for noise, floor in ((NOISE, 0), (NEVER, SURGE)):
+        lines = lines_of(page, noise)
+        if lines:
+            kept = _kept(lines, floor)
+            if kept.any():
+                return "\n".join(line[0] for line, keep in zip(lines, kept.tolist()) if keep)
+    return ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

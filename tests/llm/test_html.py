@@ -1,3 +1,7 @@
+import html as entities
+import random
+from html.parser import HTMLParser
+
 import pytest
 
 from clickweir.llm import html
@@ -68,6 +72,95 @@ def test_broken_markup():
     assert main_text("<" * 30_000) is not None
 
 
+LONG = "A sentence that is long enough to count as running text on its own, with more words."
+
+
+@pytest.mark.parametrize("tag", ['article class="post has-sidebar"', 'div class="content has-sidebar"', 'article class="post comments-open"', 'main class="no-comments"',
+                                 'section id="market-share"', 'section id="social-policy"', 'div class="entry-header"', 'div id="main" class="sidebar"', "div class=header"])
+def test_names_that_only_hold_such_a_word_drop_nothing(tag):
+    name = tag.split()[0]
+    assert main_text(f"<body><nav>Menu</nav><{tag}><h1>Head</h1><p>{LONG}</p><p>End.</p></{name}></body>") == f"Head\n{LONG}\nEnd."
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "site-header", "main-nav", "ad-slot", "ad_300x250", "comment-list", "left-sidebar", "related-posts", "share-buttons", "newsletter-signup", "post-comments"])
+def test_names_made_of_such_words_drop_an_element(name):
+    assert main_text(f"<article><p>{LONG}</p><div class='x {name}'><p>{LONG} Gone.</p></div><p>End.</p></article>") == f"{LONG}\nEnd."
+    assert main_text(f"<body><p>{LONG}</p><div id={name}><p>{LONG} Gone.</p></div></body>") == LONG
+
+
+def test_pages_without_an_article():
+    assert main_text(f"<nav><a href=x>Home</a></nav><div class=ad>{LONG}</div><div id=comments><p>{LONG}</p><p>{LONG}</p></div><footer>{LONG}</footer>") == ""
+    assert main_text("<div class=sidebar>Short.</div>") == ""
+
+
+@pytest.mark.parametrize("tag", ["<svg class=icon/>", "<svg/>", "<svg class='icon' />", "<svg><svg><path d=x /></svg></svg>", "<svg><title>Gone</title></svg>", "<button-bar></button-bar>",
+                                 "<button-bar/>", "<button>Share", "<button type=submit><b>Share</b>", "<button>Share</button>", "<button>Share<button>Mail</button>", "<select><option>One</select>",
+                                 "<noscript><p>Gone</p></noscript>", "<template><p>Gone</p></template>", "<object data=x />", "<iframe src='x' />", "<iframe src=x>Gone</iframe>",
+                                 "<script src='x' />", "<script src=https://x.org/>gone('<p>')</script>", "<scripted-part></scripted-part>", "<textarea><p>Gone</textarea>", "<script-x>"])
+def test_elements_that_end_where_they_end(tag):
+    assert main_text(f"<body><article><p>{LONG}</p>{tag}<p>Second.</p></article><p>Tail</p></body>") == f"{LONG}\nSecond."
+    assert main_text(f"<body><p>{LONG}</p>{tag}<p>{LONG} Second.</p></body>") == f"{LONG}\n{LONG} Second."
+
+
+class Marked(HTMLParser):
+    """Texts of the elements that a generated page marks as its article's blocks."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.texts, self.open = [], 0
+        self.feed(page)
+
+    def handle_starttag(self, tag, attributes):
+        if "data-truth" in dict(attributes):
+            self.texts.append("")
+            self.open = 1
+        elif self.open:
+            self.open += 1
+
+    def handle_endtag(self, tag):
+        self.open = max(0, self.open - 1)
+
+    def handle_data(self, data):
+        if self.open:
+            self.texts[-1] += data
+
+
+def generated(pick, element):
+    def words(least, most):
+        return entities.escape(" ".join("".join(pick.choices("abcdeéß&<", k=pick.randint(1, 9))) for _ in range(pick.randint(least, most))))
+
+    def block():
+        one = words(20, 60)
+        return pick.choice([f"<p data-truth>{one}</p>", f"<p data-truth><b>{one}</b> {words(1, 5)}</p>", f"<blockquote data-truth>{one}</blockquote>", f"<p data-truth>{one} <em>x</em></p>"])
+
+    def between():
+        return pick.choice(["", "", "<svg class=icon/>", "<!-- <p>x</p> -->", "<div class=ad><p>Buy it</p></div>", "<script>var x='<p>no</p>'</script>", "<part-bar></part-bar>",
+                            "<form><input>Mail us</form>", "<button>Share</button>", "<div class='share-buttons'><a href=x>Share</a></div>", "<img src=x>"])
+
+    def around():
+        return pick.choice([f"<nav><ul>{''.join(f'<li><a href=x>{words(1, 3)}</a></li>' for _ in range(pick.randint(1, 9)))}</ul></nav>", f"<div class='site-header'><p>{words(5, 60)}</p></div>",
+                            f"<div id=cookie-notice>{words(10, 50)}</div>", f"<aside><p>{words(20, 60)}</p></aside>", f"<div class='left-sidebar'><p>{words(20, 60)}</p></div>",
+                            f"<section class=comments>{''.join(f'<div><p>{words(20, 60)}</p></div>' for _ in range(pick.randint(1, 9)))}</section>", f"<footer>{words(5, 60)}</footer>"])
+
+    opening = pick.choice(["article", "main", "article class='post has-sidebar'", "main class=no-comments"] if element else ["div", "section id=market-share", "div class='content has-sidebar'"])
+    blocks = "".join(block() + between() for _ in range(pick.randint(1, 12)))
+    head, end = (f"<h1 data-truth>{words(2, 8)}</h1>", f"<p data-truth>{words(1, 4)}</p>") if element else ("", "")
+    outside = [[around() for _ in range(pick.randint(0, 4))] for _ in range(2)]
+    return f"<html><head><title>{words(2, 5)}</title></head><body>{''.join(outside[0])}<{opening}>{head}{blocks}{end}</{opening.split()[0]}>{''.join(outside[1])}</body></html>"
+
+
+@pytest.mark.parametrize("element", [True, False])
+def test_against_the_marked_blocks_of_generated_pages(element):
+    pick = random.Random(element)
+    for _ in range(1000):
+        page = generated(pick, element)
+        assert main_text(page) == "\n".join(" ".join(text.split()) for text in Marked(page).texts), page
+
+
+def test_many_unclosed_elements():
+    assert main_text("<article>" + f"<p>w<svg><button>x" * 30_000) == "\n".join("w" * 30_000)
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE), (2, None, None), (3, "u", ""), (None, "u", "<nav>x</nav>"), (1, "u", ARTICLE)],
                                   "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
