@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickweir.llm.packs import give_back, slices, text_column, texts_of
+from clickweir.llm.rows import free_names
 
 DICTIONARY_BYTES = 64 << 10  # of training text per language
 SAMPLE_DOCS = 200  # training documents per language at most, chosen by the MD5 of doc_id
@@ -113,12 +114,14 @@ def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes
     `und`, score 0 and not accepted: null texts and those without a letter. A text whose margin is below `margin` keeps
     its best guess but is not accepted. Without any dictionary all are `und`.
     """
-    return (docs.withColumn("_guess", guess(spark, dictionaries, F.col("text"))).withColumn("lang_pred", F.col("_guess.lang_pred"))
-            .withColumn("score", F.col("_guess.score"))
-            .withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("_guess.margin") >= margin)).drop("_guess"))
+    name, = free_names(docs, "_guess")
+    return (docs.withColumn(name, guess(spark, dictionaries, F.col("text"))).withColumn("lang_pred", F.col(f"{name}.lang_pred"))
+            .withColumn("score", F.col(f"{name}.score"))
+            .withColumn("accepted", (F.col("lang_pred") != "und") & (F.col(f"{name}.margin") >= margin)).drop(name))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The rows of `docs` that identify() accepts."""
-    found = docs.withColumn("_guess", guess(spark, dictionaries, F.col("text")))
-    return found.where((F.col("_guess.lang_pred") != "und") & (F.col("_guess.margin") >= margin)).drop("_guess")
+    name, = free_names(docs, "_guess")
+    found = docs.withColumn(name, guess(spark, dictionaries, F.col("text")))
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.margin") >= margin)).drop(name)

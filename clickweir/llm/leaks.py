@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickweir.llm.packs import give_back, slices, text_column
+from clickweir.llm.rows import free_names
 
 STEP, SPAN, PIECE = 16, 48, 32  # words; PIECE <= SPAN - STEP, so that some passage holds a piece whole
 TOGETHER = 4 << 20  # bytes of text worked on at once
@@ -325,4 +326,5 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no item of the benchmark."""
-    return with_leaks(spark, docs, benchmark, "_leaks").where(F.size("_leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    name, = free_names(docs, "_leaks")
+    return with_leaks(spark, docs, benchmark, name).where(F.size(name) == 0).select(*[f"`{c}`" for c in docs.columns])

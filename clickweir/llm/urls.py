@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickweir.llm.rows import free_names
 from clickweir.session import scratch
 
 KEY_BITS = 10  # bits of filter per key
@@ -145,5 +146,6 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
             yield pd.DataFrame(rows, columns=["rule", "verdict"], dtype=object)
 
     fits = F.pandas_udf(verdicts, "rule string, verdict string")
-    return (hosted.withColumn("_fit", fits("host", "path")).withColumn("rule", F.col("_fit.rule"))
-            .withColumn("verdict", F.col("_fit.verdict")).drop("_fit"))
+    name, = free_names(hosted, "_fit")
+    return (hosted.withColumn(name, fits("host", "path")).withColumn("rule", F.col(f"{name}.rule"))
+            .withColumn("verdict", F.col(f"{name}.verdict")).drop(name))

@@ -111,6 +111,16 @@ def test_awkward_rows(spark, docs):
     assert plain_rows(corpus_pipeline.STAGES[3][1](spark, docs(rows), SF)) == plain_mix(docs(rows))
 
 
+def test_names_with_underscores_come_back_unchanged(spark, docs):
+    frame = docs([(i, f"plain words number {i} of an ordinary text in a language like others", "en", "ab"[i % 2]) for i in range(40)] * 2)
+    names = [c for c in frame.columns if c.startswith("_")]
+    given = frame.select(*names).first()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, SF)
+        rows = got.select(*names).distinct().collect()
+        assert got.columns == frame.columns and rows == [given], name
+
+
 def test_run(spark, smallest):
     got = corpus_pipeline.run(spark, SF)
     assert 0 < got.count() < 3 * smallest.count() and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

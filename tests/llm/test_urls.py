@@ -17,9 +17,10 @@ def test_judged_like_rules(spark):
     given = [None, "", "nothing", "http://", "https://EXAMPLE.org/en/12?x#y", "http://a.Example.org/es/", "http://example.org?q=/es/", "x://org/",
              "http://notexample.org/es/1", "http://example.org/en/2", "http://com/fr/", "http://a.com/de", "http://a.com/de/", "http://É.com/fr/\n://x",
              "http://a..com/de/1", "http://.com/de/", "http://example.org#/es/", "http://u:p@b.com:80/de/", "http://x.org/" + "a" * 5000, "http://x.org/" ] * 3
-    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").selectExpr("*", "'x' AS host", "'y' AS rule", "1 AS verdict")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark, pages, RULES).collect()}
-    assert got == {i: brute(u) for i, u in enumerate(given)}
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").selectExpr("*", "'x' AS host", "'y' AS rule", "1 AS verdict", "2 AS _fit", "3 AS key")
+    rows = urls.judge(spark, pages, RULES).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+    assert {(r["_fit"], r["key"]) for r in rows} == {(2, 3)} and got == {i: brute(u) for i, u in enumerate(given)}
 
 
 def test_no_pages(spark):
