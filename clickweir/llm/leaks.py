@@ -10,6 +10,7 @@ the text around the passage, and for looser matches the item's answer, its last
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import string
@@ -18,21 +19,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickweir.llm.packs import give_back, slices, text_column
 from clickweir.llm.rows import free_names
+from clickweir.session import scratch
 
 STEP, SPAN, PIECE = 16, 48, 32  # words; PIECE <= SPAN - STEP, so that some passage holds a piece whole
 TOGETHER = 4 << 20  # bytes of text worked on at once
-TERMS = 1 << 14  # words of the benchmark beyond this many share dimensions by a hash
+TERMS = 1 << 14  # dimensions; the words of a larger benchmark share them
 PIECES = 512  # per latent space; a larger benchmark gets several
-ITEMS = 100_000  # more raise: the benchmark goes to every task
-COMMON = 0.002  # words in more than this share of the passages weigh nothing
+ITEMS = 2_000  # searched for at a time, as they and their spaces go to every task; more items take several passes
+COMMON = 0.002  # words in more than this share of the passages weigh nothing,
+LEAST, LEAST_SHARE = 3, 0.25  # but of each piece this many of its rarest words, and this share of them, always weigh
 OVERSAMPLE = 16
 NEAR = 0.5  # cosine of a candidate
-FEWEST = 3  # weighing words of a passage, fewer if some piece has no more
+FEWEST = 2  # weighing words of a passage, fewer if PARAPHRASE of some piece's are fewer. Of 24,000 paraphrases of the given items that kept
+# 60 to 80 % of the words, 0.1 to 0.2 % had no passage with so many; with three it would be 0.5 to 1.5 %.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8  # shares of the item's, and of its answer's, words found in order
+KIND = "array<struct<item_id: long, cosine: double, matched: double, answered: double>>"
+ARROW_KIND = pa.list_(pa.struct([("item_id", pa.int64()), *[(n, pa.float64()) for n in ("cosine", "matched", "answered")]]))
 TRIM = string.punctuation + "“”„«»…‘’¿¡"
 
 
@@ -80,14 +87,14 @@ class Item:
 class Vocabulary:
     def __init__(self, items: list[Item]):
         words = sorted({w for item in items for w in item.words})
-        self.values = pa.array(words, pa.large_string())
+        self.values, self.size = pa.array(words, pa.large_string()), len(words)
         self.dims = min(TERMS, max(1, len(words)))
         self.dim_of = np.arange(len(words), dtype=np.int64) % self.dims
         self.index = {w: i for i, w in enumerate(words)}
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Plain words of texts: the benchmark word that each is, its dimension (both -1 for other words), and the starts
-        of the texts. Words of punctuation alone are left out."""
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words of texts: the benchmark word that each is (-1 for other words), and the starts of the texts.
+        Words of punctuation alone are left out."""
         split = pc.ascii_split_whitespace(texts)
         starts, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
         distinct = pc.utf8_lower(pc.utf8_trim(coded.dictionary, TRIM))
@@ -99,11 +106,19 @@ class Vocabulary:
             starts = np.concatenate([[0], np.cumsum(kept)])[starts]
             places = places[kept]
         words = term[places] if len(term) else np.zeros(0, np.int64)
-        return words, np.where(words >= 0, self.dim_of[words], -1), starts.astype(np.int64)
+        return words, starts.astype(np.int64)
+
+    def scaled(self, space: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """`space` with the words' weights in it, where every word has a dimension of its own."""
+        return space * weights[:, None] if self.dims == self.size else space
+
+    def latent(self, scaled: np.ndarray, weights: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Weighted latent vectors of words."""
+        return scaled[words] if self.dims == self.size else scaled[self.dim_of[words]] * weights[words, None]
 
 
 def _passages(terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Non-overlapping passages of SPAN words: (passage, term) of every benchmark word, and how many passages."""
+    """Non-overlapping passages of SPAN words: (passage, word) of every benchmark word, and how many passages."""
     lens = np.diff(starts)
     counts = -(-lens // SPAN)
     first = np.concatenate([[0], np.cumsum(counts)])
@@ -118,21 +133,20 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
 
 
 def passage_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many passages of all documents each dimension occurs, and how many passages there are."""
+    """In how many passages of all documents each benchmark word occurs, and how many passages there are."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages = np.zeros(vocabulary.dims, np.int64), 0
+        total, passages = np.zeros(vocabulary.size, np.int64), 0
         for _, texts in _texts(batches, 0):
-            _, terms, starts = vocabulary.read(texts)
-            passage, term, n = _passages(terms, starts)
-            key = np.sort(passage * vocabulary.dims + term)
+            passage, term, n = _passages(*vocabulary.read(texts))
+            key = np.sort(passage * vocabulary.size + term)
             key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-            total += np.bincount(key % vocabulary.dims, minlength=vocabulary.dims)
+            total += np.bincount(key % vocabulary.size, minlength=vocabulary.size)
             passages += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int64()), pa.array([*total[some].tolist(), passages], pa.int64())], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 at most
-    out = np.zeros(vocabulary.dims + 1, np.int64)
+    rows = docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each word of ITEMS items
+    out = np.zeros(vocabulary.size + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
     return out[:-1], int(out[-1])
@@ -182,9 +196,9 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
         right, w = shared.value
         out, passages = np.zeros(right.shape, np.float32), 0
         for _, texts in _texts(batches, 0):
-            _, terms, starts = vocabulary.read(texts)
-            passage, term, n = _passages(terms, starts)
-            _times(*_unit_rows(passage, term, w), right, out)
+            passage, term, n = _passages(*vocabulary.read(texts))
+            row, term, value = _unit_rows(passage, term, w)
+            _times(row, vocabulary.dim_of[term], value, right, out)
             passages += n
         some = np.flatnonzero(np.any(out, axis=1))
         give_back()
@@ -206,7 +220,8 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
             y[r["term"]] = np.frombuffer(r["part"])
     own = np.zeros((vocabulary.dims, width), np.float32)
     rows = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-    _times(*_unit_rows(rows, np.concatenate(pieces), weights), omega, own)
+    row, term, value = _unit_rows(rows, np.concatenate(pieces), weights)
+    _times(row, vocabulary.dim_of[term], value, omega, own)
     y += own * max(1.0, passages / len(pieces))
     # Nystroem: the sum is M omega for M = A^T A, so M is nearly y (omega^T y)^-1 y^T.
     shift = 1e-6 * max(1e-12, float(np.linalg.norm(y)))
@@ -218,57 +233,89 @@ def latent_space(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, p
     return np.linalg.svd(root, full_matrices=False)[0][:, :rank]
 
 
+def word_weights(vocabulary: Vocabulary, pieces: list[np.ndarray], frequency: np.ndarray, passages: int) -> tuple[np.ndarray, int]:
+    """The words' weights, and how many weighing words a passage must have to be compared.
+
+    A word's weight depends on its share of the passages and on the pieces it is in, not on the size of corpus or
+    benchmark. The rarest words of a piece weigh whatever their share is, so that no piece is left without words.
+    """
+    rarity = np.log((1 + passages) / (1 + frequency))
+    weights = np.where(frequency > COMMON * passages, 0.0, rarity)
+    for piece in pieces:
+        least = min(len(piece), max(LEAST, math.ceil(LEAST_SHARE * len(piece))))
+        rarest = piece[np.argsort(frequency[piece], kind="stable")[:least]]
+        weights[rarest] = np.maximum(weights[rarest], rarity[rarest] + 0.01)
+    return weights, min(FEWEST, *(math.ceil(PARAPHRASE * int((weights[p] > 0).sum())) for p in pieces))
+
+
+def _ranges(benchmark: DataFrame) -> Iterator[list[Item]]:
+    """The items that have words, in ascending order, at most ITEMS at a time."""
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    some = rows.limit(ITEMS + 1).collect()
+    if len(some) > ITEMS:
+        ordered = rows.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator()
+        parts = iter(lambda: list(itertools.islice(ordered, ITEMS)), [])
+    else:
+        parts = iter([sorted(some, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))])
+    for part in parts:
+        items = [i for i in (Item(r["item_id"], r["text"]) for r in part) if i.words]
+        if items:
+            yield items
+
+
 def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
     """`docs` with an array column `name` of (item_id, cosine, matched, answered), one for each item of `benchmark`
     (item_id, text) that the row's text holds word for word or as a paraphrase.
 
     An item is held if VERBATIM of its words are found in their order near a passage that is close in latent space, or
     PARAPHRASE of them and ANSWER of its answer. Items and texts that are null or without words match nothing; repeated
-    rows are judged each for itself. The benchmark is read by the driver: more than ITEMS items raise.
+    rows are judged each for itself. The driver reads ITEMS items at a time; a larger benchmark takes as many passes over
+    `docs`, which are stored in between.
     """
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string")).limit(ITEMS + 1).collect()
-    if len(rows) > ITEMS:
-        raise ValueError(f"more than {ITEMS} benchmark items")
-    items = [i for i in (Item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))) if i.words]
-    kind = "array<struct<item_id: long, cosine: double, matched: double, answered: double>>"
-    if not items:
-        return docs.withColumn(name, F.array().cast(kind))
+    out, shared = None, None
+    for items in _ranges(benchmark):
+        if out is not None:
+            path = scratch(spark, "leaks")
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+            shared.destroy()
+        found, shared = _search(spark, docs if out is None else out, items)
+        out = docs.withColumn(name, found) if out is None else out.withColumn(name, F.concat(F.col(name), found))
+    return docs.withColumn(name, F.array().cast(KIND)) if out is None else out
+
+
+def _search(spark: SparkSession, docs: DataFrame, items: list[Item]) -> tuple[Column, Broadcast]:
+    """The column of leaks of `items`, and what its tasks share."""
     vocabulary = Vocabulary(items)
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    frequency, passages = passage_frequencies(texts, vocabulary)
-    weights = np.log((1 + passages) / (1 + frequency))
-    weights[frequency > max(COMMON * passages, 2 * len(items))] = 0.0
     pieces, owner = [], []
     for number, item in enumerate(items):
-        parts = -(-len(item.words) // PIECE)
-        for part in np.array_split(np.array([vocabulary.dim_of[vocabulary.index[w]] for w in item.words]), parts):
-            if not (weights[part] > 0).any():
-                # Made of common words only: these must tell it, though they weigh nothing elsewhere.
-                weights[part] = np.maximum(weights[part], np.log((1 + passages) / (1 + frequency[part])) + 0.01)
+        words = np.array([vocabulary.index[w] for w in item.words])
+        for part in np.array_split(words, -(-len(words) // PIECE)):
             pieces.append(part)
             owner.append(number)
         item.numbered(vocabulary.index)
-    fewest = min(FEWEST, *(int((weights[p] > 0).sum()) for p in pieces))
+    weights, fewest = word_weights(vocabulary, pieces, *passage_frequencies(texts, vocabulary))
     spaces = []
     for lo in range(0, len(pieces), PIECES):
         some = pieces[lo:lo + PIECES]
-        space = latent_space(texts, vocabulary, weights, some) * weights[:, None]
-        latent = np.stack([space[p].sum(0) for p in some])
+        space = vocabulary.scaled(latent_space(texts, vocabulary, weights, some), weights)
+        latent = np.stack([vocabulary.latent(space, weights, p).sum(0) for p in some])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         spaces.append((space.astype(np.float32), latent.T.astype(np.float32), np.array(owner[lo:lo + PIECES])))
-    shared = spark.sparkContext.broadcast((items, weights, spaces))  # bounded by ITEMS, TERMS and PIECES
+    shared = spark.sparkContext.broadcast((items, weights.astype(np.float32), spaces))  # bounded by ITEMS, TERMS and PIECES
 
     def searched(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             found = [own for _, texts in _texts(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0) for own in near(texts)]
-            yield pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), *[(n, pa.float64()) for n in ("cosine", "matched", "answered")]])))
+            yield pa.array(found, ARROW_KIND)
         give_back()
 
     def near(texts: pa.Array) -> list[list[dict]]:
         items, weights, spaces = shared.value
-        known, terms, starts = vocabulary.read(texts)
-        at = np.flatnonzero(terms >= 0)
-        at = at[weights[terms[at]] > 0]
+        known, starts = vocabulary.read(texts)
+        at = np.flatnonzero(known >= 0)
+        at = at[weights[known[at]] > 0]
         lens = np.diff(starts)
         counts = np.maximum(1, -(-(lens - SPAN) // STEP) + 1) * (lens > 0)
         doc = np.repeat(np.arange(len(lens)), counts)
@@ -288,12 +335,12 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
             some = block_hi > block_lo
             size = (block_hi - block_lo)[some]
             ends = np.cumsum(size)
-            term = terms[at[np.repeat(block_lo[some], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
+            term = known[at[np.repeat(block_lo[some], size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]]
             of = np.full(blocks.shape, len(block))
             of[inside] = place
             for space, latent, owners in spaces:
                 sums = np.zeros((len(block) + 1, space.shape[1]), np.float32)
-                sums[:-1][some] = np.add.reduceat(space[term], ends - size)
+                sums[:-1][some] = np.add.reduceat(vocabulary.latent(space, weights, term), ends - size)
                 made = sums[of[:, 0]]
                 for k in range(1, SPAN // STEP):
                     made += sums[of[:, k]]
@@ -315,7 +362,7 @@ def with_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name:
             found[d].append({"item_id": items[number].item_id, "cosine": cosine, "matched": matched, "answered": answered})
         return found
 
-    return docs.withColumn(name, F.arrow_udf(searched, kind)(F.col("text").cast("string")))
+    return F.arrow_udf(searched, KIND)(F.col("text").cast("string")), shared
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

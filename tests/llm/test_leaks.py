@@ -35,9 +35,12 @@ def held(item, text):
     return False
 
 
-@pytest.mark.parametrize("pieces", [512, 7])
-def test_against_brute_force(spark, docs, monkeypatch, pieces):
+@pytest.mark.parametrize("pieces, terms, items_at_once", [(512, 1 << 14, 2000), (7, 1 << 14, 2000), (512, 300, 2000), (512, 1 << 14, 9)])
+def test_against_brute_force(spark, docs, monkeypatch, pieces, terms, items_at_once):
+    """Also with several latent spaces, with words that share dimensions, and in several passes over the items."""
     monkeypatch.setattr(leaks, "PIECES", pieces)
+    monkeypatch.setattr(leaks, "TERMS", terms)
+    monkeypatch.setattr(leaks, "ITEMS", items_at_once)
     pick = random.Random(pieces)
     common = ["the", "of", "and", "to", "in"]
     words = lambda n, kinds=30_000: [pick.choice(common) if pick.random() < .1 else f"w{int(kinds * pick.random() ** 2)}" for _ in range(n)]
@@ -74,6 +77,33 @@ def test_empty_tables(spark, docs):
     assert leaks.find_leaks(spark, docs([(1, "Some words, here"), (2, None)]), bench).first()["doc_id"] == 1
 
 
+def test_weights_do_not_depend_on_size():
+    """Shares decide, and every piece keeps its rarest words."""
+    vocabulary = leaks.Vocabulary([leaks.Item(1, "a b c d e f g h i j k l m n o p")])
+    pieces = [np.arange(12), np.arange(12, 16), np.array([15])]
+    share = np.array([0, .001, .0019, .0021] + [.1 + .01 * i for i in range(12)])
+    for passages in (10_000, 10_000_000):
+        weights, fewest = leaks.word_weights(vocabulary, pieces, share * passages, passages)
+        assert np.flatnonzero(weights).tolist() == [0, 1, 2, 12, 13, 14, 15] and fewest == 1
+    assert leaks.word_weights(vocabulary, pieces[:2], share * 10_000, 10_000)[1] == 2
+    none, fewest = leaks.word_weights(vocabulary, pieces[:2], share * 0, 0)
+    assert (none > 0).any() and fewest >= 1
+
+
+@pytest.mark.parametrize("kinds", [100, 20_000])
+def test_planted_items_at_any_vocabulary(spark, docs, kinds):
+    pick = random.Random(kinds)
+    words = lambda n: [f"w{int(kinds * pick.random())}" for _ in range(n)]
+    items = [(i, " ".join(words(40))) for i in range(kinds // 50)]
+    rows = [(i, " ".join(words(150))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*words(70), *[w for w in text.split() if pick.random() < .9], *words(70)])) for i, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(spark, docs(rows), bench).collect()}
+    judged = [leaks.Item(k, t) for k, t in items]
+    assert found == {(k, i.item_id) for k, t in rows for i in (judged if kinds == 100 else [j for j in judged if k == 1000 + j.item_id]) if held(i, t)}
+    assert len(found) >= .95 * len(items)
+
+
 def test_singular_vectors(spark, docs):
     """The subspace is that of a full decomposition of the same matrix."""
     pick = random.Random(2)
