@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.times import between, bucket_start
+from ..functions.times import at, between, bucket_start
 from ..schemas import ADD, EVENT_COLUMNS, MONEY, PURCHASE, REMOVE, SEARCH, VIEW
+from ..session import drop_scratch, scratch
 from ..streaming.jobs import watermarked
 
 # Event types of the table -> event types of the shop.
@@ -103,10 +106,16 @@ def shop_stream(spark: SparkSession, sf_dir: str, raw: DataFrame, products: bool
 
 def message_periods(spark: SparkSession, sf_dir: str, late: str | None) -> Iterator[DataFrame]:
     """Damaged messages of one period after the other. Every event of the first ten products comes again a period later,
-    dated a day after its first copy; events of the type `late` come a period late, and only then."""
-    events, bounds, before = shop_events(spark, sf_dir, products=True, places=True), [None, *EDGES, None], None
-    for start, end in [*zip(bounds[:-1], bounds[1:]), (None, None)]:
-        now = between(events, "timestamp", start, end) if before is None or start else events.limit(0)
+    dated a day after its first copy; events of the type `late` come a period late, and only then. A period must be used before
+    the next is asked for."""
+    path, ends = scratch(spark, "attributed"), [F.col("timestamp") < at(edge) for edge in EDGES]
+    events = shop_events(spark, sf_dir, products=True, places=True).filter(F.col("timestamp").isNotNull())
+    period_of = reduce(lambda later, end: F.when(end[1], end[0]).otherwise(later), reversed([*enumerate(ends)]), F.lit(len(EDGES)))
+    events.withColumn("period", period_of).write.partitionBy("period").parquet(path)  # joined once, read period by period
+    stored = spark.read.schema(StructType([*events.schema.fields, StructField("period", IntegerType())])).parquet(path)
+    before = None
+    for number in range(len(EDGES) + 2):
+        now = stored.filter(F.col("period") == number).drop("period")
         is_late = (F.col("event_type") == late) if late else F.lit(False)
         period = now.filter(~is_late)
         if before is not None:
@@ -114,6 +123,7 @@ def message_periods(spark: SparkSession, sf_dir: str, late: str | None) -> Itera
             period = period.unionByName(before.filter(is_late)).unionByName(again)
         yield damaged_messages(period)
         before = now
+    drop_scratch(spark, [path])
 
 
 def as_messages(events: DataFrame) -> DataFrame:

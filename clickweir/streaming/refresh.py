@@ -172,24 +172,41 @@ def store_events(spark: SparkSession, root: str, events: DataFrame, batch_id: in
     """Add the events whose id is not stored yet, as the batch's part, and their ids to the index. Returns them.
 
     The part decides: if it is there, a repeated batch takes its events from it. Only the index folders that the ids fall
-    in are read. With `keep_days`, ids are forgotten that long after the newest event seen with them.
+    in are read. `events` are read several times, so they should be stored.
     """
     path, index, run = f"{root}/{RAW}", f"{root}/{INDEX}", (batch_id, batch_id)
     bucket = F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).cast("int")
     if run not in parts.stored(spark, path):
-        once = scratch(spark, "once")
-        source.deduplicate(events).withColumn("bucket", bucket).write.parquet(once)
-        mine = spark.read.schema(StructType([*events.schema.fields, StructField("bucket", parts.IntegerType())])).parquet(once)
-        buckets = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # BUCKETS rows at most
-        known = parts.read(spark, index, _schemas(spark)[INDEX], ("bucket",)).filter(F.col("bucket").isin(buckets))
-        fresh = mine.join(known.select("event_id"), "event_id", "left_anti").select(*events.columns)
+        folders = scratch(spark, "doubtful"), scratch(spark, "once")
+        buckets = [r["bucket"] for r in events.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+        known = parts.read(spark, index, _schemas(spark)[INDEX], ("bucket",)).filter(F.col("bucket").isin(buckets)).select("event_id")
+        fresh = _fresh(spark, events, known, *folders)
         parts.publish(sinks.with_date(fresh, "timestamp"), path, run, (DATE,), "timestamp", ranges=True)
-        drop_scratch(spark, [once])
+        drop_scratch(spark, folders)
     fresh = parts.read(spark, path, events.schema, (DATE,), [run]).drop(DATE,)
     parts.publish(fresh.select("event_id", F.to_date("timestamp").alias("seen"), bucket.alias("bucket")), index, run, ("bucket",))
     return fresh
 
 
+def _fresh(spark: SparkSession, events: DataFrame, known: DataFrame, doubtful: str, once: str) -> DataFrame:
+    """One row per id that is not `known`. Most ids come once and are new, which hashes of ids alone tell; the rows of
+    those are taken as they are. Only rows whose hash occurs again or is known are gathered and compared by their ids."""
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_hash", F.xxhash64("event_id"))
+
+    again = hashed(events.select("event_id")).groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    stored = hashed(known).select("_hash").withColumn("stored", F.lit(True))
+    again.join(stored, "_hash", "left").filter((F.col("n") > 1) | F.col("stored")).select("_hash").write.parquet(doubtful)
+    hashes = spark.read.schema("_hash bigint").parquet(doubtful)
+    if hashes.isEmpty():
+        return events
+    few = source.deduplicate(hashed(events).join(hashes, "_hash", "left_semi").drop("_hash"))
+    stored = hashed(known).join(hashes, "_hash", "left_semi").select("event_id")
+    few.join(stored, "event_id", "left_anti").select(*events.columns).write.parquet(once)
+    plain = hashed(events).join(hashes, "_hash", "left_anti").select(*events.columns)
+    return plain.unionByName(spark.read.schema(events.schema).parquet(once))
+
+
 def process(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, names: Sequence[str] = (*DEFAULT_TABLES, LOG),
             value: str = "value", received: str | None = None, ahead_minutes: float | None = None,
             rules: Sequence[alerts.Rule] | None = None, trending: dict | None = None, resolve_hours: float | None = 1) -> None:

@@ -5,7 +5,8 @@ import re
 import pytest
 
 from clickweir.operators import alerts, dashboard, geo, metrics, products, sessions
-from clickweir.plans import queries
+from clickweir.plans import queries, shop
+from clickweir.schemas import SEARCH
 from clickweir.sources import messages
 from conftest import AS_OF, GOLDEN
 
@@ -98,3 +99,9 @@ def test_point_in_time_trending_joins_nothing(golden):
 def test_history_since_bounds_the_scan(spark):
     for name in ("active_alerts", "stats_report"):
         assert "GreaterThanOrEqual(ts" in plan(queries.queries()[name](spark, SF)), name
+
+
+def test_attributes_of_messages_are_joined_once(spark):
+    """Each period of messages is read from the events that were joined before the first."""
+    plans = [plan(period) for period in shop.message_periods(spark, SF, SEARCH)]
+    assert len(plans) == 4 and not any("Join" in p or "events.parquet" in p for p in plans)

@@ -303,3 +303,28 @@ def test_expired_carts_go(spark):
     refresh.process(spark, root, batch(spark, [text(r) for r in some]), 0, names=["carts"])
     assert rows(refresh.read(spark, root, "carts"), "session_id", "open_quantity") == [("s1", 2)]
     assert rows(refresh.read(spark, root, "carts", start="2025-01-03 10:30:00"), "session_id") == []
+
+
+def test_only_ids_in_doubt_are_gathered(spark, monkeypatch):
+    """Rows of new ids that come once are not put in order by id; those of ids that come again or are stored are."""
+    root, asked, deduplicate = scratch(spark, "job"), [], refresh.source.deduplicate
+
+    def watched(events, *args):
+        asked.append(rows(events, "event_id"))
+        return deduplicate(events, *args)
+    monkeypatch.setattr(refresh.source, "deduplicate", watched)
+    texts = [text(r) for r in GOLDEN]
+    for number, some in enumerate([texts[:4], [*texts[3:6], texts[5]], texts[6:]]):
+        refresh.process(spark, root, batch(spark, some), number, names=[])
+    assert asked == [sorted([("e4",), ("e6",), ("e6",)])]
+    assert rows(refresh.raw_events(spark, root), "event_id") == sorted([(r[0],) for r in GOLDEN], key=repr)
+
+
+def test_events_without_an_id_and_full_repeats(spark, frame):
+    """Those without an id are one row of each batch, as null is no stored id; a batch that is stored already adds nothing."""
+    root = scratch(spark, "job")
+    some = spark.createDataFrame([(None, minute("10:00"), 1), (None, minute("10:00"), 2), ("a", minute("10:01"), 4), ("a", minute("10:01"), 3)],
+                                 "event_id string, timestamp timestamp_ntz, quantity int")
+    for number in range(3):
+        fresh = refresh.store_events(spark, root, some, number)
+        assert rows(fresh, "event_id", "quantity") == ([("a", 3), (None, 1)] if number == 0 else [(None, 1)])
