@@ -112,19 +112,21 @@ def dates_of(spark: SparkSession, path: str) -> list[str]:
 
 def compact(spark: SparkSession, path: str, schema: StructType, combine: Callable[[DataFrame], DataFrame], by: Sequence[str] = (),
             column: str | None = None, fan: int = FAN, ranges: bool = False) -> list[Run]:
-    """Make one part of every `fan` neighbouring parts of like width, again and again; each row is rewritten about as
-    often as the logarithm of the number of batches. Returns the new parts."""
-    made = []
+    """Make one part of every `fan` neighbouring parts of like width, and of such parts again, which are then not written
+    by themselves; over many calls each row is rewritten about as often as the logarithm of the number of batches.
+    Returns the new parts."""
+    groups = [(run, [run]) for run in live(spark, path)]
     while True:
-        runs = live(spark, path)
-        level = [_level(hi - lo + 1, fan) for lo, hi in runs]
-        start = next((i for i in range(len(runs) - fan + 1) if len(set(level[i:i + fan])) == 1), None)
+        level = [_level(hi - lo + 1, fan) for (lo, hi), _ in groups]
+        start = next((i for i in range(len(groups) - fan + 1) if len(set(level[i:i + fan])) == 1), None)
         if start is None:
-            return made
-        chosen = runs[start:start + fan]
-        run = (chosen[0][0], chosen[-1][1])
-        publish(combine(read(spark, path, schema, by, chosen)), path, run, by, column, ranges)
-        made.append(run)
+            break
+        chosen = groups[start:start + fan]
+        groups[start:start + fan] = [((chosen[0][0][0], chosen[-1][0][1]), [run for _, runs in chosen for run in runs])]
+    made = [(run, runs) for run, runs in groups if len(runs) > 1]
+    for run, runs in made:
+        publish(combine(read(spark, path, schema, by, runs)), path, run, by, column, ranges)
+    return [run for run, _ in made]
 
 
 def _level(width: int, fan: int) -> int:

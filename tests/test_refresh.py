@@ -328,3 +328,18 @@ def test_events_without_an_id_and_full_repeats(spark, frame):
     for number in range(3):
         fresh = refresh.store_events(spark, root, some, number)
         assert rows(fresh, "event_id", "quantity") == ([("a", 3), (None, 1)] if number == 0 else [(None, 1)])
+
+
+def test_a_row_is_compacted_once_a_call(spark, monkeypatch):
+    """Parts that would become one in several steps are written as one at once."""
+    path, written, publish = scratch(spark, "parts"), [], parts.publish
+    for number in range(5):
+        parts.publish(spark.range(number, number + 1), path, (number, number))
+
+    def watched(rows, path, run, *args, **options):
+        written.append(run)
+        publish(rows, path, run, *args, **options)
+    monkeypatch.setattr(parts, "publish", watched)
+    assert parts.compact(spark, path, spark.range(1).schema, lambda rows: rows, fan=2) == [(0, 3)] == written
+    assert parts.live(spark, path) == [(0, 3), (4, 4)]
+    assert rows(parts.read(spark, path, spark.range(1).schema)) == [(n,) for n in range(5)]
