@@ -71,7 +71,7 @@ def text_column(batch: pa.RecordBatch, at: int) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     return ends, memoryview(data) if data is not None else memoryview(b"")
@@ -79,7 +79,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
     """Each text as UTF-8 bytes, null as empty, without Python strings."""
-    ends, data = _bytes_of(text_column(batch, at))
+    ends, data = bytes_of(text_column(batch, at))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         yield bytes(data[a:b])
 
@@ -87,7 +87,7 @@ def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut after the row with which column `at` exceeds `most` bytes."""
     for batch in batches:
-        ends, lo = _bytes_of(text_column(batch, at))[0], 0
+        ends, lo = bytes_of(text_column(batch, at))[0], 0
         while lo < batch.num_rows:
             hi = min(max(int(np.searchsorted(ends, ends[lo] + most)), lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
@@ -97,11 +97,18 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa
 def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of non-null texts: the distinct words, the place of each word among them, and
     where each text's words start (one more entry than texts)."""
+    distinct, places, starts = coded_words(texts)
+    return distinct.cast(pa.large_binary()).to_pylist(), places, starts
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """words_of() with the distinct words as an Arrow column."""
     split = pc.ascii_split_whitespace(texts)
     starts, coded = np.asarray(split.offsets), split.flatten().dictionary_encode()
-    distinct, places = coded.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(coded.indices)
-    if b"" in distinct:  # around leading and trailing white space
-        words = places != distinct.index(b"")
+    distinct, places = coded.dictionary, np.asarray(coded.indices)
+    empty = pc.index(distinct, "").as_py()
+    if empty >= 0:  # around leading and trailing white space
+        words = places != empty
         starts = np.concatenate([[0], np.cumsum(words)])[starts]
         places = places[words]
     return distinct, places, starts.astype(np.int64)

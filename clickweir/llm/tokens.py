@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clickweir.llm.packs import give_back, slices, text_column, words_of
+from clickweir.llm.packs import bytes_of, coded_words, give_back, slices, text_column
 from clickweir.session import scratch
 
 SEGMENT_TOKENS = 1 << 18  # a segment ends with the document that reaches this
@@ -30,7 +31,6 @@ CACHED_WORDS = 300_000  # words a worker remembers
 TOGETHER = 4 << 20  # bytes of text encoded in one go
 BLOCK = 64  # bytes of bitmap per entry of the rank directory
 MAGIC = b"DAC1"
-PUNCTUATION = string.punctuation.encode()
 assert sys.byteorder == "little" and array("I").itemsize == 4
 SEGMENTS = "part int, seq int, doc_ids array<bigint>, starts array<bigint>, n_tokens bigint, codes binary"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -98,9 +98,9 @@ class WordCoder:
     """Ids of texts by words: the tokenizer is asked once for each word that a worker does not remember.
 
     Right for tokenizers that never merge across white space and drop it; `whole` skips the words for others. Words of
-    Latin letters, perhaps with ASCII punctuation behind, go straight to the tokenizer's byte-level model in lower
-    case if that gives what the whole tokenizer gives for PROBES. Two generations of words are remembered; the older is
-    forgotten when the younger is full.
+    Latin letters, perhaps with ASCII punctuation behind, go without it and in lower case straight to the tokenizer's
+    byte-level model, if that and the ids of the punctuation give what the whole tokenizer gives for PROBES. Two
+    generations of words are remembered; the older is forgotten when the younger is full.
     """
 
     PROBES = ("The", "thing,", "OF.", "antidisestablishment", "x", "q,!", "Zz...", "ciónñoÑ", "Übergrößen.", "e\u0301té", "ĐŐŠŸ")
@@ -113,64 +113,93 @@ class WordCoder:
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.cores: dict[bytes, bytes] = {}
+        self.old_cores: dict[bytes, bytes] = {}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]  # byte-level models write these from U+0100 on
         self.byte_letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.direct = True
-        self.direct = all(self._direct([w.encode()]).get(w.encode()) == self._whole([w])[0] for w in self.PROBES)
+        probes = pa.array(self.PROBES, pa.large_string())
+        self.direct = all(whole == got for whole, got in zip(_joined(self._whole(list(self.PROBES))).to_pylist(), self._lists(probes).to_pylist(), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _direct(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of those words that are of the plain form."""
-        found, ask = {}, self.model.tokenize
-        for word in words if self.direct else ():
-            core = word.rstrip(PUNCTUATION)
-            tail = word[len(core):]
-            if tail not in self.tails:
-                if len(self.tails) > 1000:
-                    self.tails = {b"": b""}
-                self.tails[tail] = self._whole([tail.decode()])[0]
-            if not core.isalpha():  # not ASCII letters only
-                text = unicodedata.normalize("NFC", core.decode())
-                if not text.isalpha() or max(text) > "\u024f" or "İ" in text:
-                    continue
-                core = text.lower().encode().decode("latin-1").translate(self.byte_letters)
-            else:
-                core = core.lower().decode()
-            found[word] = array("I", [t.id for t in ask(core)]).tobytes() + self.tails[tail]
-        return found
+    def _cores(self, cores: list[bytes]) -> list[bytes | None]:
+        """Ids of distinct words without punctuation behind, ASCII ones in lower case; None if not of the plain form."""
+        if len(self.cores) > CACHED_WORDS // 2:
+            self.old_cores, self.cores = self.cores, {}
+        known, ask = self.cores, self.model.tokenize
+        codes = list(map(known.get, cores))
+        for i, code in enumerate(codes):
+            if code is not None:
+                continue
+            core = cores[i]
+            code = self.old_cores.get(core)
+            if code is None:
+                text = core.decode()
+                if not core.isalpha():  # not ASCII letters only
+                    text = unicodedata.normalize("NFC", text)
+                    if not text.isalpha() or max(text) > "\u024f" or "İ" in text:
+                        continue
+                    text = text.lower().encode().decode("latin-1").translate(self.byte_letters)
+                code = array("I", [t.id for t in ask(text)]).tobytes()
+            known[core] = codes[i] = code
+        return codes
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words."""
+        """Ids of distinct words by the whole tokenizer."""
         if len(self.young) > CACHED_WORDS // 2:
             self.old, self.young = self.young, {}
-        codes = list(map(self.young.get, words))
-        gaps = [i for i, code in enumerate(codes) if code is None]
-        here = {words[i]: self.old.get(words[i]) for i in gaps}
-        here.update(self._direct([w for w, code in here.items() if code is None]))
+        here = {word: self.young.get(word) or self.old.get(word) for word in words}
         rest = [w for w, code in here.items() if code is None]
         here.update(zip(rest, self._whole([w.decode() for w in rest])))
         self.young.update(here)
-        for i in gaps:
-            codes[i] = here[words[i]]
-        return codes
+        return list(here.values())
+
+    def _lists(self, words: pa.Array) -> pa.Array:
+        """A list of ids for each of the distinct words."""
+        if not self.direct:
+            return _joined(self._ids(words.cast(pa.large_binary()).to_pylist()))
+        cores = pc.ascii_rtrim(words, characters=string.punctuation)
+        tails = _behind(words, cores).dictionary_encode()
+        cores = pc.if_else(pc.ascii_is_alpha(cores), pc.ascii_lower(cores), cores).dictionary_encode()
+        codes = self._cores(cores.dictionary.cast(pa.large_binary()).to_pylist())
+        first, second = np.asarray(cores.indices).astype(np.int64), np.asarray(tails.indices) + len(codes)
+        tail_codes = self._whole(tails.dictionary.to_pylist())
+        odd = np.flatnonzero(np.array([code is None for code in codes], bool)[first])
+        odd_codes = self._ids(words.take(pa.array(odd)).cast(pa.large_binary()).to_pylist())
+        pieces = _joined([*[code or b"" for code in codes], *tail_codes, *odd_codes, b""])
+        first[odd], second[odd] = np.arange(len(odd)) + len(codes) + len(tail_codes), len(pieces) - 1
+        both = pieces.take(pa.array(np.stack([first, second], 1).reshape(-1)))
+        return pa.LargeListArray.from_arrays(pa.array(np.asarray(both.offsets)[::2] - both.offsets[0].as_py()), both.flatten())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls), one after the other, and how many each has."""
         if self.whole:
             codes = self._whole(texts.to_pylist())
             return np.frombuffer(b"".join(codes), "<u4"), np.array([len(c) // 4 for c in codes], np.int64)
-        words, places, starts = words_of(texts)
-        codes = self._ids(words)
-        lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)])), pa.array(np.frombuffer(b"".join(codes), "<u4")))
-        ends = np.concatenate([[0], np.cumsum(lens[places])])[starts]
+        words, places, starts = coded_words(texts)
+        lists = self._lists(words)
+        ends = np.concatenate([[0], np.cumsum(np.diff(np.asarray(lists.offsets))[places])])[starts]
         return np.asarray(lists.take(pa.array(places)).flatten()), np.diff(ends)
 
 
+def _joined(codes: list[bytes]) -> pa.Array:
+    """Ids of each entry as lists."""
+    lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int64()), pa.array(np.frombuffer(b"".join(codes), "<u4")))
+
+
+def _behind(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What `words` have behind `cores`, with which they begin."""
+    ends, data = bytes_of(words)
+    lens = np.diff(ends) - np.diff(bytes_of(cores)[0])
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    at = np.repeat(ends[1:] - starts[1:], lens) + np.arange(starts[-1])
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(starts), pa.py_buffer(np.frombuffer(data, np.uint8)[at]))
+
+
 _coders: dict[tuple, WordCoder] = {}
 
 

@@ -59,3 +59,23 @@ def test_files_hold_every_document(spark, docs, tokenizer):
 
 def test_no_documents(spark, docs, tokenizer):
     assert tokens.documents_tokens(spark, docs([]), tokenizer).count() == 0
+
+
+def test_the_model_is_asked_once_for_all_forms_of_a_word():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, asked = tokens.WordCoder(path), []
+    model = words.model
+
+    class Asked:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+    words.model = Asked()
+    texts = ["Lamp lamp LAMP, lamp.", " laMP! été, (lamp) a1 ", "", "lamp a1? ... Été"]
+    for _ in range(2):
+        got, counts = words.encode(pa.array(texts, pa.large_string()))
+        want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert got.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    assert len(asked) == 3 and asked.count("lamp") == 1    # lamp, été and Été
