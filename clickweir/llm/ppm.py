@@ -21,18 +21,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickweir.llm.mixing import stored
-from clickweir.llm.packs import Pack, expand, give_back, pack_get, pack_put, pack_rows, squeeze, with_replies, words_of, write_packs
+from clickweir.llm.packs import Pack, bytes_of, coded_words, expand, give_back, pack_get, pack_put, pack_rows, squeeze, with_replies, write_packs
 
 ORDER = 5
 SYMBOLS = 257  # 0 stands before a text and ends it, byte b is b + 1
 PACK_BYTES = 4 << 20
-DENSE = 3 << 23  # entries of a table that numbers paths; beyond that they are sorted
+DENSE = 1 << 15  # texts numbered in the bits that a path leaves free in 64; more are sorted by so many
 GRAM_BUCKETS = 192
-WORDS_PER_BUCKET = 1 << 20
+WORDS_PER_BUCKET = 8 << 20  # with repetitions; each pack sends a row to each bucket, so buckets are large
+WORD_BUCKETS = 64  # at least, for small inputs to use all cores
+POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 MERGED = 128  # packs whose messages are merged first
 GRAMS, WORDS = 0, 1
 MESSAGE = "kind int, bucket int, pack long, keys binary, counts binary"
@@ -44,76 +45,93 @@ def in_training(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def _numbered(keys: np.ndarray, size: int) -> tuple[np.ndarray, int]:
-    """Numbers from 0 for the distinct `keys` below `size`, and how many there are."""
-    if size <= DENSE:
-        table = np.zeros(size, np.int32)
-        table[keys] = 1
-        np.cumsum(table, out=table)
-        return table[keys] - np.int32(1), int(table[-1]) if size else 0
-    ordered = np.sort(keys)
-    ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
-    return np.searchsorted(ordered, keys).astype(np.int32), len(ordered)
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts; `ordered` has one value at least."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
 class Counted:
-    """What a pack holds: its words, and the number of the path that ends at each symbol."""
+    """What a pack holds: its words, and the path that ends at each symbol of its texts.
+
+    A path is one 64-bit key (nearest context byte first, symbol last). Paths are counted by sorting these numbers, with
+    the text that a path stands in, or whether it trains, in the low bits; no table is read out of order.
+    """
 
     def __init__(self, row: dict, trains: Callable[[int | None], bool]):
         self.pack = Pack(row)
+        texts, n = self.pack.texts, len(self.pack.ids)
         self.train = np.array([trains(k) for k in self.pack.ids], bool)
-        self.words, self.places, self.word_starts = words_of(pc.ascii_lower(self.pack.texts))
-        texts = self.pack.texts
-        ends = np.frombuffer(texts.buffers()[1], np.int64)[:len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+        self.words, self.places, self.word_starts = coded_words(pc.ascii_lower(texts))
+        ends, data = bytes_of(texts)
         lens = np.diff(ends)
-        # ORDER zeros before each text; the first zero after it is its end
-        self.first = ORDER + ends[:-1] + ORDER * np.arange(len(texts))
-        self.symbols = np.zeros(len(data) + ORDER * (len(texts) + 1), np.uint16)
-        shift = np.repeat(self.first - ends[:-1], lens)
-        self.symbols[np.arange(len(data)) + shift] = data[:ends[-1]].astype(np.uint16) + 1
-        del shift
-        used = np.flatnonzero(np.bincount(self.symbols, minlength=SYMBOLS))
-        dense = np.zeros(SYMBOLS, np.int32)
-        dense[used] = np.arange(len(used))
-        dense = dense[self.symbols]
-        path, count = dense, len(used)
-        for _ in range(ORDER):
-            keys = np.zeros(len(path), np.int64 if count * len(used) >= 1 << 31 else np.int32)
-            keys[1:] = path[:-1]
-            keys *= len(used)
-            keys += dense
-            path, count = _numbered(keys, count * len(used))
+        # ORDER zeros before each text and after the last; the first zero after a text is its end
+        lengths = np.full(2 * n + 1, ORDER)
+        lengths[1::2] = lens
+        symbols = np.zeros(lengths.sum(), np.uint16)
+        symbols[np.repeat(np.arange(2 * n + 1) % 2 == 1, lengths)] = np.frombuffer(data, np.uint8)[:ends[-1]] + np.uint16(1)
         self.lens = lens + 1
-        self.asked = np.zeros(len(path), bool)
-        edges = np.zeros(len(path) + 1, np.int8)
-        edges[self.first] += 1
-        edges[self.first + self.lens] -= 1
-        self.asked = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
-        self.path, self.paths = path[self.asked], count
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the distinct paths in ascending order (nearest context byte first, symbol last), how often each
-        occurs in training, and the key's place for each path number (-1 for paths that are not asked)."""
-        at = np.full(self.paths, -1, np.int64)
-        at[self.path] = np.flatnonzero(self.asked)
-        numbers = np.flatnonzero(at >= 0)
-        keys = np.zeros(len(numbers), np.uint64)
-        for back in [*range(1, ORDER + 1), 0]:
-            keys = keys * np.uint64(SYMBOLS) + self.symbols[at[numbers] - back].astype(np.uint64)
-        order = np.argsort(keys)
-        trained = np.bincount(self.path[np.repeat(self.train, self.lens)], minlength=self.paths)
-        place = np.full(self.paths, -1, np.int64)
-        place[numbers[order]] = np.arange(len(numbers))
-        return keys[order], trained[numbers[order]], place
-
-    def vocabulary(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Distinct words with the end of a text as b"", their training counts and buckets."""
-        words = [*self.words, b""]
+        # no path ends at the other zeros
+        lengths = np.full(2 * n, ORDER - 1)
+        lengths[::2] = self.lens
+        asked = np.repeat(np.arange(2 * n) % 2 == 0, lengths)
+        self.paths = np.zeros(self.lens.sum(), np.uint64)
+        for half in np.split(np.array([*range(1, ORDER + 1), 0]), 2):  # 32 bits hold three symbols
+            keys = np.zeros(len(asked), np.uint32)
+            for back in half.tolist():
+                keys *= np.uint32(SYMBOLS)
+                keys += symbols[ORDER - back:len(symbols) - back]
+            self.paths *= np.uint64(SYMBOLS ** len(half))
+            self.paths += keys[asked]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct paths in ascending order, and how often each occurs in training. Uses up the paths."""
+        marked, self.paths = self.paths, None
+        marked <<= np.uint64(1)
+        marked |= np.repeat(self.train, self.lens)
+        marked.sort()
+        keys = marked >> np.uint64(1)
+        first = _runs(keys)
+        marked &= np.uint64(1)
+        return keys[first], np.add.reduceat(marked, first)
+
+    def by_text(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """For each DENSE texts: their distinct paths in ascending order, how often each occurs, the text (from 0) of
+        each occurrence in that order, and how many texts there are. Uses up the paths."""
+        paths, self.paths = self.paths, None
+        starts = np.concatenate([[0], np.cumsum(self.lens)])
+        for lo in range(0, len(self.lens), DENSE):
+            some = self.lens[lo:lo + DENSE]
+            bits = np.uint64((len(some) - 1).bit_length())
+            marked = paths[starts[lo]:starts[lo + len(some)]]
+            marked <<= bits
+            marked |= np.repeat(np.arange(len(some), dtype=np.uint32), some)
+            marked.sort()
+            keys = marked >> bits
+            first = _runs(keys)
+            own, often = keys[first], np.diff(first, append=len(keys))
+            del keys
+            marked &= (np.uint64(1) << bits) - np.uint64(1)
+            yield own, often, marked.view(np.int64), len(some)
+
+    def vocabulary(self, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words with the end of a text as b"" last, their training counts and buckets."""
+        words = pa.concat_arrays([self.words.cast(pa.large_binary()), pa.array([b""], pa.large_binary())])
         of_train = np.repeat(self.train, np.diff(self.word_starts))
-        counts = np.append(np.bincount(self.places[of_train], minlength=len(self.words))[:len(self.words)], self.train.sum())
-        own = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], np.int64)
-        return words, counts, own
+        counts = np.append(np.bincount(self.places[of_train], minlength=len(words))[:len(self.words)], self.train.sum())
+        return words, counts, _word_buckets(words, buckets)
+
+
+def _word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """By a hash of all bytes of a word."""
+    ends, data = bytes_of(words)
+    lens = np.diff(ends)
+    values = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] + np.uint64(1)
+    values *= POWERS[(np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], lens)) % len(POWERS)]
+    hashes = np.zeros(len(words), np.uint64)
+    if len(values):
+        hashes[lens > 0] = np.add.reduceat(values, (ends[:-1] - ends[0])[lens > 0])
+    hashes ^= hashes >> np.uint64(32)
+    return (hashes * POWERS[0] >> np.uint64(32)).astype(np.int64) % buckets
 
 
 def _gram_buckets(keys: np.ndarray) -> np.ndarray:
@@ -208,16 +226,25 @@ def _answer_grams(requests: list[dict], keys: np.ndarray, logs: np.ndarray) -> l
     return [(GRAMS, r["bucket"], r["pack"], squeeze(logs[np.searchsorted(keys, pack_get(r["keys"]))].astype("<f4").tobytes()), 0, 0) for r in requests]
 
 
+def _words_put(words: pa.Array, parts: list[np.ndarray]) -> list[bytes]:
+    """The words of each part, which are places in `words`."""
+    cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    lists = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), words.take(pa.array(np.concatenate(parts))))
+    return [squeeze(joined) for joined in pc.binary_join(lists, pa.scalar(b"\n", pa.large_binary())).to_pylist()]
+
+
 def _answer_words(table: pa.Table) -> pa.Table:
     """One bucket of words: training counts to the packs that have them, and one row with how many kinds and tokens."""
-    totals: dict[bytes, int] = {}
-    sent = [(r["pack"], expand(r["keys"]).split(b"\n"), _counts_get(r["counts"])) for r in table.to_pylist()]
-    for _, words, counts in sent:
-        for word, n in zip(words, counts.tolist()):
-            totals[word] = totals.get(word, 0) + n
+    sent = table.select(["pack", "keys", "counts"]).to_pylist()
+    counts = [_counts_get(r["counts"]) for r in sent]
+    joined = pa.array([b"\n".join([expand(r["keys"]) for r in sent])], pa.large_binary())
+    words = pc.split_pattern(joined, b"\n").flatten().dictionary_encode()
+    places = np.asarray(words.indices)
+    totals = np.bincount(places, weights=np.concatenate(counts), minlength=len(words.dictionary)).astype(np.int64)
     bucket = table["bucket"][0].as_py()
-    rows = [(WORDS, bucket, pack, _counts_put(np.array([totals[w] for w in words], np.int64)), 0, 0) for pack, words, _ in sent]
-    return _reply_table([*rows, (WORDS, bucket, None, None, sum(n > 0 for n in totals.values()), sum(totals.values()))])
+    parts = np.split(totals[places], np.cumsum([len(c) for c in counts])[:-1])
+    rows = [(WORDS, bucket, r["pack"], _counts_put(part), 0, 0) for r, part in zip(sent, parts)]
+    return _reply_table([*rows, (WORDS, bucket, None, None, int((totals > 0).sum()), int(totals.sum()))])
 
 
 def _reply_table(rows: list[tuple]) -> pa.Table:
@@ -243,18 +270,19 @@ def score(spark: SparkSession, docs: DataFrame, trains: Callable[[int | None], b
     """
     packs = write_packs(spark, docs, ordered=False, most=PACK_BYTES)
     size = packs.agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    word_buckets = max(1, size // 6 // WORDS_PER_BUCKET)
+    word_buckets = max(WORD_BUCKETS, size // 6 // WORDS_PER_BUCKET)
 
     def messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
             held = Counted(row, trains)
             rows = []
-            keys, counts, _ = held.grams()
+            keys, counts = held.grams()
             for bucket, some in _sorted_by(_gram_buckets(keys)):
                 rows.append((GRAMS, bucket, row["pack"], pack_put(keys[some]), _counts_put(counts[some])))
             words, counts, own = held.vocabulary(word_buckets)
-            for bucket, some in _sorted_by(own):
-                rows.append((WORDS, bucket, row["pack"], squeeze(b"\n".join([words[i] for i in some.tolist()])), _counts_put(counts[some])))
+            buckets, parts = zip(*_sorted_by(own))
+            for bucket, some, joined in zip(buckets, parts, _words_put(words, parts)):
+                rows.append((WORDS, bucket, row["pack"], joined, _counts_put(counts[some])))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "pack", "keys", "counts"])
         give_back()
@@ -300,9 +328,11 @@ def score(spark: SparkSession, docs: DataFrame, trains: Callable[[int | None], b
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pack_rows(batches):
             held = Counted(row, trains)
-            keys, _, place = held.grams()
+            runs = list(held.by_text())
+            keys = runs[0][0] if len(runs) == 1 else np.unique(np.concatenate([r[0] for r in runs]))
             logs = _gathered(row, GRAMS, len(keys), _sorted_by(_gram_buckets(keys)), lambda d: np.frombuffer(expand(d), "<f4"))
-            sums = np.add.reduceat(logs[place[held.path]], np.concatenate([[0], np.cumsum(held.lens)[:-1]]))
+            sums = np.concatenate([np.bincount(texts, weights=np.repeat(logs[np.searchsorted(keys, own)], often), minlength=some) for own, often, texts, some in runs])
+            del runs
             words, _, own = held.vocabulary(word_buckets)
             counts = _gathered(row, WORDS, len(words), _sorted_by(own), _counts_get)
             n = len(held.pack.ids)
