@@ -107,7 +107,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
     """(u, v): links between the distinct fingerprints `fps` (fp) that join all that differ in at most 4 bits.
 
-    A key with more than CELL fingerprints is dealt out as pairs of blocks of them, each a cell of its own.
+    A key with more than CELL fingerprints is dealt out as pairs of blocks of them, each a cell of its own. Spark takes
+    the keys to be as large as the fingerprints, which have a 40th of their rows, and would broadcast them: the join is
+    a merge.
     """
     shift = lambda s: F.shiftrightunsigned("fp", 8 * (s % SEGMENTS)).bitwiseAND(F.lit(255))
     keys = [(F.lit((start * len(OFFSETS) + k) << 24) + shift(start) * 65536 + shift(start + a) * 256 + shift(start + b))
@@ -116,7 +118,7 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / CELL).cast("long")
     own = F.pmod(F.xxhash64("fp"), blocks)
-    cells = (keyed.join(crowded, "key").withColumn("own", own)
+    cells = (keyed.hint("merge").join(crowded, "key").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
              .withColumn("cell", F.least("own", "other") * 2**31 + F.greatest("own", "other"))
              .select("key", "cell", F.floor(F.shiftright("key", 24) / len(OFFSETS)).cast("long").alias("start"), "fp"))

@@ -13,7 +13,7 @@ from .test_simhash import lowest, plain
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from clickweir.llm import language, leaks
+from clickweir.llm import language, leaks, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -121,6 +121,15 @@ def test_names_with_underscores_come_back_unchanged(spark, docs):
         assert got.columns == frame.columns and rows == [given], name
 
 
+def test_dedup_broadcasts_no_keys(spark, docs, monkeypatch):
+    """Forty keys a fingerprint: Spark takes them to be as large as the fingerprints, so at some 0.6 GB it sent them all to the driver."""
+    plans, keep = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda spark, links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or keep(spark, links))
+    frame = docs([(i, f"a{i} b{i} c{i} d{i}") for i in range(50)] + [(99, "a1 b1 c1 d1")])
+    assert corpus_pipeline.STAGES[1][1](spark, frame, SF).count() == 50
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_run(spark, smallest):
     got = corpus_pipeline.run(spark, SF)
     assert 0 < got.count() < 3 * smallest.count() and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
