@@ -81,3 +81,10 @@ def test_rows_without_id_and_no_rows(spark, docs):
     got = simhash.near_duplicates(spark, docs([(None, "a b"), (None, "a b"), (4, "A b"), (None, "z z z z z z")])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 4), (-1, 4), (4, 4)]
     assert simhash.near_duplicates(spark, docs([])).count() == 0
+
+
+def test_keys_are_merged_whatever_size_spark_takes_them_for(spark):
+    found = simhash.links(spark, spark.range(3000).select(F.shiftleft(F.col("id"), 40).alias("fp")))
+    assert len(found.collect()) >= 2999
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
