@@ -148,7 +148,10 @@ def _newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 def read(spark: SparkSession, root: str, name: str, start=None, end=None) -> DataFrame:
     """A served table, its bounds on the time bucket; the alert log, each alert as it stands, or its episodes; the dead
     letters; the raw events; the open carts, without those that lie still since before `start`; the session funnel (one row);
-    or how many events of each minute came late. A table that holds nothing yet is empty."""
+    or how many events of each minute came late. A table that holds nothing yet is empty. An empty name is the table at `root`
+    itself, as refresh_minutes writes it."""
+    if not name:
+        return scan(spark, root, "time_bucket", start, end)
     if name == RAW:
         return raw_events(spark, root, None, start, end)
     if name == LETTERS:
